@@ -5,21 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from indemna.llm.common import held_out
+from indemna.llm.langid import identify_language, language_profiles
 from indemna.llm.minhash import minhash_components
+from indemna.llm.pii import find_pii
+from indemna.llm.winnow import decontaminate
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 5, 0).alias("held_out"))
+    profiles = language_profiles(docs.where("doc_id is not null and not held_out"))
+    told = identify_language(docs, profiles)
+    return told.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, plain and disguised."""
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 3-word shingles, similarity 0.85."""
     return minhash_components(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of ten words of a benchmark item."""
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
+    "op7_pii": op7_pii,
     "op8_minhash": op8_minhash,
+    "op9_winnowing": op9_winnowing,
 }
 
 SQL: dict[str, str] = {}
