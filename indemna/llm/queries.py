@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from indemna.llm.chat import rotate_perspectives
 from indemna.llm.common import held_out
 from indemna.llm.langid import identify_language, language_profiles
+from indemna.llm.lines import dedup_lines
 from indemna.llm.minhash import minhash_components
+from indemna.llm.mixing import mix
 from indemna.llm.pii import find_pii
 from indemna.llm.winnow import decontaminate
 
@@ -24,6 +29,34 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document."""
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", "n_words", "n_words_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+#: Weights of the mixing query by path; other nodes weigh 1.
+MIX_WEIGHTS = {("domain0",): 4, ("domain1",): 3, ("domain2",): 2, ("domain0", "en"): 2, ("domain1", "de"): 3, ("domain2", "fr", "src2"): 5}
+
+
+def domain_of(source: str) -> Column:
+    """A domain for each source of the tables: its number modulo 4."""
+    return F.concat(F.lit("domain"), F.try_mod(F.regexp_extract(source, "([0-9]+)$", 1).try_cast("int"), F.lit(4)).cast("string"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token prefixes of seeded epochs for half of all tokens, by the weights above."""
+    docs = table(spark, sf_dir, "documents")
+    taken = mix(docs, domain_of("source"), F.col("lang"), F.col("source"), MIX_WEIGHTS)
+    return taken.select("doc_id", "domain", "language", "source", "epoch", "n_tokens", "n_taken")
+
+
+def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue once for each participant as the assistant."""
+    rows = rotate_perspectives(table(spark, sf_dir, "conversations"))
+    return rows.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, plain and disguised."""
     return find_pii(table(spark, sf_dir, "documents"))
@@ -41,9 +74,98 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
+    "op4_lines": op4_lines,
+    "op5_mixing": op5_mixing,
+    "op6_perspectives": op6_perspectives,
     "op7_pii": op7_pii,
     "op8_minhash": op8_minhash,
     "op9_winnowing": op9_winnowing,
 }
 
-SQL: dict[str, str] = {}
+OP4_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), k AS (
+  SELECT *, trim(regexp_replace(lower(line), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), ' ') AS key FROM l
+), w AS (
+  SELECT *, CASE WHEN key = '' THEN 0 ELSE len(string_split(key, ' ')) END AS n, string_split(key, ' ') AS ws FROM k
+), d AS (
+  SELECT key, min(n) AS n, any_value(ws) AS ws, min((doc_id, pos)) AS first FROM w WHERE n >= 3 GROUP BY key
+), halves AS (
+  SELECT DISTINCT key, n, ws, first, unnest([
+    'p' || (n // 2) || ' ' || array_to_string(ws[1 : n // 2], ' '), 'p' || ((n - 1) // 2) || ' ' || array_to_string(ws[1 : (n - 1) // 2], ' '),
+    's' || (n // 2) || ' ' || array_to_string(ws[n - n // 2 + 1 : n], ' '), 's' || ((n - 1) // 2) || ' ' || array_to_string(ws[n - (n - 1) // 2 + 1 : n], ' ')]) AS half
+  FROM d WHERE n >= 8
+), near AS (
+  SELECT DISTINCT b.key FROM halves a JOIN halves b ON a.half = b.half AND a.first < b.first AND abs(a.n - b.n) <= 1
+  WHERE CASE
+    WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda i: a.ws[i] <> b.ws[i])) = 1
+    WHEN a.n > b.n THEN len(list_filter(range(1, a.n + 1), lambda i: list_concat(a.ws[1 : i - 1], a.ws[i + 1 : a.n]) = b.ws)) > 0
+    ELSE len(list_filter(range(1, b.n + 1), lambda i: list_concat(b.ws[1 : i - 1], b.ws[i + 1 : b.n]) = a.ws)) > 0 END
+), m AS (
+  SELECT w.*, coalesce(w.n >= 3 AND ((w.doc_id, w.pos) <> d.first OR near.key IS NOT NULL), false) AS gone
+  FROM w LEFT JOIN d ON w.key = d.key LEFT JOIN near ON near.key = w.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sum(n)::BIGINT AS n_words, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_words_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def _weight_sql(names: list[str]) -> str:
+    found = [f"WHEN concat_ws(chr(31), {', '.join(names)}) = concat_ws(chr(31), {', '.join(repr(p) for p in path)}) THEN {w}" for path, w in MIX_WEIGHTS.items() if len(path) == len(names)]
+    return f"CASE {' '.join(found)} ELSE 1 END"
+
+
+def _level_sql(own: list[str], up: list[str], above: str) -> str:
+    """Names and budgets of one level of the tree, as a query over the leaves and the level above."""
+    by = ", ".join(up)
+    return f"""
+  SELECT {", ".join(["root", *own])}, tokens, least(capacity, floor(max(lev) OVER (PARTITION BY {by}) * weight))::BIGINT AS budget
+  FROM (
+    SELECT *, greatest(0.0, (budget - coalesce(sum(capacity) OVER (PARTITION BY {by} ORDER BY ratio, {own[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+      / (sum(weight) OVER (PARTITION BY {by} ORDER BY ratio, {own[-1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE) AS lev
+    FROM (SELECT *, capacity::DOUBLE / weight AS ratio FROM (
+      SELECT n.*, a.budget, ({_weight_sql(own)})::BIGINT AS weight FROM (SELECT {", ".join(["root", *own])}, sum(tokens)::BIGINT AS tokens, (sum(tokens) * 2)::BIGINT AS capacity FROM leaves GROUP BY ALL) n
+      JOIN (SELECT {by}, budget FROM {above}) a USING ({by}))))"""
+
+
+OP5_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('domain' || (TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INT) % 4), 'null') AS "domain", coalesce(lang, 'null') AS "language", coalesce(source, 'null') AS source,
+    coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')), 0) AS n_tokens FROM documents
+), t AS (SELECT * FROM d WHERE n_tokens > 0 AND doc_id IS NOT NULL),
+leaves AS (SELECT 0 AS root, "domain", "language", source, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY ALL),
+l0 AS (SELECT 0 AS root, floor(sum(tokens) * 0.5)::BIGINT AS budget FROM leaves),
+l1 AS ({_level_sql(['"domain"'], ["root"], "l0")}),
+l2 AS ({_level_sql(['"domain"', '"language"'], ['"domain"'], "l1")}),
+l3 AS ({_level_sql(['"domain"', '"language"', "source"], ['"domain"', '"language"'], "l2")}),
+turns AS (SELECT *, unnest(range(0, least((budget - 1) // tokens, 1) + 1)) AS epoch FROM l3 WHERE budget > 0),
+r AS (
+  SELECT t.*, epoch, budget - epoch * tokens AS rest, md5('7:' || epoch || ':' || doc_id || ':1') AS digest
+  FROM t JOIN turns u ON t."domain" = u."domain" AND t."language" = u."language" AND t.source = u.source
+), p AS (
+  SELECT *, least(n_tokens, rest - coalesce(sum(n_tokens) OVER (PARTITION BY "domain", "language", source, epoch ORDER BY digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS n_taken FROM r
+)
+SELECT doc_id, "domain", "language", source, epoch::INT AS epoch, n_tokens::BIGINT AS n_tokens, n_taken FROM p WHERE n_taken > 0
+"""
+
+OP6_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS place FROM conversations
+), p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+m AS (
+  SELECT t.conv_id, perspective, place // 4096 AS segment, place, role = perspective AS own,
+    CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user:' || role || '|>' END || chr(10) AS head, text || '<|end|>' AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), o AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, segment ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start FROM m
+)
+SELECT conv_id, perspective, segment, count(*) AS n_turns, count(*) FILTER (own) AS n_trained, sum(length(head) + length(body) + 1)::BIGINT AS n_chars,
+  coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY place) FILTER (own), '') AS mask,
+  sha256(string_agg(head || body || chr(10), '' ORDER BY place)) AS text_sha256
+FROM o GROUP BY conv_id, perspective, segment
+"""
+
+SQL: dict[str, str] = {"op4_lines": OP4_SQL, "op5_mixing": OP5_SQL, "op6_perspectives": OP6_SQL}
