@@ -11,9 +11,12 @@ from indemna.llm.chat import rotate_perspectives
 from indemna.llm.common import held_out
 from indemna.llm.langid import identify_language, language_profiles
 from indemna.llm.lines import dedup_lines
+from indemna.llm.lm import cross_entropy_difference
 from indemna.llm.minhash import minhash_components
 from indemna.llm.mixing import mix
 from indemna.llm.pii import find_pii
+from indemna.llm.quality import classify_quality
+from indemna.llm.vectors import near_vectors
 from indemna.llm.winnow import decontaminate
 
 
@@ -21,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 5, 0).alias("held_out"))
@@ -29,6 +37,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)).select("doc_id", F.col("quality").alias("label"))
+    scores = classify_quality(table(spark, sf_dir, "documents"), labels)
+    return scores.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line dedup leaves of every document."""
     kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -72,14 +87,24 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more every document is like the documents of good quality than like the rest."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left")
+    return cross_entropy_difference(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vectors": op1_vectors,
     "op2_language": op2_language,
+    "op3_quality": op3_quality,
     "op4_lines": op4_lines,
     "op5_mixing": op5_mixing,
     "op6_perspectives": op6_perspectives,
     "op7_pii": op7_pii,
     "op8_minhash": op8_minhash,
     "op9_winnowing": op9_winnowing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 OP4_SQL = """
