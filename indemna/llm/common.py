@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,29 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def id_filter(ids: DataFrame, column: str, bits: int = 23):
+    """A function that keeps the rows of (id, ...) whose id may be among ``ids``: a bitmap of 2**bits places (1 MB),
+    whatever the number of ids. Some other rows pass too, so an exact join has to follow."""
+    spark = ids.sparkSession
+    slots = ids.select(F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), 64 - bits).alias("slot"))
+    packed = slots.selectExpr("cast(slot div 64 as int) as at", "shiftleft(1L, cast(slot % 64 as int)) as bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = np.zeros(2**bits // 64, np.int64)
+    words[packed["at"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+            there = (shared.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)).astype(np.int64)) & 1
+            yield batch.filter(pa.array(there.astype(bool))).select(list(range(1, batch.num_columns)))
+
+    def keep(rows: DataFrame) -> DataFrame:
+        own = rows.select(F.xxhash64(F.col(rows.columns[0]).cast("long")).alias("hash_of_id"), *rows.columns)
+        return own.mapInArrow(run, rows.schema)
+
+    return keep
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a batch as UTF-8 bytes; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -253,7 +253,8 @@ def _links(units: DataFrame, centroids: np.ndarray, threshold: float, overlap: i
         return pa.table({"a": cat(a, pa.int64()), "b": cat(b, pa.int64()), "edge": cat(edge, pa.bool_())})
 
     by = ["cell", "block", "chunk"]
-    rows = graph.select(*by, "rep", "copies", "v", "cells", "near").groupBy(*by).cogroup(asked.select(*by, "rep", "v", "cells").groupBy(*by))
+    graph = settle(graph.select(*by, "rep", "copies", "v", "cells", "near"))
+    rows = graph.groupBy(*by).cogroup(asked.select(*by, "rep", "v", "cells").groupBy(*by))
     return settle(rows.applyInArrow(search, "a long, b long, edge boolean"))
 
 
@@ -278,7 +279,7 @@ def _audit(units: DataFrame, found: DataFrame, threshold: float, rows: int, seed
     return 1.0 if not told["n"] else told["have"] / told["n"]
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, shard_rows: int = 1500, overlap: int = 2, probes: int = 3, degree: int = 20, beam: int = 20, pool: int = 40, sample_rows: int = 8192, max_cells: int = 1024, audit_rows: int = 256, least_recall: float = 0.98, seed: int = 11) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 1200, shard_rows: int = 2000, overlap: int = 2, probes: int = 2, degree: int = 20, beam: int = 20, pool: int = 40, sample_rows: int = 8192, max_cells: int = 1024, audit_rows: int = 256, least_recall: float = 0.98, seed: int = 11) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audited_recall) of every row of ``vectors`` (vec_id, embedding).
 
     Two vectors are linked if their cosine in doubles is ``threshold`` or more. Equal embeddings are one
@@ -287,9 +288,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, shard_rows: int = 1
     ``degree`` neighbours, and a vertex's lists of all its shards are united. Every vertex is then searched
     for in its ``probes`` nearest cells by greedy range search, which computes the cosine of each link it
     reports. All links of ``audit_rows`` vertices are found by brute force; below a share of ``least_recall``
-    the search is repeated with twice the overlap and probes, up to all cells. The number of cells is
-    rows / shard_rows, ``max_cells`` at most; cells that grow beyond a shard go on in blocks, all of which are
-    searched, so no rows are left out at any size.
+    the search is repeated with twice the overlap and probes, up to all cells. There are as many cells as make
+    ``cell_rows`` rows each, ``max_cells`` at most; cells beyond ``shard_rows`` go on in blocks, all of which
+    are searched, so no rows are left out at any size.
 
     Vectors that are null, empty or zero or hold null or non-finite components are linked with nothing;
     nor are vectors of different lengths. Rows that repeat a vec_id are rows of their own, linked with each
@@ -304,7 +305,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, shard_rows: int = 1
         own = units.where(F.col("size") == size)
         n = own.count()
         sample = own.orderBy(F.xxhash64("rep", F.lit(seed + 1)), "rep").limit(sample_rows).toPandas()
-        centroids = _centroids(np.array([np.frombuffer(v) for v in sample["v"]]), max(1, min(max_cells, n // shard_rows)), seed)
+        centroids = _centroids(np.array([np.frombuffer(v) for v in sample["v"]]), max(1, min(max_cells, n * overlap // cell_rows)), seed)
         wide, deep = overlap, probes
         while True:
             found = _links(own, centroids, threshold, wide, deep, shard_rows, degree, beam, pool, seed)
