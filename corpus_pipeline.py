@@ -19,8 +19,6 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: A document whose words look like no learned language in at least this share of ranks is rejected.
 LEAST_LANGUAGE_SCORE = 0.05
-#: A document that keeps less of its words than this after line dedup is a copy in pieces and goes.
-LEAST_KEPT_WORDS = 0.5
 #: Share of the tokens left that the mix takes, and weights by path; other nodes weigh 1.
 MIX_SHARE = 0.8
 MIX_WEIGHTS = {("domain0",): 3, ("domain1",): 2, ("domain0", "en"): 2}
@@ -41,9 +39,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that an earlier document has; documents that lose most of their words to it go."""
+    """Drops lines that an earlier document has; documents that lose all their words to it go."""
     kept = dedup_lines(docs.select(*COLUMNS))
-    kept = kept.where((F.col("n_words") - F.col("n_words_dropped") >= LEAST_KEPT_WORDS * F.col("n_words")) & (F.col("n_words") > 0))
+    kept = kept.where(F.col("n_words") > F.col("n_words_dropped"))
     return kept.select(*_columns(docs))
 
 
