@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,33 @@ SCOPES = (("broker", "src1"), ("broker", "src2"), ("broker", "src3"), ("auditor"
 PRINCIPALS = (("broker", False), ("auditor", False), ("branch", False), ("guest", False), ("admin", True))
 
 
+PRODUCTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+#: Texts of exclusion items: code ranges, pinned subdivisions, reasons without codes, words.
+CLAUSES = (
+    "Mental disorders (F05~F09, F20) are not covered.",
+    "Urinary disorders N39-N45 or N39.4, unless (but only after surgery) required.",
+    "Injuries by war or riot, T98, on heavy machines such as a steel anvil.",
+    "Heart conditions I01~T09, I30~I33 and congenital defects W00.",
+    "Damage to a green ring or a plastic gear (unless a small bolt is at fault).",
+    "Transport accidents W40∼W42 with I50.1 as a consequence.",
+)
+RULE_SCHEMA = """product string, coverage string, inpatient_rate double, outpatient_rate double, annual_limit bigint, deductible bigint, deductible_rate decimal(9,6),
+    visit_limit bigint, deductible_tertiary bigint, uses_copay boolean, deductible_inpatient boolean, reduction_days int, reduction_rate double, annual_visits int,
+    self_pay_cap bigint, room_rate double, room_daily_cap bigint, clinic_cap bigint, limit_from_policy boolean, abroad_only boolean"""
+_D = Decimal
+#: Parameters of payment by product and coverage, scaled to the amounts of the tables; None is unverified.
+RULES = (
+    ("AUTOMOBILE", "injury", 0.8, 1.0, 50000, 1000, _D("0.2"), 20000, 2000, True, False, None, None, None, 2000, 0.5, 1000, None, False, False),
+    ("AUTOMOBILE", "disease", 0.8, 1.0, 60000, 1000, _D("0.2"), 20000, 2000, True, False, 90, 0.5, 20, None, 0.5, 1000, None, False, False),
+    ("BUILDING", "any", 0.9, 0.7, 40000, 1500, _D("0.29"), None, None, False, True, None, None, None, None, None, None, 3000, False, False),
+    ("FURNITURE", "injury", 0.7, None, 30000, None, None, None, None, False, False, None, None, None, None, None, None, None, False, False),
+    ("FURNITURE", "disease", 0.7, 0.6, 30000, 500, None, None, None, False, True, None, None, None, None, None, None, None, False, False),
+    ("HOUSEHOLD", "overseas", 1.0, 1.0, None, 0, _D("0"), None, None, False, False, None, None, None, None, None, None, None, True, True),
+    ("HOUSEHOLD", "injury", 0.75, 0.75, 70000, 800, _D("0.1"), 15000, None, True, False, 30, 0.7, 10, 5000, 0.4, None, 2500, False, False),
+    ("HOUSEHOLD", "disease", 0.6, 0.6, 70000, 800, _D("0.1"), 15000, 1600, True, False, None, None, None, 1000, None, None, None, False, False),
+)
+
+
 class Tables:
     """The driver's tables in one folder, and the views made of them."""
 
@@ -73,6 +101,19 @@ class Tables:
         rows = self.articles().select("article_uid", "product", "version", "number", "doc_id", targets)
         return rows.select("article_uid", "product", "version", "number", F.col("target").cast("string").alias("target"), (F.col("doc_id") % 3 == 0).alias("in_proviso"))
 
+    def rules(self) -> DataFrame:
+        return self.spark.createDataFrame([tuple(r) for r in RULES], RULE_SCHEMA)
+
+    def clauses(self) -> DataFrame:
+        """Exclusion items: four texts for each product and version."""
+        rows = [(f"{v[0]}|{p}|{i}#{i}", p, v[0], CLAUSES[(i + j) % len(CLAUSES)]) for v in VERSIONS for j, p in enumerate(PRODUCTS) for i in range(4)]
+        return self.spark.createDataFrame(rows, "clause_uid string, product string, version string, content string")
+
+    def coverages(self) -> DataFrame:
+        """Coverage articles; one product has none in the first version."""
+        rows = [(f"{v[0]}|{p}|90", p, v[0]) for v in VERSIONS for p in PRODUCTS if (v[0], p) != ("19961001", "MACHINERY")]
+        return self.spark.createDataFrame(rows, "article_uid string, product string, version string")
+
     def claims(self) -> DataFrame:
         li, o, c, p = self.lineitem, self.orders, self.customer, self.part
         rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
@@ -89,6 +130,8 @@ class Tables:
             day(F.greatest("o_orderdate", "l_shipdate")).alias("incident_on"),
             F.datediff(F.greatest("o_orderdate", "l_shipdate"), "o_orderdate").alias("days_since"),
             F.floor("l_extendedprice").cast("long").alias("claimed_amount"),
+            F.col("p_name").alias("narrative"),
+            (F.col("l_suppkey") % 5 != 0).alias("documented"),
             (F.col("l_quantity").cast("int") % 10).alias("hospital_days"),
             tier.alias("institution"),
             F.when(F.col("l_tax") > 0, F.col("l_tax").cast("decimal(9,6)")).alias("copay_rate"),
@@ -113,7 +156,20 @@ def _list(values: tuple) -> str:
     return "[" + ", ".join(map(_text, values)) + "]::VARCHAR[]"
 
 
+def _value(x: object) -> str:
+    if isinstance(x, str):
+        return f"'{x}'"
+    return "NULL" if x is None else f"{x}::DECIMAL(9, 6)" if isinstance(x, Decimal) else f"{x:f}::DOUBLE" if isinstance(x, float) else str(x)
+
+
+_RULE_COLUMNS = ", ".join(c.split()[0] for c in RULE_SCHEMA.replace("(9,6)", "").split(","))
+_CLAUSE_ROWS = ", ".join(f"('{v[0]}|{p}|{i}#{i}', '{p}', '{v[0]}', '{CLAUSES[(i + j) % len(CLAUSES)]}')" for v in VERSIONS for j, p in enumerate(PRODUCTS) for i in range(4))
+
 VIEWS = {
+    "v_rules": f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_value, r)) + ')' for r in RULES)}) t({_RULE_COLUMNS})",
+    "v_clauses": f"SELECT * FROM (VALUES {_CLAUSE_ROWS}) t(clause_uid, product, version, content)",
+    "v_coverages": f"""SELECT version || '|' || product || '|90' AS article_uid, product, version FROM v_versions, (SELECT unnest({_list(PRODUCTS)}) AS product)
+      WHERE NOT (version = '19961001' AND product = 'MACHINERY')""",
     "v_versions": "SELECT * FROM (VALUES " + ", ".join(f"({_text(a)}, {_text(b)}, {_text(c)}, {_list(d)}, {_list(e)})" for a, b, c, d, e in VERSIONS) + ") t(version, effective_to, applies_from, included, excluded)",
     "v_scopes": f"SELECT * FROM (VALUES {', '.join(map(str, SCOPES))}) t(principal, product)",
     "v_principals": f"SELECT * FROM (VALUES {', '.join(map(str, PRINCIPALS))}) t(principal, unrestricted)",
@@ -126,7 +182,7 @@ VIEWS = {
     "v_claims": """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS claim_id, o_custkey AS contract, c_mktsegment AS product,
       strftime(o_orderdate, '%Y%m%d') AS enrolled_on, strftime(greatest(o_orderdate, l_shipdate), '%Y%m%d') AS incident_on,
       date_diff('day', o_orderdate::DATE, greatest(o_orderdate, l_shipdate)::DATE)::INT AS days_since,
-      floor(l_extendedprice)::BIGINT AS claimed_amount, l_quantity::INT % 10 AS hospital_days,
+      floor(l_extendedprice)::BIGINT AS claimed_amount, p_name AS narrative, l_suppkey % 5 <> 0 AS documented, l_quantity::INT % 10 AS hospital_days,
       CASE o_orderpriority WHEN '1-URGENT' THEN 'tertiary hospital' WHEN '2-HIGH' THEN 'general hospital' WHEN '3-MEDIUM' THEN 'nursing home' WHEN '5-LOW' THEN 'clinic' END AS institution,
       CASE WHEN l_tax > 0 THEN l_tax::DECIMAL(9, 6) END AS copay_rate,
       CASE WHEN p_type = 'STANDARD' THEN 'I' ELSE translate(p_type[1], 'EPLM', 'FWTN') END AS letter, p_size AS code_number, letter || lpad(p_size::VARCHAR, 2, '0') AS code,
