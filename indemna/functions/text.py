@@ -85,4 +85,4 @@ def first_date(text: Column) -> Column:
     pattern = "(\\d{4})[.\\-/년]\\s*(\\d{1,2})[.\\-/월]\\s*(\\d{1,2})"
     parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
     days = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "abc", strict=True)]), lambda r: F.try_to_date(F.concat_ws("-", r["a"], F.lpad(r["b"], 2, "0"), F.lpad(r["c"], 2, "0")), "yyyy-MM-dd"))
-    return F.element_at(F.filter(days, lambda d: d.isNotNull()), 1)
+    return F.get(F.filter(days, lambda d: d.isNotNull()), 0)
