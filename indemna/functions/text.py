@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Particles that a stem loses, long ones first, and what a proviso in parentheses says.
 PARTICLES_KO = ("에서", "으로", "에게", "부터", "까지", "로서", "로써", "하는", "되는", "이나", "은", "는", "이", "가", "을", "를", "에", "로", "의", "도", "만", "한", "인", "된")
@@ -67,7 +68,7 @@ def mask(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
 PERSONAL_KO = (("(?U)\\b(\\d{6})[-\\s]?([1-4]\\d{6})\\b", "$1-*******"), ("(?U)\\b(01[016-9])[-\\s]?(\\d{3,4})[-\\s]?(\\d{4})\\b", "$1-****-$3"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean(texts: pd.Series) -> pd.Series:
     """NFKC, without invisible characters, in NFKC again."""
 
