@@ -8,29 +8,38 @@ from pyspark.sql.window import Window
 
 from indemna.llm.common import settle
 
-#: White space between words, and what splits the text into lines.
+#: White space between words of a line.
 _BLANK = "[ \\t\\r\\f\\x0B]+"
+#: Bits of the filters below: 2**22, 512 KB in one broadcast row whatever they are made from.
+_BITS = 22
 
 
-def _key(line: Column) -> Column:
-    """Lines are compared lower-cased, trimmed, with single blanks."""
-    return F.trim(F.regexp_replace(F.lower(line), _BLANK, " "))
+def _words(line: Column) -> Column:
+    """Lines are compared as lower-cased words."""
+    return F.filter(F.split(F.lower(line), _BLANK), lambda w: w != "")
 
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, pos, line, key): the lines of every text, counted from 0."""
-    parts = docs.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return parts.select("row", "doc_id", "pos", "line", _key(F.col("line")).alias("key"))
+def _may_be_among(rows: DataFrame, value: Column, ids: DataFrame) -> DataFrame:
+    """The rows whose ``value`` (a long hash) may be among ``ids`` (one long column). Some others pass too, more as the
+    filter fills up, so an exact join has to follow; it then shuffles only what has passed."""
+    slots = ids.select(F.shiftrightunsigned(F.col(ids.columns[0]), 64 - _BITS).alias("slot"))
+    bits = slots.selectExpr("slot div 64 as at", "shiftleft(1L, cast(slot % 64 as int)) as bit").groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    every = ids.sparkSession.range(2**_BITS // 64).withColumnRenamed("id", "at").join(bits, "at", "left")
+    filled = every.agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("f"))
+    packed = filled.select(F.transform("f", lambda x: x["bits"]).alias("indemna_filter"))
+    slot = F.shiftrightunsigned(value, 64 - _BITS)
+    rows = rows.withColumn("indemna_slot", slot).crossJoin(F.broadcast(packed))
+    bit = F.expr("shiftright(element_at(indemna_filter, cast(indemna_slot div 64 as int) + 1), cast(indemna_slot % 64 as int))")
+    return rows.where(bit.bitwiseAND(F.lit(1).cast("long")) == 1).drop("indemna_slot", "indemna_filter")
 
 
-def _halves(distinct: DataFrame) -> DataFrame:
-    """(h, words, first, half): two lines within one word share one of their halves, so those that share
-    none with another line need no neighbourhood."""
+def _halves() -> Column:
+    """Hashes of both halves of ``words``: two lines within one word share a half, so those that share none with
+    another line need no neighbourhood."""
     n = F.size("words")
     short, long = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
     cut = lambda side, size: F.xxhash64(F.lit(side), size, F.slice("words", 1, size) if side else F.slice("words", n - size + 1, size))
-    keys = F.array_distinct(F.array(cut(1, short), cut(1, long), cut(0, short), cut(0, long)))
-    return distinct.select("h", F.explode(keys).alias("half"))
+    return F.array_distinct(F.array(cut(1, short), cut(1, long), cut(0, short), cut(0, long)))
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
@@ -68,67 +77,82 @@ def _one_apart(a: str, b: str) -> Column:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 3, near_words: int = 8) -> DataFrame:
-    """(row, doc_id, pos, line, n_words, drop) of every line of ``docs`` (row, doc_id, text).
+    """(doc_id, th, pos, n_words, drop) of every line of ``docs`` (doc_id, th, text).
 
-    Lines are ordered by (doc_id, row, pos); a null doc_id comes first. A line is dropped if an
-    earlier line anywhere is equal (lower-cased, white space squeezed, ``min_words`` words at least),
-    or, from ``near_words`` words on, within an edit distance of one word. Shorter and blank lines stay.
-    The earlier line counts even if it is dropped itself.
+    Lines are ordered by (doc_id, th, pos); a null doc_id comes first. A line is dropped if an earlier line
+    anywhere has the same words (lower-cased, ``min_words`` at least), or, from ``near_words`` words on, is within
+    an edit distance of one word. Shorter and blank lines stay. The earlier line counts even if it is dropped
+    itself. Texts are split where they are read; only the lines that share a half with another one are shuffled.
     """
-    lines = settle(numbered_lines(docs).withColumn("n_words", F.when(F.col("key") == "", 0).otherwise(F.size(F.split("key", " ")))))
-    order = F.struct("doc_id", "row", "pos")
-    lines = lines.withColumn("h", F.unhex(F.md5(F.col("key").cast("binary"))))
-    distinct = lines.where(F.col("n_words") >= min_words).groupBy("h").agg(F.min(order).alias("first"))
-    firsts = lines.where(F.col("n_words") >= min_words).select("h", "key", order.alias("first")).join(distinct.withColumnRenamed("first", "least"), "h").where("first <=> least").drop("least")
-    firsts = settle(firsts.withColumn("words", F.split("key", " ")).drop("key"))
-
-    far = firsts.where(F.size("words") >= near_words)
-    keys = _halves(far)
-    shared = keys.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("half")
-    close = settle(_with_hashes(far.join(keys.join(shared, "half", "left_semi").select("h").distinct(), "h", "left_semi")))
+    lines = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("words", _words(F.col("line")))
+    lines = lines.select(
+        "doc_id",
+        "th",
+        "pos",
+        F.size("words").alias("n_words"),
+        F.unhex(F.md5(F.array_join("words", " ").cast("binary"))).alias("h"),
+        F.when(F.size("words") >= near_words, _halves()).alias("halves"),
+    )
+    lines = settle(lines)
+    order = F.struct("doc_id", "th", "pos")
+    firsts = settle(lines.where(F.col("n_words") >= min_words).groupBy("h").agg(F.min(order).alias("first")))
+
+    keys = lines.where("halves is not null").select("h", F.explode("halves").alias("half"))
+    shared = keys.groupBy("half").agg(F.min(F.xxhash64("h")).alias("lo"), F.max(F.xxhash64("h")).alias("hi")).where("lo <> hi").select("half")
+    shared = settle(shared)
+    close = _may_be_among(keys, F.col("half"), shared).join(shared, "half", "left_semi").select("h").distinct().join(firsts, "h")
+    places = settle(close.select("h", "first", "first.*").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "first", "pos")).alias("places")))
+    near_docs = _may_be_among(docs, F.xxhash64("doc_id", "th"), places.select(F.xxhash64("doc_id", "th")))
+    found = near_docs.withColumnRenamed("doc_id", "d").join(places, F.col("d").eqNullSafe(F.col("doc_id")) & (near_docs.th == places.th)).select("text", "places")
+    found = found.select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
+    close = found.select("p.h", "p.first", _words(F.element_at("lines", F.col("p.pos") + 1)).alias("words")).dropDuplicates(["h"])
+    close = settle(_with_hashes(close))
 
     around = settle(_neighbourhood(close))
-    # Without the same word's place: one word replaced. The earliest of a group stands for all later ones.
+    # Without the word at the same place: one word replaced. The earliest of a group stands for all later ones.
     same = around.where("at >= 0").groupBy("code", "at").agg(F.min(F.struct("first", "h")).alias("e"), F.count("*").alias("n")).where("n > 1")
     swapped = around.where("at >= 0").join(same.select("code", "at", "e"), ["code", "at"]).where("h <> e.h").select("h", F.col("e.h").alias("by"))
     # All words of one line are a variant of another: one word added or left out.
     whole = around.where("at = -1").select("code", F.col("h").alias("hw"), F.col("first").alias("fw"))
-    cut = around.where("at >= 0").groupBy("code").agg(F.min(F.struct("first", "h")).alias("e"))
-    longer = around.where("at >= 0").join(whole, "code").where("first > fw").select("h", F.col("hw").alias("by"))
-    shorter = whole.join(cut, "code").where("fw > e.first").select(F.col("hw").alias("h"), F.col("e.h").alias("by"))
+    cut = around.where("at >= 0").join(whole, "code")
+    longer = cut.where("first > fw").select("h", F.col("hw").alias("by"))
+    shorter = cut.groupBy("hw", "fw").agg(F.min(F.struct("first", "h")).alias("e")).where("fw > e.first").select(F.col("hw").alias("h"), F.col("e.h").alias("by"))
     pairs = swapped.unionAll(longer).unionAll(shorter).distinct()
-    words = close.select(F.col("h"), "first", "words")
     theirs = close.select(F.col("h").alias("by"), F.col("first").alias("first_by"), F.col("words").alias("words_by"))
-    checked = pairs.join(words, "h").join(theirs, "by").where(F.col("first_by") < F.col("first"))
+    checked = pairs.join(close.select("h", "first", "words"), "h").join(theirs, "by").where(F.col("first_by") < F.col("first"))
     checked = checked.where(_one_apart("words", "words_by"))
     near = settle(checked.select("h").distinct()).withColumn("near", F.lit(True))
 
-    told = firsts.select("h", "first").join(near, "h", "left").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    out = lines.withColumn("own", order).join(told, "h", "left")
+    told = firsts.join(near, "h", "left").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    out = lines.select("doc_id", "th", "pos", "n_words", "h", order.alias("own")).join(told, "h", "left")
     drop = F.coalesce((F.col("n_words") >= min_words) & (F.col("near") | ~F.col("own").eqNullSafe(F.col("first"))), F.lit(False))
-    return out.select("row", "doc_id", "pos", "line", "n_words", drop.alias("drop"))
+    return out.select("doc_id", "th", "pos", "n_words", drop.alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 3, near_words: int = 8) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, any other columns) with its text less the repeated lines,
     and n_lines, n_dropped, n_words, n_words_dropped. See ``repeated_lines`` for what is dropped.
 
-    The kept lines keep their order and bytes. A null text gives null and 0 lines; an empty one stays
-    empty, with one line; a text all of whose lines go becomes empty. Rows that repeat a doc_id are
-    rows of their own: of two equal ones the second loses its lines. Columns named like the results
+    The kept lines keep their order and bytes. A null text stays null, with 0 lines; an empty one stays empty,
+    with one line; a text all of whose lines go becomes empty. Rows of one doc_id and text are one document and
+    get one result; other rows that repeat a doc_id are documents of their own. Columns named like the results
     are replaced.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "n_words", "n_words_dropped", "indemna_row")]
-    rows = settle(docs.select(*names).withColumn("indemna_row", F.monotonically_increasing_id()))
-    lines = repeated_lines(rows.select(F.col("indemna_row").alias("row"), "doc_id", F.col("text").cast("string").alias("text")), min_words, near_words)
+    counts = ("n_lines", "n_dropped", "n_words", "n_words_dropped")
+    names = [c for c in docs.columns if c not in counts]
+    rows = docs.select(*names).withColumn("text", F.col("text").cast("string")).withColumn("th", F.xxhash64("text"))
+    lines = repeated_lines(rows.select("doc_id", "th", "text"), min_words, near_words).distinct()
     gone = F.col("drop")
-    texts = lines.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.when(~gone, F.struct("pos", "line")))).alias("kept"),
+    told = lines.groupBy("doc_id", "th").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "drop"))), lambda x: x["drop"]).alias("gone"),
         F.count("*").alias("n_lines"),
         F.count_if(gone).alias("n_dropped"),
         F.sum("n_words").cast("long").alias("n_words"),
         F.coalesce(F.sum(F.when(gone, F.col("n_words"))), F.lit(0)).cast("long").alias("n_words_dropped"),
     )
-    texts = texts.select(F.col("row").alias("indemna_row"), F.array_join(F.transform("kept", lambda x: x["line"]), "\n").alias("text"), "n_lines", "n_dropped", "n_words", "n_words_dropped")
+    told = settle(told).withColumnsRenamed({"doc_id": "told_id", "th": "told_th"})
+    both = rows.join(told, F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("th") == F.col("told_th")), "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.get("gone", i))
+    text = F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return rows.drop("text").join(texts, "indemna_row", "left").select(*names, *map(zero, ("n_lines", "n_dropped", "n_words", "n_words_dropped")))
+    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], *map(zero, counts))
