@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indemna.functions import codes, money
+from indemna.functions import codes
 from indemna.operators import adjudication as adj
 from indemna.operators.versions import valid_for
 from indemna.plans.graph_queries import STARTS

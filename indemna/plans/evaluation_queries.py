@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from indemna.operators import evaluation as ev
 from indemna.plans.claim_queries import VIEWS as CLAIM_VIEWS
-from indemna.plans.claim_queries import claims, verdicts
 from indemna.plans.views import Tables, query
 from indemna.streaming import events as streams
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indemna.functions import keys
 from indemna.operators import graph, versions
 from indemna.plans.views import Tables, query
 

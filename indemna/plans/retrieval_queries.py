@@ -44,7 +44,7 @@ def similar(t: Tables, k: int) -> DataFrame:
 
 def scored(t: Tables) -> DataFrame:
     """The same searches, all scores."""
-    asked = chunks(t).where("uid % 20 = 0").select(F.col("uid").alias("query_id"), retrieval.l2_normalize(F.col("embedding" if False else "v")).alias("qv"))
+    asked = chunks(t).where("uid % 20 = 0").select(F.col("uid").alias("query_id"), retrieval.l2_normalize(F.col("v")).alias("qv"))
     rows = asked.crossJoin(chunks(t).withColumn("v", retrieval.l2_normalize(F.col("v")))).where("query_id <> uid")
     return rows.select("query_id", "uid", "product", F.round(retrieval.dot(F.col("qv"), F.col("v")), 9).alias("score"))
 
