@@ -20,9 +20,7 @@ FEATURES = (
 
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
-_ENDS = b".!?"
 _SYMBOLS = bytes(i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in ".,;:!?'\"()-|")
-_LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 
 
 def _share(text: bytes, kind: bytes, n: int) -> float:
@@ -95,13 +93,12 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 class _Sums:
     """Adds up, over a table of features, what the risk and its derivatives need at some weight vectors."""
 
-    def __init__(self, table: DataFrame, columns: str) -> None:
-        self.table, self.columns = table, columns
+    def __init__(self, table: DataFrame) -> None:
+        self.table = table
 
-    def at(self, points: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """(n, loss at each point, gradient and curvature of the loss at the first point), of E[softplus(z)]."""
+    def at(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(mean loss at each point, its gradient and curvature at the first point, mean features), for softplus(z)."""
         shared = self.table.sparkSession.sparkContext.broadcast(points)
-        column = self.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = shared.value
@@ -118,7 +115,7 @@ class _Sums:
                 mean += x.sum(axis=0)
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], loss, grad, curve.ravel(), mean]).tobytes()])], names=["sums"])
 
-        rows = self.table.select(column).mapInArrow(run, "sums binary").collect()  # one row of sums a task
+        rows = self.table.select("x").mapInArrow(run, "sums binary").collect()  # one row of sums a task
         total = np.sum([np.frombuffer(r["sums"]) for r in rows], axis=0) if rows else np.zeros(1 + len(points) + 2 * points.shape[1] + points.shape[1] ** 2)
         k, d = points.shape
         n, loss, grad, curve, mean = np.split(total, [1, 1 + k, 1 + k + d, 1 + k + d + d * d])
@@ -137,7 +134,7 @@ def fit_positive_unlabelled(positive: DataFrame, unlabelled: DataFrame, prior: f
     """
     d = len(expanded(np.zeros((1, len(FEATURES))))[0])
     w = np.zeros(d)
-    pos, unl = _Sums(positive, "x"), _Sums(unlabelled, "x")
+    pos, unl = _Sums(positive), _Sums(unlabelled)
     steps = np.array([0.0])
     move = np.zeros(d)
     for _ in range(rounds):
