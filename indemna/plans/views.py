@@ -123,7 +123,7 @@ class Tables:
         letter = F.when(F.col("p_type") == "STANDARD", "I").otherwise(letter)
         day = lambda c: F.date_format(c, "yyyyMMdd")
         return rows.select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("claim_id"),
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("claim_id"),
             F.col("o_custkey").alias("contract"),
             F.col("c_mktsegment").alias("product"),
             day("o_orderdate").alias("enrolled_on"),
@@ -179,7 +179,7 @@ VIEWS = {
     "v_items": """SELECT article_uid, product, version, number, is_exclusion, unnest(string_split(text, '. ')) AS content,
       generate_subscripts(string_split(text, '. '), 1)::INT AS item, article_uid || '#' || item AS item_uid FROM v_articles""",
     "v_refs": """SELECT article_uid, product, version, number, unnest([doc_id + 80, doc_id * 7 % 997])::VARCHAR AS target, doc_id % 3 = 0 AS in_proviso FROM v_articles""",
-    "v_claims": """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS claim_id, o_custkey AS contract, c_mktsegment AS product,
+    "v_claims": """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS claim_id, o_custkey AS contract, c_mktsegment AS product,
       strftime(o_orderdate, '%Y%m%d') AS enrolled_on, strftime(greatest(o_orderdate, l_shipdate), '%Y%m%d') AS incident_on,
       date_diff('day', o_orderdate::DATE, greatest(o_orderdate, l_shipdate)::DATE)::INT AS days_since,
       floor(l_extendedprice)::BIGINT AS claimed_amount, p_name AS narrative, l_suppkey % 5 <> 0 AS documented, l_quantity::INT % 10 AS hospital_days,
