@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from indemna.llm.common import gram_hashes, lists, mixed, settle, utf8, word_hashes
+from indemna.llm.common import gram_hashes, id_filter, lists, mixed, settle, utf8, word_hashes
 from indemna.llm.components import connected_components
 
 #: Rows of a block of shingles whose minima are taken at once; bounds the memory of a long text.
@@ -54,7 +54,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, seed: int)
                 out["h1"].append(np.bitwise_xor.reduce(mixed(s)) if len(s) else np.uint64(0))
                 out["h2"].append(s.sum(dtype=np.uint64))
                 low = minima(s, a, b)
-                out["sig"].append(low.tobytes())
+                out["sig"].append(low.view(np.int32))
                 keys = low.reshape(bands, rows).astype(np.uint64)
                 acc = np.arange(bands, dtype=np.uint64)
                 for j in range(rows):
@@ -66,34 +66,31 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, seed: int)
                     pa.array(out["n"], pa.int64()),
                     pa.array(np.array(out["h1"], np.uint64).view(np.int64)),
                     pa.array(np.array(out["h2"], np.uint64).view(np.int64)),
-                    pa.array(out["sig"], pa.binary()),
+                    lists(out["sig"], pa.int32()),
                     lists(out["bands"], pa.int64()),
                 ],
                 names=["doc_id", "n_shingles", "h1", "h2", "signature", "bands"],
             )
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary, bands array<long>")
+    return kept.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature array<int>, bands array<long>")
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """The pairs whose signatures agree in at least the share ``least`` of their minima."""
-    left = sigs.select(F.col("doc_id").alias("u"), F.col("signature").alias("su"), F.col("n_shingles").alias("nu"))
-    right = sigs.select(F.col("doc_id").alias("v"), F.col("signature").alias("sv"), F.col("n_shingles").alias("nv"))
+def _agreement(a: str, b: str) -> Column:
+    """The share of equal minima of two signatures."""
+    same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
+    return F.aggregate(same, F.lit(0), lambda n, x: n + x) / F.size(a)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [np.mean(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(same, pa.bool_())).select([0, 1])
 
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+def _agreeing(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """The pairs whose signatures agree in at least the share ``least`` of their minima."""
+    left = members.select(F.col("doc_id").alias("u"), F.col("signature").alias("su"))
+    right = members.select(F.col("doc_id").alias("v"), F.col("signature").alias("sv"))
+    return pairs.join(right, "v").join(left, "u").where(_agreement("su", "sv") >= least).select("u", "v")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The pairs with den * intersection >= num * union of their whole shingle sets."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = settle(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, of = None, None
@@ -112,17 +109,70 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: i
     return pairs.join(right, "v").join(left, "u").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-def minhash_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 24, rows: int = 5, seed: int = 17, slack: float = 0.2) -> DataFrame:
+def _still_apart(met: DataFrame, components: DataFrame) -> DataFrame:
+    """The entries of the buckets whose members are in several components, with their component c."""
+    placed = met.drop("u").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return settle(placed.join(several, "key", "left_semi"))
+
+
+def _close_pairs(rest: DataFrame, bands: DataFrame, texts: DataFrame, shingle: int, similarity: float, seed: int, block: int = 1024) -> DataFrame:
+    """(u, v): pairs of a bucket that are in different components and whose longer signatures (512 minima) agree within
+    four standard deviations. Buckets are compared in pairs of blocks of about ``block`` members, as matrices; a pair
+    that shares several buckets is given by the first."""
+    n = 512
+    a, b = _coefficients(n, seed + 1)
+    spread = (similarity * (1 - similarity)) ** 0.5
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [minima(shingles(text, shingle), a, b).tobytes() for text in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "minima"])
+
+    ids = rest.select("doc_id").distinct()
+    signed = settle(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sign, "doc_id long, minima binary").join(bands, "doc_id"))
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "c").join(signed, "doc_id")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        bucket, lo, hi = (k.as_py() for k in key)
+        own, ids, c = (table.column(x).to_numpy() for x in ("own", "doc_id", "c"))
+        low = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint32).reshape(-1, n)
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        found: list[np.ndarray] = []
+        for i in range(0, len(left), 64):
+            x = left[i : i + 64]
+            near = (low[x, None, :128] == low[None, right, :128]).mean(axis=2) >= similarity - 4 * spread / 128**0.5
+            near &= (c[x][:, None] != c[right][None, :]) & ((ids[x][:, None] < ids[right][None, :]) if lo == hi else True)
+            p, q = np.nonzero(near)
+            p, q = x[p], right[q]
+            for j in range(0, len(p), 4096):
+                u, v = p[j : j + 4096], q[j : j + 4096]
+                same = keys[u] == keys[v]
+                first = keys[u, same.argmax(axis=1)] == bucket
+                good = first & ((low[u] == low[v]).mean(axis=1) >= similarity - 4 * spread / n**0.5)
+                found.append(np.sort(np.stack([ids[u[good]], ids[v[good]]], axis=1), axis=1))
+        out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return pa.table({"u": out[:, 0], "v": out[:, 1]})
+
+    return rows.groupBy("key", "lo", "hi").applyInArrow(compare, "u long, v long")
+
+
+def minhash_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 24, rows: int = 5, seed: int = 17, slack: float = 0.13) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
     Two texts are linked if den * |A n B| >= num * |A u B| for their sets of distinct word shingles.
     Texts with equal sets are one class from the start. Of ``bands * rows`` minima per class, those
     that agree in a whole band are candidates (at a similarity of 0.8 with the default 24 x 5, all
     but 1 in 10,000 pairs); signatures that agree in less than num/den - ``slack`` of the minima are
-    dropped (six standard deviations), the rest is decided on the whole sets. In a band's bucket
-    every member is first compared with the smallest one only; members that are still in different
-    components afterwards are compared with each other, so no link between components is missed and
-    a large group of copies never makes all its pairs.
+    dropped (four standard deviations), the rest is decided on the whole sets. In a band's bucket every
+    member is first compared with the smallest one only, and then with the smallest one that shares the
+    next band too. Members that are still in different components afterwards are compared with each other by
+    longer signatures, so no link between components is missed and a large group of copies never makes all its pairs.
 
     Null and empty texts have no shingle and are linked with nothing. Rows that repeat a doc_id
     share its component; with different texts under one id the id joins both their groups. A null
@@ -132,27 +182,35 @@ def minhash_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     known = sigs.where("doc_id is not null")
     classes = known.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = known.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "n_shingles", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    reps = settle(reps.select("doc_id", "n_shingles", "signature", "bands"))
+    reps = reps.select("doc_id", "signature", "bands")
 
-    entries = reps.select("doc_id", F.explode("bands").alias("key"))
+    turned = F.concat(F.slice("bands", 2, bands - 1), F.slice("bands", 1, 1))
+    entries = reps.select("doc_id", F.explode(F.arrays_zip(F.col("bands").alias("key"), turned.alias("then"))).alias("e")).select("doc_id", "e.key", "e.then")
     pivots = entries.groupBy("key").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n > 1").select("key", "u")
-    first = entries.join(pivots, "key").where("doc_id > u").select("u", F.col("doc_id").alias("v")).distinct()
+    met = settle(entries.join(pivots, "key"))  # the buckets with several members
+    ids = settle(met.select("doc_id").distinct())
+    members = settle(reps.join(ids, "doc_id", "left_semi").select("doc_id", "signature", "bands"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    texts = settle(id_filter(ids, "doc_id")(whole).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     least = num / den - slack
-    edges = settle(_confirmed(settle(_agreeing(first, reps, least)), docs, shingle, num, den))
 
-    grouped = connected_components(edges)
-    placed = entries.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = settle(placed.join(mixed_keys, "key", "left_semi"))
-    left = rest.select("key", F.col("doc_id").alias("u"), F.col("c").alias("cu"))
-    right = rest.select("key", F.col("doc_id").alias("v"), F.col("c").alias("cv"))
-    second = left.join(right, "key").where("u < v and cu <> cv").select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
-    more = _confirmed(settle(_agreeing(second, reps, least)), docs, shingle, num, den)
+    def linked(pairs: DataFrame) -> DataFrame:
+        return settle(_confirmed(settle(_agreeing(pairs, members, least)), texts, shingle, num, den))
+
+    edges = linked(met.where("doc_id > u").select("u", F.col("doc_id").alias("v")).distinct())
+    rest = _still_apart(met, connected_components(edges))
+    nearer = rest.groupBy("key", "then").agg(F.min(F.struct("doc_id", "c")).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = rest.join(nearer, ["key", "then"]).where("doc_id > p.doc_id and c <> p.c").select(F.col("p.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct()
+    edges = edges.unionAll(linked(pairs))
+
+    rest = _still_apart(met, connected_components(edges))
+    pairs = settle(_close_pairs(rest, members.select("doc_id", "bands"), texts, shingle, num / den, seed))
+    edges = edges.unionAll(settle(_confirmed(pairs, texts, shingle, num, den)))
 
     # An id met with different texts bridges their classes.
     named = known.join(classes, ["h1", "h2", "n_shingles"]).groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"))
     bridges = named.where("u <> v").select("u", "v")
-    final = connected_components(edges.unionAll(more).unionAll(bridges)).withColumnRenamed("node", "rep")
+    final = connected_components(edges.unionAll(bridges)).withColumnRenamed("node", "rep")
     placed = known.join(classes, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     placed = placed.join(final, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     placed = placed.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
