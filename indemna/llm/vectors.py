@@ -55,7 +55,10 @@ def build_shard(x: np.ndarray, degree: int, pool: int, seed: int) -> list[np.nda
     n = len(x)
     rng = np.random.default_rng(seed)
     k = min(pool, n)
-    near = np.argpartition(-(x @ x.T), k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (n, 1))
+    if k < n:
+        near = np.concatenate([np.argpartition(-(x[i : i + 512] @ x.T), k - 1, axis=1)[:, :k] for i in range(0, n, 512)])
+    else:
+        near = np.tile(np.arange(n), (n, 1))
     pools = np.concatenate([near, rng.integers(0, n, (n, min(16, n)))], axis=1)
     pools.sort(axis=1)
     twice = np.concatenate([np.zeros((n, 1), bool), pools[:, 1:] == pools[:, :-1]], axis=1)
@@ -69,7 +72,13 @@ def build_shard(x: np.ndarray, degree: int, pool: int, seed: int) -> list[np.nda
     order = np.lexsort((-sims, a))
     a, b = a[order], b[order]
     rank = np.arange(len(a)) - np.searchsorted(a, a)
-    a, b = a[rank < 2 * degree], b[rank < 2 * degree]
+    # A row that is near to very many keeps its nearest ones; the rest hang on the last of these as a chain, so
+    # that what was linked stays reachable with few edges a row.
+    over = np.flatnonzero(rank >= 2 * degree)
+    chain = np.concatenate([b[over - 1] * n + b[over], b[over] * n + b[over - 1]])
+    kept = rank < 2 * degree
+    pairs = np.unique(np.concatenate([a[kept] * n + b[kept], chain]))
+    a, b = pairs // n, pairs % n
     return np.split(b, np.searchsorted(a, np.arange(1, n)))
 
 
@@ -178,7 +187,7 @@ def _unit(vectors: DataFrame) -> DataFrame:
     return reps.mapInArrow(run, "rep long, copies long, size int, v binary")
 
 
-def _links(units: DataFrame, centroids: np.ndarray, threshold: float, overlap: int, probes: int, shard_rows: int, degree: int, beam: int, pool: int, seed: int) -> DataFrame:
+def _links(units: DataFrame, centroids: np.ndarray, threshold: float, overlap: int, probes: int, shard_rows: int, degree: int, beam: int, pool: int, medoids: int, seed: int) -> DataFrame:
     """(a, b, edge): the number b of vectors found linked with a, and edges (a, b) of components."""
     spark = units.sparkSession
     overlap, probes = min(overlap, len(centroids)), min(probes, len(centroids))
@@ -212,7 +221,7 @@ def _links(units: DataFrame, centroids: np.ndarray, threshold: float, overlap: i
     asked = placed.select("rep", "v", "cells", F.explode("cells").alias("cell"))
     sizes = asked.groupBy("cell").count().toPandas()
     chunks = np.ones(len(centroids), np.int32)
-    chunks[sizes["cell"]] = np.maximum(1, -(-sizes["count"] // (4 * shard_rows)))
+    chunks[sizes["cell"]] = np.maximum(1, -(-sizes["count"] // shard_rows))
     into = F.element_at(F.array(*map(F.lit, chunks.tolist())), F.col("cell") + 1)
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), into).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), of - 1)))
     graph = built.join(union, "rep").withColumn("chunk", F.explode(F.sequence(F.lit(0), into - 1)))
@@ -231,12 +240,12 @@ def _links(units: DataFrame, centroids: np.ndarray, threshold: float, overlap: i
             adjacent = np.full((len(rep), max(1, lengths.max())), -1)
             inside = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             adjacent[np.repeat(np.arange(len(rep)), lengths), inside] = local
-            medoid = np.array([int((x @ x.mean(axis=0)).argmax())])
+            entries = np.unique((x @ _centroids(x, medoids, seed).T).argmax(axis=0))
             qrep, q, qcells = right.column("rep").to_numpy(), _rows(right.column("v")), _ints(right.column("cells"), probes)
             spot = np.minimum(np.searchsorted(rep[order], qrep), len(rep) - 1)
             own = np.where(rep[order][spot] == qrep, order[spot], -1)
             for i in range(0, len(q), 256):
-                qi, xi = range_search(x, adjacent, medoid, q[i : i + 256], own[i : i + 256], threshold, beam)
+                qi, xi = range_search(x, adjacent, entries, q[i : i + 256], own[i : i + 256], threshold, max(beam, len(entries) + 1))
                 qi = qi + i
                 keep = qrep[qi] != rep[xi]
                 qi, xi = qi[keep], xi[keep]
@@ -279,16 +288,16 @@ def _audit(units: DataFrame, found: DataFrame, threshold: float, rows: int, seed
     return 1.0 if not told["n"] else told["have"] / told["n"]
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 1200, shard_rows: int = 2000, overlap: int = 2, probes: int = 2, degree: int = 20, beam: int = 20, pool: int = 40, sample_rows: int = 8192, max_cells: int = 1024, audit_rows: int = 256, least_recall: float = 0.98, seed: int = 11) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 1200, shard_rows: int = 4000, overlap: int = 2, probes: int = 3, degree: int = 20, beam: int = 20, pool: int = 40, medoids: int = 16, sample_rows: int = 8192, max_cells: int = 1024, audit_rows: int = 256, least_recall: float = 0.95, repeats: int = 2, seed: int = 11) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audited_recall) of every row of ``vectors`` (vec_id, embedding).
 
     Two vectors are linked if their cosine in doubles is ``threshold`` or more. Equal embeddings are one
     vertex with a number of copies. Centroids, fitted on ``sample_rows`` vertices, deal every vertex to its
     ``overlap`` nearest cells, built as shards of ``shard_rows`` at most; each shard is a graph pruned to
     ``degree`` neighbours, and a vertex's lists of all its shards are united. Every vertex is then searched
-    for in its ``probes`` nearest cells by greedy range search, which computes the cosine of each link it
-    reports. All links of ``audit_rows`` vertices are found by brute force; below a share of ``least_recall``
-    the search is repeated with twice the overlap and probes, up to all cells. There are as many cells as make
+    for in its ``probes`` nearest cells by greedy range search from each shard's ``medoids``, which computes the
+    cosine of each link it reports. All links of ``audit_rows`` vertices are found by brute force; below a share of ``least_recall``
+    the search is repeated with twice the overlap and probes, ``repeats`` times at most, and the share is told. There are as many cells as make
     ``cell_rows`` rows each, ``max_cells`` at most; cells beyond ``shard_rows`` go on in blocks, all of which
     are searched, so no rows are left out at any size.
 
@@ -307,10 +316,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 12
         sample = own.orderBy(F.xxhash64("rep", F.lit(seed + 1)), "rep").limit(sample_rows).toPandas()
         centroids = _centroids(np.array([np.frombuffer(v) for v in sample["v"]]), max(1, min(max_cells, n * overlap // cell_rows)), seed)
         wide, deep = overlap, probes
-        while True:
-            found = _links(own, centroids, threshold, wide, deep, shard_rows, degree, beam, pool, seed)
+        for again in range(repeats + 1):
+            found = _links(own, centroids, threshold, wide, deep, shard_rows, degree, beam, pool, medoids, seed)
             recall = _audit(own, found, threshold, audit_rows, seed)
-            if recall >= least_recall or deep >= len(centroids):
+            if recall >= least_recall or deep >= len(centroids) or again == repeats:
                 break
             wide, deep = 2 * wide, 2 * deep
         links = found if links is None else links.unionAll(found)
