@@ -89,9 +89,8 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much more every document is like the documents of good quality than like the rest."""
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left")
-    return cross_entropy_difference(docs)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents").select("doc_id", "text"), targets=good)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -349,6 +350,42 @@ def test_language_models(spark):
     assert lm.cross_entropy_difference(docs.limit(0), word_bits=12, pair_bits=14).count() == 0
 
 
+def test_language_models_count_exact_grams(spark):
+    """Every loss by plain dictionaries, with the counts of many groups of texts put together."""
+    rng = random.Random(23)
+    vocab = [f"w{i}" for i in range(400)] + ["Ab", "aB", "é"]
+    rows = [(i % 50 or None, "  ".join(rng.choices(vocab, k=rng.randint(1, 60))) + " \n", rng.random() < 0.4) for i in range(120)] + [(900, None, True), (901, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
+    word, first, pair = ({False: Counter(), True: Counter()} for _ in range(3))
+    split = lambda t: (t or "").encode().lower().split()
+    for _, t, target in rows:
+        ws = split(t)
+        word[bool(target)].update(ws)
+        first[bool(target)].update([b"", *ws][:-1])
+        pair[bool(target)].update(zip([b"", *ws], ws))
+    size = len(set(word[True]) | set(word[False]))
+    want = []
+    for i, t, target in rows:
+        ws, losses = split(t), []
+        for m in (True, False):
+            own, loss = bool(target) == m, 0.0
+            total = sum(word[m].values()) - own * len(ws)
+            for a, b in zip([b"", *ws], ws):
+                seen = first[m][a] - own * [b"", *ws][:-1].count(a)
+                smooth = (word[m][b] - own * ws.count(b) + 0.5) / (total + 0.5 * size)
+                after = (pair[m][a, b] - own * list(zip([b"", *ws], ws)).count((a, b))) / max(seen, 1)
+                loss -= math.log(0.7 * after + 0.3 * smooth if seen else smooth)
+            losses.append(loss / len(ws) if ws else None)
+        want.append((i or 0, len(ws), *(round(x, 9) if ws else -1 for x in losses)))
+    for group_bytes in (300, 1 << 20):
+        got = lm.cross_entropy_difference(docs, group_bytes=group_bytes).collect()
+        assert sorted((r.doc_id or 0, r.n_tokens, *(-1 if x is None else round(x, 9) for x in (r.loss_target, r.loss_background))) for r in got) == sorted(want)
+    named = spark.createDataFrame([(i,) for i in (1, 1, 2, 3, None)], "doc_id long")
+    flagged = docs.withColumn("target", F.col("doc_id").isin(1, 2, 3))
+    a, b = (sorted(map(repr, x.collect())) for x in (lm.cross_entropy_difference(docs.drop("target"), targets=named, group_bytes=300), lm.cross_entropy_difference(flagged, group_bytes=300)))
+    assert a == b
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(19)
     base = rng.normal(size=(400, 16))
