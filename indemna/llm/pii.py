@@ -43,8 +43,8 @@ _AT = re.compile(r"(?i)\s*(?:\(\s*(?:at|@)\s*\)|\[\s*(?:at|@)\s*\]|\{\s*(?:at|@)
 _DOT = re.compile(r"(?i)\s*(?:\(\s*(?:dot|point|\.)\s*\)|\[\s*(?:dot|point|\.)\s*\]|\{\s*(?:dot|point|\.)\s*\}|<\s*dot\s*>)\s*")
 _SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*?(\s+dot\s+[A-Za-z]{2,6})\b")
 _BARE_DOT = re.compile(r"(?i)\s+dot\s+")
-#: A text without any of these holds no disguise.
-_HINT = re.compile(rf"(?i)[(\[{{<]\s*(?:at|dot|point|@|\.)\s*[)\]}}>]|_at_|\sdot\s|(?<![a-z])(?:{_SPELLED}|double|triple)[\s,-]+(?:{_SPELLED}|double|triple)(?![a-z])|\bplus\s+[0-9]|{_ODD.pattern}")
+#: A text without any of these holds no disguise: every transducer's pattern holds one of them.
+_HINT = re.compile(rf"(?i)[(\[{{<]\s*(?:at|dot|point|@|\.)\s*[)\]}}>]|_at_|\sdot\s|\b(?:{_SPELLED}|double|triple)[\s,-]+(?:{_SPELLED}|double|triple|dot|point|dash|[0-9])|\bplus\s+[0-9]|\+\s+[0-9]|{_ODD.pattern}")
 
 
 def _passes(kind: str, found: str) -> bool:

@@ -199,6 +199,28 @@ def test_clean_texts_stay_clean(text):
     assert not any(plain.values()) and not any(added.values())
 
 
+@pytest.mark.parametrize("text", ["one point two point three point four", "four 5 six 7 eight 9 zero 1 two 3", "+1 555 two 3 four 5 six 7", "five 500 0000 0000 0009", "three dash 1 four"])
+def test_mixed_digits_are_disguises(text):
+    assert pii._DIGITS.search(text) and pii._HINT.search(text)
+
+
+def test_hint_holds_whatever_a_transducer_rewrites():
+    """Texts of random pieces: without a hint, no transducer changes anything."""
+    rng = random.Random(29)
+    pieces = ["one", "Two", "oh", "double", "triple", "dot", "DOT", "point", "dash", "at", "plus", "+", "5", "42", "x", "é", "joe", "com", "(at)", "[ dot ]", "{ at}", "< at >", "<dot>", "(.)", "[@]", "_at_", "a.b", "@", "‐"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", " ", ", ", "-", "\n", "\u2003"]) for _ in range(rng.randint(1, 7)))
+        if not pii._HINT.search(text):
+            assert pii.normalised(text).text == text, text
+            assert not pii._DIGITS.search(text) and not pii._AT.search(text), text
+
+
+@pytest.mark.parametrize(("text", "kind"), [("host one point two point three point four", "ip"), ("card five 500 0000 0000 0004", "card"), ("call +1 555 two 3 four 5 six 7", "phone")])
+def test_mixed_digits_are_found(text, kind):
+    _, added = pii.all_spans(text)
+    assert added[kind], added
+
+
 def test_pii_rows(spark):
     rows = [(1, "x@y.zz"), (1, "x@y.zz"), (2, None), (3, ""), (None, "a" * 200_000 + "@b.cc 1" + "1" * 50_000)]
     got = pii.find_pii(frame(spark, rows), mask=True).collect()
