@@ -17,8 +17,8 @@ from indemna.llm.winnow import decontaminate
 #: Columns of documents, which every stage but the last returns.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: A document whose words look like no learned language in at least this share of ranks is rejected.
-LEAST_LANGUAGE_SCORE = 0.05
+#: A document with a lower score in its best language is rejected; it lies between letter salad and clean texts.
+LEAST_LANGUAGE_SCORE = 0.3
 #: Share of the tokens left that the mix takes, and weights by path; other nodes weigh 1.
 MIX_SHARE = 0.8
 MIX_WEIGHTS = {("domain0",): 3, ("domain1",): 2, ("domain0", "en"): 2}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -24,6 +26,18 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() == docs.count()
 
 
+def test_letter_salad_is_rejected(spark):
+    rng = random.Random(31)
+    real = spark.read.parquet(f"{FOLDER}/documents.parquet").where("text is not null and lang is not null").orderBy("doc_id").limit(150).select("text", "lang").collect()
+    salad = [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(30)) for letters in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz") for _ in range(10)]
+    short = [" ".join(r.text.split()[:5]) for r in real if len(r.text.split()) > 50][:30]
+    rows = [(i, r.text, r.lang, "x", 0) for i, r in enumerate(real)] + [(1000 + i, t, None, "x", 0) for i, t in enumerate(short)] + [(2000 + i, t, None, "x", 0) for i, t in enumerate(salad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, FOLDER).select("doc_id").collect()}
+    assert len(short) == 30 and set(range(1000, 1030)) <= kept
+    assert not kept & set(range(2000, 2020))
+
+
 @pytest.mark.parametrize("n", [0, 4])
 def test_awkward_rows(spark, n):
     rows = [(1, None, "en", None, None), (2, "", None, "src1", 0), (3, "the thing is what it is and was", None, "src1", 5), (3, "the thing is what it is and was", "en", "x", 5)][:n]
