@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Odd multiplier of the rolling combination of word hashes (2**64 / golden ratio).
@@ -17,16 +16,18 @@ _ROLL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+#: Bits of the filters of ids: 16 for each id, 2**27 (16 MB in one broadcast row) at most.
+_LEAST_BITS, _MOST_BITS = 16, 27
+#: A key that more than a thousandth of all rows have is joined in parts; there are fewer than _SHARE of these.
+_SHARE, _PARTS = 1000, 64
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not spark.conf.get("spark.indemna.scratch", None):
-        spark.conf.set("spark.indemna.scratch", tempfile.mkdtemp(prefix="spark-"))
-    return "file://" + spark.conf.get("spark.indemna.scratch")
+    return folder.rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -37,27 +38,29 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = 23):
-    """A function that keeps the rows of (id, ...) whose id may be among ``ids``: a bitmap of 2**bits places (1 MB),
-    whatever the number of ids. Some other rows pass too, so an exact join has to follow."""
-    spark = ids.sparkSession
-    slots = ids.select(F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), 64 - bits).alias("slot"))
-    packed = slots.selectExpr("cast(slot div 64 as int) as at", "shiftleft(1L, cast(slot % 64 as int)) as bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    words = np.zeros(2**bits // 64, np.int64)
-    words[packed["at"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
-            there = (shared.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)).astype(np.int64)) & 1
-            yield batch.filter(pa.array(there.astype(bool))).select(list(range(1, batch.num_columns)))
-
-    def keep(rows: DataFrame) -> DataFrame:
-        own = rows.select(F.xxhash64(F.col(rows.columns[0]).cast("long")).alias("hash_of_id"), *rows.columns)
-        return own.mapInArrow(run, rows.schema)
-
-    return keep
+def among(rows: DataFrame, value: Column, ids: DataFrame, there: bool = True) -> DataFrame:
+    """The rows whose ``value`` (a long hash) may be among ``ids`` (one settled long column of hashes); those that surely
+    aren't if not ``there``. Some rows more may be among them, the more the fuller the filter, so whatever follows has
+    to be exact by itself; it then shuffles only what has passed."""
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (16 * ids.count()).bit_length()))
+    slots = ids.select(F.shiftrightunsigned(F.col(ids.columns[0]), 64 - bits).alias("slot"))
+    packed = slots.selectExpr("slot div 64 as at", "shiftleft(1L, cast(slot % 64 as int)) as bit").groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    every = ids.sparkSession.range(2**bits // 64).withColumnRenamed("id", "at").join(packed, "at", "left")
+    filled = every.agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("f"))
+    filled = filled.select(F.transform("f", lambda x: x["bits"]).alias("indemna_filter"))
+    rows = rows.withColumn("indemna_slot", F.shiftrightunsigned(value, 64 - bits)).crossJoin(F.broadcast(filled))
+    bit = F.expr("shiftright(element_at(indemna_filter, cast(indemna_slot div 64 as int) + 1), cast(indemna_slot % 64 as int))")
+    return rows.where(bit.bitwiseAND(F.lit(1).cast("long")) == int(there)).drop("indemna_slot", "indemna_filter")
+
+
+def join_in_parts(rows: DataFrame, told: DataFrame, on: list[str], spread: list[str], counts: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``told``, which has each key once. ``counts`` (on, n) tells how many of the ``n`` rows have a
+    key; the rows of very frequent keys are dealt to parts by their ``spread`` columns, and ``told`` is copied to each.
+    Fewer than 1,000 keys can be that frequent, so these are broadcast."""
+    common = F.broadcast(counts.where(F.col("n") > F.lit(max(1, n // _SHARE))).select(*on, F.lit(_PARTS).alias("parts")))
+    dealt = rows.join(common, on, "left").withColumn("part", F.pmod(F.xxhash64(*spread), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copied = told.join(common, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copied, [*on, "part"], how).drop("part")
 
 
 def utf8(column: pa.Array) -> list[bytes]:

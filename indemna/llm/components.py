@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indemna.llm.common import settle
+from indemna.llm.common import join_in_parts, settle
 
 
 def _state(edges: DataFrame):
@@ -13,21 +13,23 @@ def _state(edges: DataFrame):
     return row["n"], row["x"]
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component): each node that has an edge, with the smallest node reachable from it.
 
     Large-star links every larger neighbour of a node to the node's smallest neighbour; small-star
     links every smaller one, and the node itself. Both are an aggregate with partial sums and an
-    equi join, so a node with very many neighbours never meets in one task. Loops and nulls in the
+    equi join in which the edges of a node with very many neighbours are dealt to several parts.
+    Rounds go on until nothing changes, about the logarithm of the longest chain. Loops and nulls in the
     edges are ignored, repeated edges count once; no edges give no rows.
     """
     pair = edges.select(F.greatest(u, v).alias("hi"), F.least(u, v).alias("lo"), (F.col(u) == F.col(v)).alias("same"))
     stars = settle(pair.where(~F.col("same")).select("hi", "lo").distinct())
     state = _state(stars)
-    for _ in range(max_rounds):
+    before = None
+    while state != before:
         both = stars.select(F.col("hi").alias("x"), F.col("lo").alias("y")).unionAll(stars.select("lo", "hi"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+        large = join_in_parts(both.where("y > x"), least.drop("n"), ["x"], ["y"], least, 2 * state[0]).select(F.col("y").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (
             large.join(low, "hi")
@@ -38,9 +40,5 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         )
         stars, before = settle(small), state
         state = _state(stars)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = stars.select(F.col("lo").alias("node")).distinct()
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))

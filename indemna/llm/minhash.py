@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from indemna.llm.common import gram_hashes, id_filter, lists, mixed, settle, utf8, word_hashes
+from indemna.llm.common import among, gram_hashes, join_in_parts, lists, mixed, settle, utf8, word_hashes
 from indemna.llm.components import connected_components
 
 #: Rows of a block of shingles whose minima are taken at once; bounds the memory of a long text.
 _BLOCK = 512
+#: Pairs with one pivot that are compared in one group; a pivot of more pairs has its text copied to each group.
+_PAIRS = 256
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -42,7 +44,7 @@ def minima(items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, signature, bands) of every row; no band if the text has no word."""
+    """(doc_id, th, n_shingles, h1, h2, signature, bands) of every row, th a hash of the text; no band if it has no word."""
     a, b = _coefficients(bands * rows, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,17 +65,22 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, seed: int)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(out["n"], pa.int64()),
                     pa.array(np.array(out["h1"], np.uint64).view(np.int64)),
                     pa.array(np.array(out["h2"], np.uint64).view(np.int64)),
                     lists(out["sig"], pa.int32()),
                     lists(out["bands"], pa.int64()),
                 ],
-                names=["doc_id", "n_shingles", "h1", "h2", "signature", "bands"],
+                names=["doc_id", "th", "n_shingles", "h1", "h2", "signature", "bands"],
             )
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature array<int>, bands array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, h1 long, h2 long, signature array<int>, bands array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def _agreement(a: str, b: str) -> Column:
@@ -82,15 +89,22 @@ def _agreement(a: str, b: str) -> Column:
     return F.aggregate(same, F.lit(0), lambda n, x: n + x) / F.size(a)
 
 
+def _grouped(pairs: DataFrame) -> DataFrame:
+    """(u, v, part): distinct pairs, those with one ``u`` dealt to groups of about ``_PAIRS``."""
+    pairs = settle(pairs.distinct())
+    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / _PAIRS).cast("int").alias("parts")).where("parts > 1")
+    return pairs.join(many, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+
+
 def _agreeing(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """The pairs whose signatures agree in at least the share ``least`` of their minima."""
-    left = members.select(F.col("doc_id").alias("u"), F.col("signature").alias("su"))
-    right = members.select(F.col("doc_id").alias("v"), F.col("signature").alias("sv"))
-    return pairs.join(right, "v").join(left, "u").where(_agreement("su", "sv") >= least).select("u", "v")
+    """The pairs (u, v, part) whose signatures agree in at least the share ``least`` of their minima."""
+    left = pairs.select("u", "part").distinct().join(members.select(F.col("id").alias("u"), F.col("signature").alias("su")), "u")
+    right = members.select(F.col("id").alias("v"), F.col("signature").alias("sv"))
+    return pairs.join(right, "v").join(left, ["u", "part"]).where(_agreement("su", "sv") >= least).select("u", "v", "part")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """The pairs with den * intersection >= num * union of their whole shingle sets."""
+    """The pairs (u, v, part) with den * intersection >= num * union of their whole shingle sets, as (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, of = None, None
@@ -104,15 +118,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den:
                 same.append(den * both >= num * (len(of) + len(other) - both))
             yield batch.filter(pa.array(same, pa.bool_())).select([0, 1])
 
-    right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
-    left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu"))
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+    right = texts.select(F.col("id").alias("v"), F.col("text").alias("tv"))
+    left = pairs.select("u", "part").distinct().join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
+    return pairs.join(right, "v").join(left, ["u", "part"]).select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
 def _still_apart(met: DataFrame, components: DataFrame) -> DataFrame:
     """The entries of the buckets whose members are in several components, with their component c."""
-    placed = met.drop("u").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    placed = met.drop("u").join(components.withColumnRenamed("node", "id"), "id", "left")
+    placed = placed.withColumn("c", F.coalesce("component", "id")).drop("component")
     several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     return settle(placed.join(several, "key", "left_semi"))
 
@@ -128,18 +142,18 @@ def _close_pairs(rest: DataFrame, bands: DataFrame, texts: DataFrame, shingle: i
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [minima(shingles(text, shingle), a, b).tobytes() for text in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "minima"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "minima"])
 
-    ids = rest.select("doc_id").distinct()
-    signed = settle(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sign, "doc_id long, minima binary").join(bands, "doc_id"))
+    ids = rest.select("id").distinct()
+    signed = settle(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sign, "id long, minima binary").join(bands, "id"))
     sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    rows = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "c").join(signed, "doc_id")
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "c").join(signed, "id")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         bucket, lo, hi = (k.as_py() for k in key)
-        own, ids, c = (table.column(x).to_numpy() for x in ("own", "doc_id", "c"))
+        own, ids, c = (table.column(x).to_numpy() for x in ("own", "id", "c"))
         low = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint32).reshape(-1, n)
         keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
@@ -162,6 +176,52 @@ def _close_pairs(rest: DataFrame, bands: DataFrame, texts: DataFrame, shingle: i
     return rows.groupBy("key", "lo", "hi").applyInArrow(compare, "u long, v long")
 
 
+def near_duplicate_rows(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 24, rows: int = 5, seed: int = 17, slack: float = 0.13) -> DataFrame:
+    """(row, doc_id, th, n_shingles, component) of every row of ``docs`` (doc_id, text), each a document of its own
+    whatever its id: th is a hash of its text, row a number of its own, and component the least row that links reach.
+
+    See ``minhash_components`` for what is linked and how. A row without words is alone in its component.
+    """
+    sigs = settle(signatures(docs, shingle, bands, rows, seed).withColumn("row", F.monotonically_increasing_id()))
+    usable = sigs.where("n_shingles > 0")
+    same = ["h1", "h2", "n_shingles"]
+    classes = settle(usable.groupBy(*same).agg(F.min("row").alias("id"), F.count("*").alias("n")))
+    # A class with one row is that row; only what may have copies is looked up.
+    copied = settle(classes.where("n > 1"))
+    hashes = settle(copied.select("h1"))
+    first = among(usable, F.col("h1"), hashes, False).unionAll(among(usable, F.col("h1"), hashes).join(classes.select(F.col("id").alias("row")), "row", "left_semi").select(*usable.columns))
+    reps = first.select(F.col("row").alias("id"), "doc_id", "th", "signature", "bands")
+
+    turned = F.concat(F.slice("bands", 2, bands - 1), F.slice("bands", 1, 1))
+    entries = reps.select("id", F.explode(F.arrays_zip(F.col("bands").alias("key"), turned.alias("then"))).alias("e")).select("id", "e.key", "e.then")
+    pivots = entries.groupBy("key").agg(F.min("id").alias("u"), F.count("*").alias("n")).where("n > 1").select("key", "u")
+    met = settle(entries.join(pivots, "key"))  # the buckets with several members
+    ids = settle(met.select("id").distinct())
+    members = settle(reps.join(ids, "id", "left_semi"))
+    places = settle(members.select("id", F.col("doc_id").alias("d"), F.col("th").alias("t")))
+    whole = among(_texts(docs), F.xxhash64("doc_id", "th"), settle(places.select(F.xxhash64("d", "t"))))
+    texts = settle(whole.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("id", "doc_id", "th", "text").dropDuplicates(["doc_id", "th", "id"]).select("id", "text"))
+    least = num / den - slack
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return settle(_confirmed(settle(_agreeing(_grouped(pairs), members, least)), texts, shingle, num, den))
+
+    edges = linked(met.where("id > u").select("u", F.col("id").alias("v")))
+    rest = _still_apart(met, connected_components(edges))
+    nearer = rest.groupBy("key", "then").agg(F.min(F.struct("id", "c")).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
+    edges = edges.unionAll(linked(rest.join(nearer, ["key", "then"]).where("id > p.id and c <> p.c").select(F.col("p.id").alias("u"), F.col("id").alias("v"))))
+
+    rest = _still_apart(met, connected_components(edges))
+    pairs = _close_pairs(rest, members.select("id", "bands"), texts, shingle, num / den, seed)
+    edges = edges.unionAll(settle(_confirmed(_grouped(pairs), texts, shingle, num, den)))
+
+    parts = connected_components(edges).withColumnRenamed("node", "id")
+    told = settle(classes.join(parts, "id", "left").select(*same, F.coalesce("component", "id").alias("component"), "n"))
+    placed = join_in_parts(usable.select(*same, "row", "doc_id", "th"), told.drop("n"), same, ["row"], told, sigs.count())
+    columns = ("row", "doc_id", "th", "n_shingles", "component")
+    return placed.select(*columns).unionAll(sigs.where("n_shingles = 0").withColumn("component", F.col("row")).select(*columns))
+
+
 def minhash_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 24, rows: int = 5, seed: int = 17, slack: float = 0.13) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
@@ -174,45 +234,20 @@ def minhash_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     next band too. Members that are still in different components afterwards are compared with each other by
     longer signatures, so no link between components is missed and a large group of copies never makes all its pairs.
 
-    Null and empty texts have no shingle and are linked with nothing. Rows that repeat a doc_id
-    share its component; with different texts under one id the id joins both their groups. A null
-    doc_id is returned with a null component and not kept. Other columns are ignored.
+    Null and empty texts have no shingle and are linked with nothing; very long ones are taken whole. Rows that repeat
+    a doc_id share its component; with different texts under one id the id joins the groups of all of them. A null
+    doc_id is returned with a null component and not kept, and joins no groups. Other columns are ignored.
     """
-    sigs = settle(signatures(docs, shingle, bands, rows, seed))
-    known = sigs.where("doc_id is not null")
-    classes = known.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = known.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "n_shingles", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    reps = reps.select("doc_id", "signature", "bands")
-
-    turned = F.concat(F.slice("bands", 2, bands - 1), F.slice("bands", 1, 1))
-    entries = reps.select("doc_id", F.explode(F.arrays_zip(F.col("bands").alias("key"), turned.alias("then"))).alias("e")).select("doc_id", "e.key", "e.then")
-    pivots = entries.groupBy("key").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n > 1").select("key", "u")
-    met = settle(entries.join(pivots, "key"))  # the buckets with several members
-    ids = settle(met.select("doc_id").distinct())
-    members = settle(reps.join(ids, "doc_id", "left_semi").select("doc_id", "signature", "bands"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    texts = settle(id_filter(ids, "doc_id")(whole).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    least = num / den - slack
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return settle(_confirmed(settle(_agreeing(pairs, members, least)), texts, shingle, num, den))
-
-    edges = linked(met.where("doc_id > u").select("u", F.col("doc_id").alias("v")).distinct())
-    rest = _still_apart(met, connected_components(edges))
-    nearer = rest.groupBy("key", "then").agg(F.min(F.struct("doc_id", "c")).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = rest.join(nearer, ["key", "then"]).where("doc_id > p.doc_id and c <> p.c").select(F.col("p.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct()
-    edges = edges.unionAll(linked(pairs))
-
-    rest = _still_apart(met, connected_components(edges))
-    pairs = settle(_close_pairs(rest, members.select("doc_id", "bands"), texts, shingle, num / den, seed))
-    edges = edges.unionAll(settle(_confirmed(pairs, texts, shingle, num, den)))
-
-    # An id met with different texts bridges their classes.
-    named = known.join(classes, ["h1", "h2", "n_shingles"]).groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"))
-    bridges = named.where("u <> v").select("u", "v")
-    final = connected_components(edges.unionAll(bridges)).withColumnRenamed("node", "rep")
-    placed = known.join(classes, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    placed = placed.join(final, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    told = settle(near_duplicate_rows(docs.where("doc_id is not null"), shingle, num, den, bands, rows, seed, slack))
+    # An id met in several components bridges them.
+    several = told.groupBy("doc_id").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u <> v").select("doc_id", "u")
+    bridges = settle(told.join(several, "doc_id").where("component <> u").select("u", F.col("component").alias("v")).distinct())
+    joined = connected_components(bridges).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    sizes = told.groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(joined, "component", "left")
+    sizes = settle(sizes.select("component", F.coalesce("to", "component").alias("to"), "least", "n"))
+    least = sizes.groupBy("to").agg(F.min("least").alias("component_id"))
+    named = settle(sizes.join(least, "to").select("component", "component_id", "n"))
+    placed = join_in_parts(told, named.drop("n"), ["component"], ["row"], named, told.count())
     placed = placed.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-    lost = sigs.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("kept"))
-    return placed.unionAll(lost)
+    lost = signatures(docs.where("doc_id is null"), shingle, bands, rows, seed)
+    return placed.unionAll(lost.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("kept")))
