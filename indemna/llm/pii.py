@@ -15,9 +15,9 @@ Span = tuple[int, int]
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
-_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+#: A run of digits that starts no address has no later digit that starts one, so only its first is tried.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -39,10 +39,11 @@ _ODD = re.compile("[" + re.escape("".join(_PLAIN) + _HIDDEN) + "]")
 _SPELLED = "|".join(NUMBERS)
 _DIGITS = re.compile(rf"(?i)\b(?:{_SPELLED}|double|triple)(?:[\s,-]+(?:{_SPELLED}|double|triple|dot|point|dash|[0-9]+)){{2,}}\b")
 _PLUS = re.compile(r"(?i)\bplus(?=\s+[0-9])")
-_AT = re.compile(r"(?i)\s*(?:\(\s*(?:at|@)\s*\)|\[\s*(?:at|@)\s*\]|\{\s*(?:at|@)\s*\}|<\s*at\s*>|(?<=\s)_at_(?=\s))\s*")
-_DOT = re.compile(r"(?i)\s*(?:\(\s*(?:dot|point|\.)\s*\)|\[\s*(?:dot|point|\.)\s*\]|\{\s*(?:dot|point|\.)\s*\}|<\s*dot\s*>)\s*")
-_SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*?(\s+dot\s+[A-Za-z]{2,6})\b")
-_BARE_DOT = re.compile(r"(?i)\s+dot\s+")
+#: The marks alone; what is blank around them goes with them, see ``_with_blanks``.
+_AT = re.compile(r"(?i)\(\s*(?:at|@)\s*\)|\[\s*(?:at|@)\s*\]|\{\s*(?:at|@)\s*\}|<\s*at\s*>|(?<=\s)_at_(?=\s)")
+_DOT = re.compile(r"(?i)\(\s*(?:dot|point|\.)\s*\)|\[\s*(?:dot|point|\.)\s*\]|\{\s*(?:dot|point|\.)\s*\}|<\s*dot\s*>")
+_SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(\s++at\s++)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*?(\s+dot\s+[A-Za-z]{2,6})\b")
+_BARE_DOT = re.compile(r"(?i)(?<=\s)dot(?=\s)")
 #: A text without any of these holds no disguise: every transducer's pattern holds one of them.
 _HINT = re.compile(rf"(?i)[(\[{{<]\s*(?:at|dot|point|@|\.)\s*[)\]}}>]|_at_|\sdot\s|\b(?:{_SPELLED}|double|triple)[\s,-]+(?:{_SPELLED}|double|triple|dot|point|dash|[0-9])|\bplus\s+[0-9]|\+\s+[0-9]|{_ODD.pattern}")
 
@@ -94,6 +95,8 @@ class Mapped:
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace each [a, b) by a string whose characters all stand for the whole replaced source."""
+        if not edits:
+            return
         parts, starts, ends, done = [], [], [], 0
         for a, b, new in edits:
             parts += [self.text[done:a], new]
@@ -115,21 +118,34 @@ def _spelled(found: str) -> str:
     return out
 
 
+def _with_blanks(text: str, spans: list[Span], new: str) -> list[tuple[int, int, str]]:
+    """Edits that replace each span and the blanks on both sides; a run of blanks is read once from either side."""
+    edits, done = [], 0
+    for a, b in spans:
+        while a > done and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        edits.append((a, b, new))
+        done = b
+    return edits
+
+
 def normalised(text: str) -> Mapped:
     """The transducers in turn: look-alikes and hidden characters, digits by name, at and dot."""
     m = Mapped(text)
     m.rewrite([(x.start(), x.end(), _PLAIN.get(x[0], "")) for x in _ODD.finditer(m.text)])
     m.rewrite([(x.start(), x.end(), _spelled(x[0])) for x in _DIGITS.finditer(m.text)])
     m.rewrite([(x.start(), x.end(), "+") for x in _PLUS.finditer(m.text)])
-    m.rewrite([(x.start(), x.end(), "@") for x in _AT.finditer(m.text)])
-    m.rewrite([(x.start(), x.end(), ".") for x in _DOT.finditer(m.text)])
+    m.rewrite(_with_blanks(m.text, [x.span() for x in _AT.finditer(m.text)], "@"))
+    m.rewrite(_with_blanks(m.text, [x.span() for x in _DOT.finditer(m.text)], "."))
     edits = []
     for x in _SPOKEN.finditer(m.text):
         edits.append((*x.span(1), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(m.text, x.end(1), x.end(2))]
+        edits += _with_blanks(m.text, [d.span() for d in _BARE_DOT.finditer(m.text, x.end(1), x.end(2))], ".")
     m.rewrite(edits)
-    at_dots = [x for x in _BARE_DOT.finditer(m.text) if re.search(r"@[A-Za-z0-9.-]+\Z", m.text[max(0, x.start() - 64) : x.start()]) and re.match(r"[A-Za-z]{2,6}\b", m.text[x.end() : x.end() + 7])]
-    m.rewrite([(x.start(), x.end(), ".") for x in at_dots])
+    dots = _with_blanks(m.text, [x.span() for x in _BARE_DOT.finditer(m.text)], ".") if "@" in m.text else []
+    m.rewrite([(a, b, new) for a, b, new in dots if re.search(r"@[A-Za-z0-9.-]+\Z", m.text[max(0, a - 64) : a]) and re.match(r"[A-Za-z]{2,6}\b", m.text[b : b + 7])])
     # "+1 5 5 5": a sign that was spelled stands before its digits.
     m.rewrite([(x.start(), x.end(), "+") for x in re.finditer(r"\+\s+(?=[0-9])", m.text)])
     return m
@@ -166,7 +182,8 @@ def find_pii(docs: DataFrame, mask: bool = False) -> DataFrame:
     The counts and base_sha256 are of the plain spans; ``spans`` lists these and the added ones as
     kind:start:end, by kind and start. ``mask`` adds the text with each span replaced by [KIND]; where
     spans of two kinds overlap, their union is replaced and named after the earlier kind. A null text
-    counts as empty. Every whole text is read; repeated rows give repeated results.
+    counts as empty; a null doc_id is returned as such. Every whole text is read, in time that grows with its
+    length; repeated rows give repeated results. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
