@@ -181,12 +181,14 @@ WITH t AS (
 ), p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
 m AS (
   SELECT t.conv_id, perspective, place // 4096 AS segment, place, role = perspective AS own,
-    CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user:' || role || '|>' END || chr(10) AS head, text || '<|end|>' AS body
+    CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>'
+      ELSE '<|user:' || replace(replace(replace(role, '<|', '<\\|'), '|>', '|\\>'), chr(10), ' ') || '|>' END || chr(10) AS head, replace(text, '<|', '<\\|') || '<|end|>' AS body
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), o AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, segment ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start FROM m
 )
-SELECT conv_id, perspective, segment, count(*) AS n_turns, count(*) FILTER (own) AS n_trained, sum(length(head) + length(body) + 1)::BIGINT AS n_chars,
+SELECT conv_id, perspective, segment,
+  coalesce(sum(sum(length(head) + length(body) + 1)) OVER (PARTITION BY conv_id, perspective ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead, count(*) AS n_turns, count(*) FILTER (own) AS n_trained, sum(length(head) + length(body) + 1)::BIGINT AS n_chars,
   coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY place) FILTER (own), '') AS mask,
   sha256(string_agg(head || body || chr(10), '' ORDER BY place)) AS text_sha256
 FROM o GROUP BY conv_id, perspective, segment
