@@ -9,12 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indemna.llm.common import lists, settle
+from indemna.llm.common import join_in_parts, lists, settle
 from indemna.llm.components import connected_components
 
-#: Lengths of vectors that one table may hold; vectors of different lengths are never linked.
-_MAX_LENGTHS = 64
-
 
 def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
@@ -168,12 +165,22 @@ def _centroids(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return c
 
 
-def _unit(vectors: DataFrame) -> DataFrame:
-    """(rep, copies, size, v): one row for each distinct usable embedding, v its unit vector as doubles."""
-    wide = F.transform("embedding", lambda x: x.cast("double"))
-    good = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), wide.alias("e"))
-    good = good.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0))
-    reps = good.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+#: Two hashes of an embedding, which stand for it.
+_KEY = ("e1", "e2")
+
+
+def _keyed(vectors: DataFrame) -> DataFrame:
+    """(vec_id, e, e1, e2, usable): each row's embedding as doubles without negative zeros, and its hashes."""
+    wide = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), wide.alias("e"))
+    usable = F.col("vec_id").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
+    return rows.select("vec_id", "e", F.xxhash64("e").alias("e1"), F.xxhash64(F.lit(1), "e").alias("e2"), F.coalesce(usable, F.lit(False)).alias("usable"))
+
+
+def _unit(rows: DataFrame) -> DataFrame:
+    """(rep, least, copies, size, v, e1, e2): one row for each distinct usable embedding. rep is a number of its own, least
+    the least vec_id that has it, v its unit vector as doubles."""
+    reps = rows.where("usable").groupBy(*_KEY, "e").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,9 +189,10 @@ def _unit(vectors: DataFrame) -> DataFrame:
                 v = np.array(e.values, np.float64)
                 v = v / np.abs(v).max()
                 out.append((v / np.linalg.norm(v)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([len(v) // 8 for v in out], pa.int32()), pa.array(out, pa.binary())], names=["rep", "copies", "size", "v"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([len(v) // 8 for v in out], pa.int32()), pa.array(out, pa.binary())], names=["least", "copies", *_KEY, "size", "v"])
 
-    return reps.mapInArrow(run, "rep long, copies long, size int, v binary")
+    units = reps.select("e", "least", "copies", *_KEY).mapInArrow(run, "least long, copies long, e1 long, e2 long, size int, v binary")
+    return units.withColumn("rep", F.monotonically_increasing_id())
 
 
 def _links(units: DataFrame, centroids: np.ndarray, threshold: float, overlap: int, probes: int, shard_rows: int, degree: int, beam: int, pool: int, medoids: int, seed: int) -> DataFrame:
@@ -269,7 +277,7 @@ def _links(units: DataFrame, centroids: np.ndarray, threshold: float, overlap: i
 
 def _audit(units: DataFrame, found: DataFrame, threshold: float, rows: int, seed: int) -> float:
     """Share of the true links of ``rows`` vectors, chosen by hash, that were found; all rows are compared with these."""
-    chosen = units.orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(rows).toPandas()
+    chosen = units.orderBy(F.xxhash64("least", *_KEY, F.lit(seed)), "rep").limit(rows).toPandas()
     shared = units.sparkSession.sparkContext.broadcast((chosen["rep"].to_numpy(), np.array([np.frombuffer(v) for v in chosen["v"]])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,23 +305,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 12
     ``degree`` neighbours, and a vertex's lists of all its shards are united. Every vertex is then searched
     for in its ``probes`` nearest cells by greedy range search from each shard's ``medoids``, which computes the
     cosine of each link it reports. All links of ``audit_rows`` vertices are found by brute force; below a share of ``least_recall``
-    the search is repeated with twice the overlap and probes, ``repeats`` times at most, and the share is told. There are as many cells as make
+    the search is repeated with twice the overlap and probes, ``repeats`` times at most; the share is told, whatever it is. There are as many cells as make
     ``cell_rows`` rows each, ``max_cells`` at most; cells beyond ``shard_rows`` go on in blocks, all of which
     are searched, so no rows are left out at any size.
 
     Vectors that are null, empty or zero or hold null or non-finite components are linked with nothing;
-    nor are vectors of different lengths. Rows that repeat a vec_id are rows of their own, linked with each
-    other if they are alike. A null vec_id gives null component_id and no links.
+    nor are vectors of different lengths, each of which makes an index of its own, one after the other. Rows that
+    repeat a vec_id are rows of their own, linked with each other if they are alike; component_id is the least vec_id
+    of all vectors that links reach from the row. A null vec_id gives null component_id and no links. Other columns are
+    ignored; no rows give none.
     """
-    units = settle(_unit(vectors))
-    sizes = [r["size"] for r in units.select("size").distinct().limit(_MAX_LENGTHS + 1).collect()]
-    if len(sizes) > _MAX_LENGTHS:
-        raise ValueError(f"more than {_MAX_LENGTHS} lengths of vectors")
+    keyed = _keyed(vectors)
+    units = settle(_unit(keyed))
+    sizes = [r["size"] for r in units.select("size").distinct().orderBy("size").collect()]
     links, recalls = None, []
     for size in sizes:
         own = units.where(F.col("size") == size)
         n = own.count()
-        sample = own.orderBy(F.xxhash64("rep", F.lit(seed + 1)), "rep").limit(sample_rows).toPandas()
+        sample = own.orderBy(F.xxhash64("least", *_KEY, F.lit(seed + 1)), "rep").limit(sample_rows).toPandas()
         centroids = _centroids(np.array([np.frombuffer(v) for v in sample["v"]]), max(1, min(max_cells, n * overlap // cell_rows)), seed)
         wide, deep = overlap, probes
         for again in range(repeats + 1):
@@ -324,17 +333,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 12
             wide, deep = 2 * wide, 2 * deep
         links = found if links is None else links.unionAll(found)
         recalls.append(recall)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    rows = keyed.select("vec_id", *[F.when(F.col("usable"), F.col(k)).alias(k) for k in _KEY])
+    n_links = F.lit(0).cast("long")
     if links is None:
-        rows = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        rows = rows.select("vec_id", n_links.alias("n_links"), F.col("vec_id").alias("component_id"))
     else:
-        n_links = links.where("not edge").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n"))
+        counted = links.where("not edge").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n"))
         parts = connected_components(links.where("edge").select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "rep")
-        told = units.select("rep", "copies").join(n_links, "rep", "left").join(parts, "rep", "left")
-        told = told.select("rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-        wide = F.transform("embedding", lambda x: x.cast("double"))
-        same = rows.where("vec_id is not null").select("vec_id", wide.alias("e")).groupBy("e").agg(F.min("vec_id").alias("rep"))
-        rows = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), wide).alias("e"))
-        rows = rows.join(same, "e", "left").join(told, "rep", "left")
-        rows = rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        told = units.select("rep", "least", "copies", *_KEY).join(counted, "rep", "left").join(parts, "rep", "left").withColumn("part_of", F.coalesce("component", "rep"))
+        told = settle(told.select(*_KEY, "part_of", "least", (F.coalesce("n", n_links) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n")))
+        least = told.groupBy("part_of").agg(F.min("least").alias("component_id"))
+        named = told.join(least, "part_of").select(*_KEY, "n_links", "component_id")
+        rows = join_in_parts(rows, named, list(_KEY), ["vec_id"], told.select(*_KEY, "n"), vectors.count(), "left")
+        rows = rows.select("vec_id", F.coalesce("n_links", n_links).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))).withColumn("audited_recall", F.lit(min(recalls, default=1.0)))
