@@ -99,13 +99,15 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return u, np.bincount(at, weights=n, minlength=len(u)).astype(np.int64)
 
 
-def identify_language(docs: DataFrame, profiles: DataFrame, top: int = 400) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of ``docs`` (doc_id, text), from ``language_profiles``.
+def identify_language(docs: DataFrame, profiles: DataFrame, top: int = 400, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row of ``docs`` (doc_id, text), from ``language_profiles``, and its ``keep`` columns.
 
     The ``top`` most frequent n-grams of the whole text are ranked; each adds the difference between
     its rank and its rank in the profile, or ``top`` if it isn't there. The language with the least sum
     wins, the first in alphabetical order on a tie. score is 1 - sum / greatest possible sum, 0 to 1.
-    A null text, one without letters, and any text if nothing was learned, give ``und`` and 0.
+    A null text, one without letters, and any text if nothing was learned, give ``und`` and 0. Every row is judged by
+    its own whole text, so repeated rows and repeated or null ids change nothing; columns not in ``keep`` are ignored.
+    Profiles of more than ``MAX_LANGS`` languages are refused with a ValueError, since they are broadcast.
     """
     n_langs = profiles.select("lang").distinct().count()
     if n_langs > MAX_LANGS:
@@ -141,6 +143,7 @@ def identify_language(docs: DataFrame, profiles: DataFrame, top: int = 400) -> D
                 k = int(np.argmin(sums))
                 best.append(langs[k])
                 score.append(1 - sums[k] / (top * len(g)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), *[batch.column(c) for c in keep]], names=["doc_id", "lang_pred", "score", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in keep if c != "text"])
+    return own.mapInArrow(run, "doc_id long, lang_pred string, score double" + "".join(f", `{c}` {own.schema[c].dataType.simpleString()}" for c in keep))

@@ -56,11 +56,11 @@ def _item_prints(items: DataFrame, k: int, span: int) -> DataFrame:
                 words = words_of(text)
                 if 0 < len(words) < span:
                     (grams, _, m), *_ = _prints(words, k, span, (len(words),))[1:]
-                    rows.append((i, int(grams.view(np.int64)[0]), m, [], [w.decode() for w in words], []))
+                    rows.append((i, int(grams.view(np.int64)[0]), m, [], [w.decode("utf-8", "replace") for w in words], []))
                 elif words:
                     grams, at, _ = _prints(words, k, span, ())[0]
                     for h, p in zip(grams.view(np.int64).tolist(), at.tolist(), strict=True):
-                        cut = lambda x: [w.decode() for w in x]
+                        cut = lambda x: [w.decode("utf-8", "replace") for w in x]
                         rows.append((i, h, 0, cut(words[max(0, p - reach) : p]), cut(words[p : p + k]), cut(words[p + k : p + k + reach])))
             names = ["item_id", "print", "m", "before", "body", "after"]
             text = pa.list_(pa.string())
@@ -81,7 +81,7 @@ def _filter_bits(prints: DataFrame) -> np.ndarray:
 
 
 def _doc_prints(docs: DataFrame, k: int, span: int, short: tuple[int, ...], bits: np.ndarray) -> DataFrame:
-    """(row, doc_id, n_words, hits): the fingerprints that the benchmark may hold, with the words round them."""
+    """(row, doc_id, th, n_words, hits): the fingerprints that the benchmark may hold, with the words round them."""
     known = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
     reach = span - k
 
@@ -97,7 +97,7 @@ def _doc_prints(docs: DataFrame, k: int, span: int, short: tuple[int, ...], bits
                     likely = there[grams >> np.uint64(64 - _BITS)]
                     for h, p in zip(grams[likely].view(np.int64).tolist(), at[likely].tolist(), strict=True):
                         back, on = (0, m) if m else (reach, k)
-                        cut = lambda x: [w.decode() for w in x]
+                        cut = lambda x: [w.decode("utf-8", "replace") for w in x]
                         ahead = 0 if m else reach
                         hits.append((h, m, p, cut(words[max(0, p - back) : p]), cut(words[p : p + on]), cut(words[p + on : p + on + ahead])))
                 counts.append(len(hits) - before)
@@ -105,10 +105,10 @@ def _doc_prints(docs: DataFrame, k: int, span: int, short: tuple[int, ...], bits
             kinds = {"print": pa.int64(), "m": pa.int32(), "pos": pa.int32(), "before": text, "body": text, "after": text}
             inner = pa.StructArray.from_arrays([pa.array([x[j] for x in hits], t) for j, t in enumerate(kinds.values())], names=list(kinds))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(offsets, inner)], names=["doc_id", "n_words", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(offsets, inner)], names=["doc_id", "th", "n_words", "hits"])
 
     hit = "struct<print:bigint,m:int,pos:int,before:array<string>,body:array<string>,after:array<string>>"
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_words long, hits array<{hit}>")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th")).mapInArrow(run, f"doc_id long, th long, n_words long, hits array<{hit}>")
     return settle(found.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -119,7 +119,7 @@ def _shared(x: Column, y: Column) -> Column:
 
 
 def winnow_hits(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` as (row, doc_id, n_words) and the hits as (row, item_id, start, stop), in words.
+    """The rows of ``docs`` as (row, doc_id, th, n_words), th a hash of the text, and the hits as (row, item_id, start, stop), in words.
 
     A window is ``span`` consecutive words of an item; an item of fewer words, but not none, is one
     window. Of every ``span - k + 1`` consecutive k-grams the least hash is kept on both sides, so each
@@ -142,17 +142,19 @@ def winnow_hits(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5) -
     met = met.where((F.col("m") > 0) | (F.col("l") + F.col("n") + F.col("r") >= span))
     met = settle(met.select("row", "kind", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("n") + F.col("r")).alias("stop")))
     members = prints.select("item_id", F.xxhash64(*context).alias("kind")).distinct()
-    return found.select("row", "doc_id", "n_words"), met.join(members, "kind").select("row", "item_id", "start", "stop")
+    return found.select("row", "doc_id", "th", "n_words"), met.join(members, "kind").select("row", "item_id", "start", "stop")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash) of every row of ``docs``.
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. n_hit
     counts the words inside any occurrence of a window of an item (see ``winnow_hits``), n_items the
-    items that occur, items_sha256 is the digest of their ids as sorted strings joined by commas.
+    items that occur, items_sha256 is the digest of their ids as sorted strings joined by commas; text_hash is
+    xxhash64 of the text, to find the row of a repeated id.
     A null text or one without words has no hit; items without an id or words match nothing; repeated
-    rows are counted one by one; an empty benchmark leaves every document clean.
+    rows, and rows with a repeated or null id, are counted one by one; very long texts are read whole; bytes that are
+    no UTF-8 are letters; other columns are ignored; an empty benchmark leaves every document clean.
     """
     found, hits = winnow_hits(docs, items, span, k)
     spans = hits.select("row", "start", "stop").distinct()
@@ -163,6 +165,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5)
     told = n_hit.join(names, "row").select("row", "n_hit", F.size("names").cast("long").alias("n_items"), F.concat_ws(",", "names").alias("ids"))
     return (
         found.join(told, "row", "left")
-        .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"))
+        .select("doc_id", "n_words", "th", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"))
         .withColumn("contaminated", F.col("n_hit") > 0)
+        .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.col("th").alias("text_hash"))
     )
