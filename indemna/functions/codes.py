@@ -89,14 +89,28 @@ def reason_of(code: Column, clause: Column) -> Column:
     return out
 
 
+def range_cells(clauses: DataFrame, on: list[str]) -> DataFrame:
+    """(on, clause_uid, r, letter, number): a row for each number of each range of the clauses; a range of one letter has
+    100 numbers at most."""
+    cells = clauses.select(*on, "clause_uid", F.explode(code_ranges("content")).alias("r"))
+    return cells.select(*on, "clause_uid", "r", F.col("r.letter").alias("letter"), F.explode(F.sequence("r.lo", F.greatest("r.lo", "r.hi"))).alias("number"))
+
+
+def reason_cells(clauses: DataFrame, on: list[str]) -> DataFrame:
+    """(on, clause_uid, letter, number): a row for each code that states by itself a reason of which a clause has words."""
+    reasons = F.array(*[F.struct(F.lit(letter).alias("letter"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.array(*map(F.lit, words)).alias("words")) for letter, lo, hi, _, words in REASONS])
+    said = F.filter(reasons, lambda r: F.exists(r["words"], lambda w: F.contains(F.col("content"), w)))
+    cells = clauses.select(*on, "clause_uid", F.explode(said).alias("r"))
+    return cells.select(*on, "clause_uid", F.col("r.letter").alias("letter"), F.explode(F.sequence("r.lo", "r.hi")).alias("number"))
+
+
 def code_range_join(claims: DataFrame, clauses: DataFrame, codes: str, on: list[str]) -> DataFrame:
     """(claims' columns, clause_uid, matched): the clauses of the claim's ``on`` whose ranges hold one of its codes.
 
-    Ranges are cut into single (letter, number) rows, so the theta join is an equi join; a range of one letter
-    has 100 numbers at most. The pinned subdivision is checked on what has met.
+    Ranges are cut into single (letter, number) rows, so the theta join is an equi join. The pinned subdivision is
+    checked on what has met.
     """
-    cells = clauses.select(*on, "clause_uid", F.explode(code_ranges("content")).alias("r"))
-    cells = cells.select(*on, "clause_uid", "r", F.col("r.letter").alias("letter"), F.explode(F.sequence("r.lo", F.greatest("r.lo", "r.hi"))).alias("number"))
+    cells = range_cells(clauses, on)
     asked = claims.withColumn("matched", F.explode(codes))
     asked = asked.withColumn("letter", F.substring("matched", 1, 1)).withColumn("number", F.substring("matched", 2, 2).try_cast("int"))
     met = asked.join(cells, [*on, "letter", "number"]).where(in_range(F.col("matched"), F.col("r")))

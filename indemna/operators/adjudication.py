@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from indemna.functions.codes import code_range_join, reason_of
+from indemna.functions.codes import in_range, range_cells, reason_cells
 from indemna.functions.money import trunc_double, trunc_exact
 from indemna.operators.versions import valid_for
 
@@ -126,38 +126,66 @@ def amounts(claims: DataFrame) -> DataFrame:
     )
 
 
+#: Ways in which a clause is met, by rank.
+WAYS = ("code", "weak", "reason", "word")
+#: Letters of the beginning of a word by which words and texts meet.
+_START = 4
+
+
+def _starts(text: Column) -> Column:
+    """All runs of ``_START`` characters of a text, once each."""
+    n = F.length(text)
+    at = F.when(n >= _START, F.sequence(F.lit(1), F.greatest(n - (_START - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(_START))))
+
+
+def clause_words(clauses: DataFrame, on: list[str], distinctive: DataFrame | None = None, least: int = _START) -> DataFrame:
+    """(on, clause_uid, word): the words of each clause outside its provisos, of ``least`` letters or more; of these only
+    the ``distinctive`` (term) ones, if given."""
+    outside = F.regexp_replace(F.lower("content"), "[(][^()]*(unless|but only|except)[^()]*[)]", " ")
+    words = clauses.select(*on, "clause_uid", F.explode(F.array_distinct(F.regexp_extract_all(outside, F.lit("[a-z]{%d,}" % max(least, _START)), F.lit(0)))).alias("word"))
+    return words if distinctive is None else words.join(distinctive.select(F.col("term").alias("word")).distinct(), "word", "left_semi")
+
+
 def screen(claims: DataFrame, clauses: DataFrame, distinctive: DataFrame | None = None) -> DataFrame:
     """(claim_id, clause_uid, certain, via): every clause of the claim's product and version that it meets.
 
     Of each clause the first that holds: a documented code in its ranges (certain), a code that was only read
-    (weak), a code that states the clause's reason (reason), the longest of its words that the narrative holds
+    (weak), a code that states the clause's reason (reason), a word of it that the narrative holds
     (word). ``claims`` has claim_id, product, version, codes, weak_codes, narrative; ``distinctive`` limits the words.
+
+    Claims are read once: each becomes a row for each of its codes and for each start of a word in its narrative, and
+    meets the clauses' rows for codes, reasons and words by equality; what has met is then checked.
     """
     on = ["product", "version"]
-    slim = claims.select("claim_id", *on, "codes", "weak_codes", "narrative")
-    via = lambda df, rank, name: df.select("claim_id", "clause_uid", F.lit(rank).alias("rank"), F.lit(name).alias("via"))
-    strong = via(code_range_join(slim, clauses, "codes", on), 0, "code")
-    weak = via(code_range_join(slim, clauses, "weak_codes", on), 1, "weak")
-    pairs = slim.join(clauses, on)
-    every = F.concat("codes", "weak_codes")
-    reason = via(pairs.where(F.exists(every, lambda c: reason_of(c, F.col("content")).isNotNull())), 2, "reason")
-    word = via(word_overlap(pairs, "content", "narrative", distinctive), 3, "word")
-    best = strong.unionAll(weak).unionAll(reason).unionAll(word).groupBy("claim_id", "clause_uid").agg(F.min(F.struct("rank", "via")).alias("b"))
-    return best.select("claim_id", "clause_uid", (F.col("b.rank") == 0).alias("certain"), F.col("b.via").alias("via"))
-
-
-def word_overlap(pairs: DataFrame, clause: str, text: str, distinctive: DataFrame | None = None, least: int = 4) -> DataFrame:
-    """Adds ``word``: the longest word of the clause outside its provisos that occurs in the text, the first in
-    alphabetical order of equal ones; rows without any go. ``distinctive`` (term) limits the words."""
-    outside = F.regexp_replace(F.lower(clause), "[(][^()]*(unless|but only|except)[^()]*[)]", " ")
-    words = F.array_distinct(F.regexp_extract_all(outside, F.lit("[a-z]{%d,}" % least), F.lit(0)))
-    if distinctive is not None:
-        allowed = distinctive.agg(F.collect_set("term").alias("allowed"))
-        pairs = pairs.crossJoin(allowed)
-        words = F.array_intersect(words, "allowed")
-    met = F.filter(words, lambda w: F.contains(F.lower(text), w))
-    best = F.array_sort(F.transform(met, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
-    return pairs.withColumn("word", F.when(F.size(met) > 0, best)).where("word is not null").drop("allowed")
+    code_key = lambda letter, number: F.concat(letter, F.lpad(number.cast("string"), 2, "0"))
+    none = F.lit(None)
+    ranges = range_cells(clauses, on).select(*on, "clause_uid", code_key(F.col("letter"), F.col("number")).alias("key"), "r", none.cast("string").alias("word"), F.lit(0).alias("way"))
+    range_type = ranges.schema["r"].dataType
+    reasons = reason_cells(clauses, on).select(*on, "clause_uid", code_key(F.col("letter"), F.col("number")).alias("key"), none.cast(range_type).alias("r"), none.cast("string").alias("word"), F.lit(2).alias("way"))
+    words = clause_words(clauses, on, distinctive).select(*on, "clause_uid", F.substring("word", 1, _START).alias("key"), none.cast(range_type).alias("r"), "word", F.lit(3).alias("way"))
+    kind = "array<struct<key:string,code:string,way:int>>"
+    by_code = lambda codes, way: F.transform(codes, lambda c: F.struct(F.substring(c, 1, 3).alias("key"), c.alias("code"), F.lit(way).alias("way")))
+    text = F.lower("narrative")
+    by_word = F.transform(F.coalesce(_starts(text), F.array().cast("array<string>")), lambda k: F.struct(k.alias("key"), none.cast("string").alias("code"), F.lit(3).alias("way")))
+    asked = claims.select("claim_id", *on, text.alias("said"), F.explode(F.concat(by_code("codes", 0).cast(kind), by_code("weak_codes", 1).cast(kind), by_word.cast(kind))).alias("a")).select("claim_id", *on, "said", "a.key", "a.code", F.col("a.way").alias("asked"))
+    met = asked.join(ranges.unionAll(reasons).unionAll(words), [*on, "key"])
+    coded = F.col("asked") < 3
+    way = F.when(coded & (F.col("way") == 0) & in_range(F.col("code"), F.col("r")), F.col("asked")).when(coded & (F.col("way") == 2), 2)
+    way = way.when(~coded & (F.col("way") == 3) & F.contains("said", F.col("word")), 3)
+    best = met.select("claim_id", "clause_uid", way.alias("way")).where("way is not null").groupBy("claim_id", "clause_uid").agg(F.min("way").alias("way"))
+    return best.select("claim_id", "clause_uid", (F.col("way") == 0).alias("certain"), F.element_at(F.array(*map(F.lit, WAYS)), F.col("way") + 1).alias("via"))
+
+
+def word_overlap(claims: DataFrame, clauses: DataFrame, on: list[str], text: str = "narrative", distinctive: DataFrame | None = None) -> DataFrame:
+    """(claim_id, clause_uid, word): for every clause of a claim's ``on`` the longest word outside its provisos that
+    occurs in the claim's text, the first in alphabetical order of equal ones; none, no row. Words and texts meet by
+    the start of the word, so no claim is compared with a clause that shares none with it."""
+    words = clause_words(clauses, on, distinctive).withColumn("start", F.substring("word", 1, _START))
+    asked = claims.select("claim_id", *on, F.lower(text).alias("text")).withColumn("start", F.explode(_starts(F.col("text"))))
+    met = asked.join(words, [*on, "start"]).where(F.contains("text", F.col("word")))
+    best = F.min(F.struct((-F.length("word")).alias("n"), "word"))["word"]
+    return met.groupBy("claim_id", "clause_uid").agg(best.alias("word"))
 
 
 def guardrails(drafts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from indemna.functions import codes
 from indemna.operators import adjudication as adj
@@ -97,11 +98,19 @@ def verdicts(t: Tables) -> DataFrame:
     return adj.adjudicate(claims(t), t.versions(), t.coverages(), t.clauses(), t.rules())
 
 
-@query("code_ranges", "SELECT clause_uid, letter, lo, hi, subdivision, n FROM v_ranges, (SELECT count(*) AS n FROM part)", VIEWS)
+@query(
+    "code_ranges",
+    f"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([A-Z])[a-z]+ ', '\\1' || lpad((doc_id % 90)::VARCHAR, 2, '0') || '~\\1' || lpad((doc_id % 90 + 9)::VARCHAR, 2, '0') || '.3 ', 'g'), '([A-Z])[a-z]+[.]', '\\1' || lpad((doc_id % 97)::VARCHAR, 2, '0') || '.' || (doc_id % 9) || ',', 'g') AS content FROM documents),
+    f AS (SELECT *, regexp_extract_all(content, '{_ONE}\\s*{_TILDE}\\s*{_ONE}') AS all_ FROM d), g AS (SELECT *, list_filter(all_, lambda m: m[1] = regexp_extract(m, '{_TILDE}\\s*([A-Z])', 1)) AS same FROM f)
+    SELECT doc_id, m[1] AS letter, m[2:3]::INT AS lo, regexp_extract(m, '{_TILDE}\\s*[A-Z]([0-9]{{2}})', 1)::INT AS hi, NULL::VARCHAR AS subdivision FROM (SELECT doc_id, unnest(same) AS m FROM g)
+    UNION ALL SELECT doc_id, m[1], m[2:3]::INT, m[2:3]::INT, nullif(m[5:], '') FROM (SELECT doc_id, unnest(regexp_extract_all(list_reduce(list_prepend(content, same), lambda a, x: replace(a, x, ' ')), '\\b{_ONE}\\b')) AS m FROM g)""",
+)
 def code_ranges(t: Tables) -> DataFrame:
-    """The ranges of all clauses, beside the number of parts that give the claims their codes."""
-    found = t.clauses().select("clause_uid", F.explode(codes.code_ranges("content")).alias("r")).select("clause_uid", "r.*")
-    return found.crossJoin(t.part.agg(F.count("*").alias("n")))
+    """The ranges in the whole texts of all documents, whose capitalised words are written as codes and ranges first."""
+    n = lambda k, plus=0: F.lpad((F.col("doc_id") % k + plus).cast("string"), 2, "0")
+    spans = F.regexp_replace("text", F.lit("([A-Z])[a-z]+ "), F.concat(F.lit("$1"), n(90), F.lit("~$1"), n(90, 9), F.lit(".3 ")))
+    text = F.regexp_replace(spans, F.lit("([A-Z])[a-z]+[.]"), F.concat(F.lit("$1"), n(97), F.lit("."), (F.col("doc_id") % 9).cast("string"), F.lit(",")))
+    return t.documents.select("doc_id", F.explode(codes.code_ranges(text)).alias("r")).select("doc_id", "r.*")
 
 
 @query("code_range_join", "SELECT claim_id, clause_uid, code AS matched FROM v_asof JOIN v_codehits USING (claim_id)", VIEWS)
@@ -152,8 +161,30 @@ def ratio_validation(t: Tables) -> DataFrame:
 
 @query("keyword_overlap", "SELECT claim_id, clause_uid, met[1].w AS word FROM v_words WHERE len(met) > 0", VIEWS)
 def keyword_overlap(t: Tables) -> DataFrame:
-    pairs = dated(t).select("claim_id", "product", "version", "narrative").join(t.clauses(), ["product", "version"])
-    return adj.word_overlap(pairs, "content", "narrative").select("claim_id", "clause_uid", "word")
+    return adj.word_overlap(dated(t), t.clauses(), ["product", "version"])
+
+
+#: Texts that name a reason in the words of the terms, and codes that state one by themselves.
+_REASON_TEXTS = ("전쟁 또는 내란", "자신을 해친 경우", "건강검진 및 예방접종", "외모개선 목적, 불임", "steel anvil")
+VIEWS |= {
+    "v_reason_clauses": f"SELECT v.version || '|' || p.product || '|' || p.at AS clause_uid, p.product, v.version, list_extract({list(_REASON_TEXTS)}, ((p.at + v.at) % 5 + 1)::INT) AS content FROM (SELECT version, row_number() OVER (ORDER BY version) AS at FROM v_versions) v, (SELECT product, row_number() OVER (ORDER BY product) AS at FROM (SELECT DISTINCT product FROM v_coverages)) p",
+    "v_reason_codes": "SELECT claim_id, product, version, narrative, 'XYZ'[code_number % 3 + 1] AS l, code_number * 2 % 100 AS n FROM v_asof",
+    "v_reason_ways": """SELECT claim_id, clause_uid, CASE WHEN (l = 'X' AND n BETWEEN 60 AND 84 AND contains(content, '자신을 해친')) OR (l = 'Y' AND n = 36 AND contains(content, '전쟁')) OR (l = 'Z' AND n BETWEEN 0 AND 13 AND contains(content, '건강검진'))
+        OR (l = 'Z' AND n BETWEEN 23 AND 27 AND contains(content, '예방접종')) OR (l = 'Z' AND n = 31 AND contains(content, '불임')) OR (l = 'Z' AND n = 41 AND contains(content, '외모개선')) THEN 'reason'
+      WHEN contains(content, 'steel') AND (contains(narrative, 'steel') OR contains(narrative, 'anvil')) THEN 'word' END AS via FROM v_reason_codes JOIN v_reason_clauses USING (product, version)""",
+}
+
+
+@query("reason_screen", "SELECT claim_id, clause_uid, false AS certain, via FROM v_reason_ways WHERE via IS NOT NULL", VIEWS)
+def reason_screen(t: Tables) -> DataFrame:
+    """Claims whose codes state a reason by themselves, against clauses that name reasons in words."""
+    products = t.coverages().select("product").distinct().withColumn("p", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("product")))
+    editions = t.versions().select("version").withColumn("v", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("version")))
+    texts = F.array(*map(F.lit, _REASON_TEXTS))
+    clauses = products.crossJoin(editions).select(F.concat_ws("|", "version", "product", "p").alias("clause_uid"), "product", "version", F.element_at(texts, ((F.col("p") + F.col("v")) % 5 + 1).cast("int")).alias("content"))
+    letter = F.element_at(F.array(*map(F.lit, "XYZ")), (F.col("code_number") % 3 + 1).cast("int"))
+    code = F.concat(letter, F.lpad((F.col("code_number") * 2 % 100).cast("string"), 2, "0"))
+    return adj.screen(dated(t).withColumn("codes", F.array(code)).withColumn("weak_codes", F.array().cast("array<string>")), clauses)
 
 
 @query("screen", "SELECT claim_id, clause_uid, certain, via FROM v_hits", VIEWS)
