@@ -11,8 +11,8 @@ INSTITUTIONS = {
     "치과병원": "치과병원", "한방병원": "한방병원", "의원": "의원", "의원급": "의원", "의원급보건기관": "의원", "치과의원": "치과의원", "한의원": "한의원",
     "보건기관": "보건기관", "보건소": "보건기관", "보건지소": "보건기관", "보건진료소": "보건기관", "보건의료원": "보건기관",
 }
-COPAY_PERCENT = "(?:본인|환자)\\s*부담[^0-9]{0,10}?([0-9]{1,3}(?:[.][0-9]+)?)\\s*(?:%|퍼센트|프로)"
-COPAY_RATIO = "(?:본인|환자)\\s*부담[^0-9]{0,10}?(0[.][0-9]+|1[.]0+)(?![0-9.,]|\\s*(?:%|퍼센트|프로))"
+#: A rate right after the word for co-payment, as a percentage or as a ratio; words of pregnancy.
+COPAY = "(?:본인|환자)\\s*부담[^0-9]{0,10}?(?:([0-9]{1,3}(?:[.][0-9]+)?)\\s*(?:%|퍼센트|프로)|(0[.][0-9]+|1[.]0+)(?![0-9.,]|\\s*(?:%|퍼센트|프로)))"
 PREGNANCY = "임신|임부|산모|분만|출산|태반|태아"
 
 
@@ -45,8 +45,8 @@ def institutions_in(text: Column) -> Column:
 
 def copay_rates_in(text: Column) -> Column:
     """Co-payment rates right after the word for it, above 0 and up to 1."""
-    percent = F.transform(F.regexp_extract_all(text, F.lit(COPAY_PERCENT), F.lit(1)), lambda x: x.cast("double") / 100)
-    ratio = F.transform(F.regexp_extract_all(text, F.lit(COPAY_RATIO), F.lit(1)), lambda x: x.cast("double"))
+    group = lambda i: F.filter(F.regexp_extract_all(text, F.lit(COPAY), F.lit(i)), lambda x: x != "")
+    percent, ratio = F.transform(group(1), lambda x: x.cast("double") / 100), F.transform(group(2), lambda x: x.cast("double"))
     return F.filter(F.concat(percent, ratio), lambda x: (x > 0) & (x <= 1))
 
 

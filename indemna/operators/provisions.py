@@ -114,6 +114,7 @@ def provision_covers(product: Column, included: str = "included", excluded: str
     return ~F.exists(excluded, alike) & ((F.size(included) == 0) | F.exists(included, alike))
 
 
+#: A term in a list, a pointer to a table, heads of tables of terms.
 LISTED = "(?m)^\\s*[가-힣]\\.\\s*([^:：\\n]{1,24})\\s*[:：]"
 DEFERRED = "[<〈]\\s*(붙임\\s*[0-9]*|부표\\s*[0-9]*|별표\\s*[0-9]*)\\s*[>〉]"
 TABLE_HEADS = ("용 어", "용어", "정 의", "정의", "구 분", "구분")

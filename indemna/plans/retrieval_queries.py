@@ -145,7 +145,7 @@ def gate_scenarios(t: Tables) -> DataFrame:
     return rows.groupBy("scenario").pivot("path", ["vector", "lexical"]).agg(F.sum("n"))
 
 
-@query("l2_normalize", "SELECT uid, round(list_dot_product(v, v) / list_dot_product(v, v), 6) AS length, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM v_vec", VIEWS)
+@query("l2_normalize", "SELECT uid, round(list_sum(list_transform(v, lambda x: (x / sqrt(list_dot_product(v, v))) ** 2)), 6) AS length, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM v_vec", VIEWS)
 def l2_normalize(t: Tables) -> DataFrame:
     rows = chunks(t).select("uid", retrieval.l2_normalize(F.col("v")).alias("v"))
     return rows.select("uid", F.round(retrieval.dot(F.col("v"), F.col("v")), 6).alias("length"), F.round(F.col("v")[0], 6).alias("first"))
