@@ -6,31 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from indemna.llm.common import settle
+from indemna.llm.common import among, join_in_parts, settle
 
-#: White space between words of a line.
-_BLANK = "[ \\t\\r\\f\\x0B]+"
-#: Bits of the filters below: 2**22, 512 KB in one broadcast row whatever they are made from.
-_BITS = 22
+#: White space between words of a line, besides the blank.
+_WHITE = ("\t", "\r", "\f", "\x0b")
 
 
-def _words(line: Column) -> Column:
-    """Lines are compared as lower-cased words."""
-    return F.filter(F.split(F.lower(line), _BLANK), lambda w: w != "")
+def _lines(text: str) -> Column:
+    """The lines of a text, lower-cased, with blanks for other white space."""
+    return F.split(_plain(F.lower(text)), "\n")
+
 
+def _plain(text: Column) -> Column:
+    """The text with blanks for white space other than newlines."""
+    odd = F.contains(text, F.lit(_WHITE[0]))
+    for white in _WHITE[1:]:
+        odd = odd | F.contains(text, F.lit(white))
+    return F.when(odd, F.translate(text, "".join(_WHITE), " " * len(_WHITE))).otherwise(text)
 
-def _may_be_among(rows: DataFrame, value: Column, ids: DataFrame) -> DataFrame:
-    """The rows whose ``value`` (a long hash) may be among ``ids`` (one long column). Some others pass too, more as the
-    filter fills up, so an exact join has to follow; it then shuffles only what has passed."""
-    slots = ids.select(F.shiftrightunsigned(F.col(ids.columns[0]), 64 - _BITS).alias("slot"))
-    bits = slots.selectExpr("slot div 64 as at", "shiftleft(1L, cast(slot % 64 as int)) as bit").groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    every = ids.sparkSession.range(2**_BITS // 64).withColumnRenamed("id", "at").join(bits, "at", "left")
-    filled = every.agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("f"))
-    packed = filled.select(F.transform("f", lambda x: x["bits"]).alias("indemna_filter"))
-    slot = F.shiftrightunsigned(value, 64 - _BITS)
-    rows = rows.withColumn("indemna_slot", slot).crossJoin(F.broadcast(packed))
-    bit = F.expr("shiftright(element_at(indemna_filter, cast(indemna_slot div 64 as int) + 1), cast(indemna_slot % 64 as int))")
-    return rows.where(bit.bitwiseAND(F.lit(1).cast("long")) == 1).drop("indemna_slot", "indemna_filter")
+
+def _words(line: Column) -> Column:
+    """Lines are compared as lower-cased words."""
+    words = F.split(line, " ")
+    uneven = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | (line == "")
+    return F.when(uneven, F.array_remove(words, "")).otherwise(words)
 
 
 def _halves() -> Column:
@@ -43,27 +42,19 @@ def _halves() -> Column:
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """(h, first, code, at): a hash of the line's words without word ``at``, and of all of them (at = -1).
+    """(rk, at, code, all): a hash of the line's words without word ``at``, and a hash of all of them.
 
     A line's hash is the exclusive or of hashes of (word, place), so a deletion shifts the places of
     what follows: prefix and suffix hashes of one sorted window give all variants in linear time.
     """
-    words = lines.select("h", "first", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    words = words.withColumn("here", F.xxhash64("word", "at")).withColumn("left", F.xxhash64("word", F.col("at") - 1))
-    up = Window.partitionBy("h").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    none = F.lit(0).cast("long")
-    words = words.withColumn("before", F.bit_xor("here").over(up)).withColumn("shifted", F.bit_xor("left").over(up))
-    ends = lines.select("h", "whole", "moved")
-    words = words.join(ends, "h")
+    words = lines.select("rk", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    words = words.select("rk", "n", "at", F.xxhash64("word", "at").alias("here"), F.xxhash64("word", F.col("at") - 1).alias("left"))
+    line = Window.partitionBy("rk").orderBy("at")
+    up, whole = line.rowsBetween(Window.unboundedPreceding, Window.currentRow), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    over = lambda c, w: F.bit_xor(c).over(w)
+    words = words.select("rk", "n", "at", "here", over("here", up).alias("before"), over("left", up).alias("shifted"), over("here", whole).alias("whole"), over("left", whole).alias("moved"))
     code = F.col("before").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("moved")).bitwiseXOR(F.col("shifted"))
-    gone = words.select("h", "first", F.xxhash64(code, F.col("n") - 1).alias("code"), "at")
-    return gone.unionAll(lines.select("h", "first", F.xxhash64(F.coalesce("whole", none), F.size("words")).alias("code"), F.lit(-1).alias("at")))
-
-
-def _with_hashes(lines: DataFrame) -> DataFrame:
-    """Adds ``whole`` (hash of all words at their places) and ``moved`` (at one place less)."""
-    fold = lambda step: F.aggregate(F.transform("words", lambda w, i: F.xxhash64(w, i - step)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    return lines.withColumn("whole", fold(0)).withColumn("moved", fold(1))
+    return words.select("rk", "at", F.xxhash64(code, F.col("n") - 1).alias("code"), F.xxhash64("whole", "n").alias("all"))
 
 
 def _one_apart(a: str, b: str) -> Column:
@@ -76,57 +67,65 @@ def _one_apart(a: str, b: str) -> Column:
     return (differs == 0) | (differs > 0) & (replaced | added | left)
 
 
+def _near(docs: DataFrame, close: DataFrame) -> DataFrame:
+    """(h1, h2) of the lines of ``close`` (h1, h2, first) that are one word from an earlier one of them."""
+    # Places in the order of the lines: a sorted table numbered as it lies.
+    ranked = settle(close.orderBy("first").withColumn("rk", F.monotonically_increasing_id()))
+    places = settle(ranked.groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("first.pos", "rk")).alias("places")))
+    hashed = settle(places.select(F.xxhash64("doc_id", "th").alias("id")))
+    texts = among(docs, F.xxhash64("doc_id", "th"), hashed).withColumnsRenamed({"doc_id": "d", "th": "t"})
+    found = texts.join(places, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))).select(_lines("text").alias("lines"), F.explode("places").alias("p"))
+    lines = settle(found.select("p.rk", _words(F.element_at("lines", F.col("p.pos") + 1)).alias("words")).dropDuplicates(["rk"]))
+
+    around = settle(_neighbourhood(lines))
+    # Without the word at the same place: one word replaced. The earliest of a group stands for all later ones.
+    same = settle(around.groupBy("code", "at").agg(F.min("rk").alias("by"), F.count("*").alias("n")).where("n > 1").select("code", "at", "by"))
+    swapped = among(around.select("rk", "code", "at"), F.col("code"), same.select("code")).join(same, ["code", "at"]).where("rk <> by").select("rk", "by")
+    # All words of one line are a variant of another: one word added or left out.
+    whole = settle(around.where("at = 0").select(F.col("all").alias("code"), F.col("rk").alias("rw")))
+    cut = settle(among(around.select("rk", "code"), F.col("code"), whole.select("code")).join(whole, "code").select("rk", "rw"))
+    longer = cut.where("rk > rw").select("rk", F.col("rw").alias("by"))
+    shorter = cut.groupBy("rw").agg(F.min("rk").alias("by")).where("rw > by").select(F.col("rw").alias("rk"), "by")
+    pairs = swapped.unionAll(longer).unionAll(shorter).distinct()
+    theirs = lines.select(F.col("rk").alias("by"), F.col("words").alias("words_by"))
+    checked = pairs.join(lines, "rk").join(theirs, "by").where(_one_apart("words", "words_by"))
+    return settle(ranked.join(checked.select("rk").distinct(), "rk").select("h1", "h2"))
+
+
 def repeated_lines(docs: DataFrame, min_words: int = 3, near_words: int = 8) -> DataFrame:
-    """(doc_id, th, pos, n_words, drop) of every line of ``docs`` (doc_id, th, text).
+    """(doc_id, th, pos, n_words) of the lines of ``docs`` (doc_id, th, text) that are dropped.
 
     Lines are ordered by (doc_id, th, pos); a null doc_id comes first. A line is dropped if an earlier line
     anywhere has the same words (lower-cased, ``min_words`` at least), or, from ``near_words`` words on, is within
     an edit distance of one word. Shorter and blank lines stay. The earlier line counts even if it is dropped
-    itself. Texts are split where they are read; only the lines that share a half with another one are shuffled.
+    itself. Texts are split where they are read; of the lines only hashes are shuffled, and of those that repeat no
+    hash and share no half nothing more than these.
     """
-    lines = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("words", _words(F.col("line")))
+    lines = docs.select("doc_id", "th", F.posexplode(_lines("text")).alias("pos", "line")).withColumn("words", _words(F.col("line")))
     lines = lines.select(
         "doc_id",
         "th",
         "pos",
         F.size("words").alias("n_words"),
-        F.unhex(F.md5(F.array_join("words", " ").cast("binary"))).alias("h"),
+        F.xxhash64("words").alias("h1"),
+        F.xxhash64(F.lit(0), "words").alias("h2"),
         F.when(F.size("words") >= near_words, _halves()).alias("halves"),
     )
     lines = settle(lines)
-    order = F.struct("doc_id", "th", "pos")
-    firsts = settle(lines.where(F.col("n_words") >= min_words).groupBy("h").agg(F.min(order).alias("first")))
-
-    keys = lines.where("halves is not null").select("h", F.explode("halves").alias("half"))
-    shared = keys.groupBy("half").agg(F.min(F.xxhash64("h")).alias("lo"), F.max(F.xxhash64("h")).alias("hi")).where("lo <> hi").select("half")
-    shared = settle(shared)
-    close = _may_be_among(keys, F.col("half"), shared).join(shared, "half", "left_semi").select("h").distinct().join(firsts, "h")
-    places = settle(close.select("h", "first", "first.*").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "first", "pos")).alias("places")))
-    near_docs = _may_be_among(docs, F.xxhash64("doc_id", "th"), places.select(F.xxhash64("doc_id", "th")))
-    found = near_docs.withColumnRenamed("doc_id", "d").join(places, F.col("d").eqNullSafe(F.col("doc_id")) & (near_docs.th == places.th)).select("text", "places")
-    found = found.select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
-    close = found.select("p.h", "p.first", _words(F.element_at("lines", F.col("p.pos") + 1)).alias("words")).dropDuplicates(["h"])
-    close = settle(_with_hashes(close))
-
-    around = settle(_neighbourhood(close))
-    # Without the word at the same place: one word replaced. The earliest of a group stands for all later ones.
-    same = around.where("at >= 0").groupBy("code", "at").agg(F.min(F.struct("first", "h")).alias("e"), F.count("*").alias("n")).where("n > 1")
-    swapped = around.where("at >= 0").join(same.select("code", "at", "e"), ["code", "at"]).where("h <> e.h").select("h", F.col("e.h").alias("by"))
-    # All words of one line are a variant of another: one word added or left out.
-    whole = around.where("at = -1").select("code", F.col("h").alias("hw"), F.col("first").alias("fw"))
-    cut = around.where("at >= 0").join(whole, "code")
-    longer = cut.where("first > fw").select("h", F.col("hw").alias("by"))
-    shorter = cut.groupBy("hw", "fw").agg(F.min(F.struct("first", "h")).alias("e")).where("fw > e.first").select(F.col("hw").alias("h"), F.col("e.h").alias("by"))
-    pairs = swapped.unionAll(longer).unionAll(shorter).distinct()
-    theirs = close.select(F.col("h").alias("by"), F.col("first").alias("first_by"), F.col("words").alias("words_by"))
-    checked = pairs.join(close.select("h", "first", "words"), "h").join(theirs, "by").where(F.col("first_by") < F.col("first"))
-    checked = checked.where(_one_apart("words", "words_by"))
-    near = settle(checked.select("h").distinct()).withColumn("near", F.lit(True))
+    long = lines.where(F.col("n_words") >= min_words)
 
-    told = firsts.join(near, "h", "left").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    out = lines.select("doc_id", "th", "pos", "n_words", "h", order.alias("own")).join(told, "h", "left")
-    drop = F.coalesce((F.col("n_words") >= min_words) & (F.col("near") | ~F.col("own").eqNullSafe(F.col("first"))), F.lit(False))
-    return out.select("doc_id", "th", "pos", "n_words", drop.alias("drop"))
+    keys = lines.where("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
+    shared = settle(keys.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half"))
+    close = settle(among(keys, F.col("half"), shared).join(shared, "half", "left_semi").select("h1", "h2").distinct())
+    twice = long.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    some = settle(among(long.drop("halves"), F.col("h1"), settle(twice.unionAll(close.select("h1")))))
+    firsts = settle(some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count("*").alias("n")))
+
+    near = _near(docs, firsts.join(close, ["h1", "h2"]).select("h1", "h2", "first"))
+    told = firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near")
+    gone = join_in_parts(some, told.drop("n"), ["h1", "h2"], ["doc_id", "th", "pos"], firsts, some.count())
+    gone = gone.where(F.coalesce("near", F.lit(False)) | ~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
+    return gone.select("doc_id", "th", "pos", "n_words")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 3, near_words: int = 8) -> DataFrame:
@@ -135,24 +134,28 @@ def dedup_lines(docs: DataFrame, min_words: int = 3, near_words: int = 8) -> Dat
 
     The kept lines keep their order and bytes. A null text stays null, with 0 lines; an empty one stays empty,
     with one line; a text all of whose lines go becomes empty. Rows of one doc_id and text are one document and
-    get one result; other rows that repeat a doc_id are documents of their own. Columns named like the results
-    are replaced.
+    get one result; other rows that repeat a doc_id are documents of their own, and so are those with a null
+    doc_id, which come first. Very long texts are split like any other. Columns named like the results are replaced.
     """
     counts = ("n_lines", "n_dropped", "n_words", "n_words_dropped")
     names = [c for c in docs.columns if c not in counts]
     rows = docs.select(*names).withColumn("text", F.col("text").cast("string")).withColumn("th", F.xxhash64("text"))
-    lines = repeated_lines(rows.select("doc_id", "th", "text"), min_words, near_words).distinct()
-    gone = F.col("drop")
-    told = lines.groupBy("doc_id", "th").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "drop"))), lambda x: x["drop"]).alias("gone"),
-        F.count("*").alias("n_lines"),
-        F.count_if(gone).alias("n_dropped"),
-        F.sum("n_words").cast("long").alias("n_words"),
-        F.coalesce(F.sum(F.when(gone, F.col("n_words"))), F.lit(0)).cast("long").alias("n_words_dropped"),
-    )
-    told = settle(told).withColumnsRenamed({"doc_id": "told_id", "th": "told_th"})
-    both = rows.join(told, F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("th") == F.col("told_th")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.get("gone", i))
-    text = F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], *map(zero, counts))
+    gone = repeated_lines(rows.select("doc_id", "th", "text"), min_words, near_words)
+    # Equal rows bring their lines several times.
+    told = gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n_words")).alias("gone"))
+    told = settle(told.select(F.col("doc_id").alias("told_id"), F.col("th").alias("told_th"), "gone"))
+    ids, key = settle(told.select(F.xxhash64("told_id", "told_th"))), F.xxhash64("doc_id", "th")
+    # Only texts that may lose a line are shuffled.
+    changed = among(rows, key, ids).join(told, F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("th") == F.col("told_th")), "left").drop("told_id", "told_th")
+    both = changed.unionByName(among(rows, key, ids, False).withColumn("gone", F.lit(None).cast(told.schema["gone"].dataType)))
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.transform("gone", lambda g: g["pos"]), i))
+    words = F.array_remove(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " "), "")
+    told_of = {
+        "n_lines": F.size(F.split("text", "\n")),
+        "n_dropped": F.size("gone"),
+        "n_words": F.size(words),
+        "n_words_dropped": F.aggregate("gone", F.lit(0), lambda n, x: n + x["n_words"]),
+    }
+    text = F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    zero = F.lit(0).cast("long")
+    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], *[F.coalesce(told_of[c].cast("long"), zero).alias(c) for c in counts])
