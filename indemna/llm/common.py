@@ -63,6 +63,13 @@ def join_in_parts(rows: DataFrame, told: DataFrame, on: list[str], spread: list[
     return dealt.join(copied, [*on, "part"], how).drop("part")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that what is made of texts at once, and sent back, stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a batch as UTF-8 bytes; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from indemna.llm.common import settle, utf8
+from indemna.llm.common import pieces, settle, utf8
 
 #: Most languages that profiles are made for; with ``top`` n-grams each this bounds what is broadcast.
 MAX_LANGS = 1000
@@ -71,7 +71,7 @@ def language_profiles(docs: DataFrame, top: int = 400) -> DataFrame:
                 counts.append(n)
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(codes)), pa.array(np.concatenate(counts))], names=["lang", "gram", "n"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 held.setdefault(lang, []).append(g := grams(text.decode("utf-8", "replace")))
                 size += len(g[0])
@@ -123,7 +123,7 @@ def identify_language(docs: DataFrame, profiles: DataFrame, top: int = 400, keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, tables = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             best, score = [], []
             for text in utf8(batch.column(1)):
                 g, n = grams(text.decode("utf-8", "replace"))

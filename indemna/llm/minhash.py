@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from indemna.llm.common import among, gram_hashes, join_in_parts, lists, mixed, settle, utf8, word_hashes
+from indemna.llm.common import among, gram_hashes, join_in_parts, lists, mixed, pieces, settle, utf8, word_hashes
 from indemna.llm.components import connected_components
 
 #: Rows of a block of shingles whose minima are taken at once; bounds the memory of a long text.
@@ -48,7 +48,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, seed: int)
     a, b = _coefficients(bands * rows, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = {"n": [], "h1": [], "h2": [], "sig": [], "bands": []}
             for text in utf8(batch.column(1)):
                 s = shingles(text, shingle)
@@ -108,7 +108,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, of = None, None
-        for batch in batches:
+        for batch in pieces(batches):
             same = []
             for u, x, y in zip(batch.column(0).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
                 if u != seen:
@@ -140,7 +140,7 @@ def _close_pairs(rest: DataFrame, bands: DataFrame, texts: DataFrame, shingle: i
     spread = (similarity * (1 - similarity)) ** 0.5
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = [minima(shingles(text, shingle), a, b).tobytes() for text in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "minima"])
 

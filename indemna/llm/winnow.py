@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from indemna.llm.common import gram_hashes, settle, utf8, word_hashes
+from indemna.llm.common import gram_hashes, pieces, settle, utf8, word_hashes
 
 #: A-Z to a-z, all other ASCII but digits and letters to a space; bytes of other letters stay.
 _WORDS = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -87,7 +87,7 @@ def _doc_prints(docs: DataFrame, k: int, span: int, short: tuple[int, ...], bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = np.unpackbits(known.value).astype(bool)
-        for batch in batches:
+        for batch in pieces(batches):
             n_words, counts = [], []
             hits: list[tuple] = []
             for text in utf8(batch.column(1)):
