@@ -45,3 +45,15 @@ def test_awkward_rows(spark, n):
     for _, stage in corpus_pipeline.STAGES:
         docs = settle(stage(spark, docs, FOLDER))
     assert docs.count() <= n
+
+
+def test_rows_of_one_id_and_without_id(spark):
+    """Unlike texts of one id all stay; of a group one row does, with an id before one without."""
+    rng = random.Random(59)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60)) for _ in range(4)]
+    near = lambda t: t + " more"
+    rows = [(1, texts[0]), (1, texts[1]), (2, near(texts[0])), (None, near(texts[1])), (None, texts[2]), (None, texts[2]), (3, texts[3]), (3, texts[3]), (4, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER).collect()
+    want = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (3, texts[3]), (4, ""), (4, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(want, key=repr)
