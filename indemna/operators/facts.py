@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def assemble(claims: DataFrame) -> DataFrame:
+def assemble(claims: DataFrame, enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds codes, weak_codes and amount, and drops the institution of treatment abroad.
 
     ``given`` codes (null if none were) make the ``guessed`` ones weak; ``written`` ones are always kept. Without
-    given codes guesses count in full. An amount of 0 or less counts as not given.
+    given codes guesses count in full. An amount of 0 or less counts as not given. ``enrich`` adds ``guessed`` to the
+    claims, by a dictionary join or a model; without it claims have that column.
     """
+    claims = claims if enrich is None else enrich(claims)
     none = F.array().cast("array<string>")
     given = F.coalesce(F.size("given"), F.lit(0)) > 0
     sure = F.array_union(F.coalesce("given", none), "written")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
 
@@ -95,6 +100,22 @@ def rerank(hits: DataFrame, score: Column, k: int) -> DataFrame:
     return top_k(hits.drop("rank", "score").withColumn("score", score), k)
 
 
+def embedder(make_predict: Callable, batch_size: int = 64) -> Callable[[Column], Column]:
+    """A column function from texts to vectors. ``make_predict`` loads a model once a Python worker and returns a function
+    from an array of texts to one of vectors, which gets ``batch_size`` texts at a time."""
+    return predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size)
+
+
+def pair_scorer(score_pairs: Callable[[list[str], list[str]], Sequence[float]]) -> Callable[[Column, Column], Column]:
+    """A column function from (query, text) to a score for ``rerank``; ``score_pairs`` gets an Arrow batch at a time."""
+
+    @F.pandas_udf("double")
+    def score(query: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series(score_pairs(query.tolist(), text.tolist()), dtype="float64")
+
+    return score
+
+
 def token_overlap(a: Column, b: Column, pattern: str = "[a-z]{2,}", digits: int = 9) -> Column:
     """The share of distinct words that two texts have in common: the default score of ``rerank``."""
     x, y = (F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(pattern), F.lit(0))) for t in (a, b))

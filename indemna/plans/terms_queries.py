@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from indemna.functions import receipts
+from indemna.functions import benefits, receipts
 from indemna.operators import provisions, terms
 from indemna.plans.views import Tables, query
 
@@ -220,3 +220,42 @@ def provision_scopes(t: Tables) -> DataFrame:
     rows = rows.select("promulgated_on", "new_contracts_only", "candidate_dates", "applies_on", F.array_join("a.articles", ",").alias("articles"), F.array_join("a.tables", ",").alias("tables"))
     keyed = t.pages.select("page_id", _text("202605", d).alias("promulgated_on"))
     return keyed.join(rows.distinct(), "promulgated_on").select("page_id", *rows.columns)
+
+
+#: What a claim says, and the items that it names by the words for them.
+_SAID = (
+    ("도수치료를 받은 통원, 진료비 10만원", ((benefits.MUSCULOSKELETAL, "도수치료"),)),
+    ("영양주사를 맞음", ((benefits.INJECTION, "영양주사"),)),
+    ("엠알아이 촬영", ((benefits.MRI, "엠알아이"),)),
+    ("비-급여 진료", ((benefits.NONCOVERED, "비급여"),)),
+    ("비급여 항목 없음, 급여 본인부담금만 100만원", ((benefits.NONCOVERED, "비급여"), (benefits.COVERED, "비급여 항목 없음"))),
+    ("진료비 100만원, 비급여 30만원", ((benefits.NONCOVERED, "비급여"), (benefits.COVERED, "비급여 30만원"))),
+    ("체외충격파 치료와 급여의 본인부담금", ((benefits.MUSCULOSKELETAL, "체외충격파"), (benefits.COVERED, "급여의 본인부담금"))),
+    ("지급 여부와 빈도수 문의, 충격파 쇄석술", ()),
+)
+_COVERS = (benefits.SEVERE, benefits.MILD, benefits.BENEFIT, "해외여행 실손의료보험", benefits.MILD)
+
+
+def _treatments(t: Tables) -> DataFrame:
+    said = F.concat("p_name", F.lit(". "), _pick(tuple(s for s, _ in _SAID), "p_partkey"))
+    return benefits.treatment_items(t.part.select("p_partkey", _pick(_COVERS, "p_partkey").alias("product"), said.alias("said")), "said")
+
+
+@query("treatment_items", f"SELECT p_partkey, {_pick_sql(tuple(';'.join(f'{i}:{w}' for i, w in found) for _, found in _SAID), 'p_partkey')} AS items FROM part")
+def treatment_items(t: Tables) -> DataFrame:
+    """Treatments that a claim names, and what it says of their cover, by the words for them."""
+    rows = _treatments(t)
+    return rows.select("p_partkey", F.array_join(F.transform("items", lambda x: F.concat(x["item"], F.lit(":"), x["word"])), ";").alias("items"))
+
+
+_NAMED = ", ".join(str((k, i, w)) for k, (_, found) in enumerate(_SAID) for i, w in found)
+
+
+@query(
+    "carved_items",
+    f"""SELECT p_partkey, item, word, place, excluded FROM (SELECT p_partkey, {_pick_sql(_COVERS, "p_partkey")} AS product FROM part) p
+      JOIN (VALUES {_NAMED}) s(k, item, word) ON p_partkey % {len(_SAID)} = k JOIN (VALUES {", ".join(map(str, benefits.CARVED))}) c(product, item, place, excluded) USING (product, item)""",
+)
+def carved_items(t: Tables) -> DataFrame:
+    """Items that the product of a claim deals with elsewhere or not at all."""
+    return benefits.carved_out(_treatments(t)).select("p_partkey", "item", "word", "place", "excluded")
