@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
+from indemna.operators.dictionary import contained
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -123,9 +125,28 @@ def token_overlap(a: Column, b: Column, pattern: str = "[a-z]{2,}", digits: int
     return F.when(union > 0, F.round(F.size(F.array_intersect(x, y)) / union, digits)).otherwise(F.lit(0.0))
 
 
-def resolve_gold(questions: DataFrame, rows: DataFrame, keyword: str, text: str) -> DataFrame:
-    """(query_id, uid): the rows whose text holds the question's keyword."""
-    return questions.join(rows, F.contains(F.col(text), F.col(keyword))).select("query_id", "uid")
+def resolve_gold(questions: DataFrame, rows: DataFrame, keyword: str, text: str, most: int = 4) -> DataFrame:
+    """(query_id, uid): the rows whose text holds the question's keyword.
+
+    Words of a keyword between its first and last blank stand between blanks in the text too: up to ``most`` of them are
+    looked up by hash among the runs of words of the texts, and what meets is compared in full. Keywords with fewer than
+    two blanks are met by their first characters. A null or empty keyword is in no text."""
+    words = F.split(keyword, " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    run = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))
+    asked = questions.select("query_id", F.col(keyword).alias("keyword"), inner.alias("inner"), F.least(F.size(inner), F.lit(most)).alias("n"))
+    anchors = asked.where("n > 0").select("query_id", "n", run(F.col("inner"), F.lit(1), F.col("n")).alias("h"))
+    sizes = F.broadcast(anchors.agg(F.array_sort(F.collect_set("n")).alias("sizes")))  # ``most`` numbers at most
+    told = rows.select("uid", F.split(text, " ").alias("w")).crossJoin(sizes)
+    starts = lambda n: F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+    runs = F.flatten(F.transform("sizes", lambda n: F.transform(starts(n), lambda i: run(F.col("w"), i, n))))
+    met = told.select("uid", F.explode(F.array_distinct(runs)).alias("h")).join(anchors, "h").select("query_id", "uid").distinct()
+    whole = met.join(rows.select("uid", F.col(text).alias("text")), "uid").join(asked.where("n > 0").select("query_id", "keyword"), "query_id")
+    long = whole.where(F.contains("text", "keyword")).select("query_id", "uid")
+    few = asked.where("n <= 0")
+    held = contained(few, "keyword", rows, text).select(F.col("part").alias("keyword"), F.col("whole").alias("text"))
+    short = held.join(few.select("query_id", "keyword"), "keyword").join(rows.select("uid", F.col(text).alias("text")), "text").select("query_id", "uid")
+    return long.unionByName(short)
 
 
 def recall(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:

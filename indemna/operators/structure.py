@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from indemna.functions.text import unboxed
+from indemna.operators.dictionary import contained
 
 
 def line_sections(docs: DataFrame, uid: str, text: str, section: str, chapter: str) -> DataFrame:
@@ -83,24 +84,6 @@ def term_keys(names: DataFrame, code: str, name: str, most: int = 10, tail_most:
     return full.unionByName(tail).select("key", "kind", "categories")
 
 
-def dictionary_match(texts: DataFrame, uid: str, text: str, keys: DataFrame, most_words: int = 4) -> DataFrame:
-    """(uid, key): the keys that occur in a text as whole words, less those that only occur as part of a longer
-    key that was matched. All runs of up to ``most_words`` words are looked up by a hash join."""
-    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
-    rows = texts.select(uid, words.alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    probes = rows.select(uid, F.explode(F.array_distinct(runs)).alias("key"))
-    met = probes.join(keys.select("key").distinct(), "key")
-    longer = met.select(uid, F.explode(F.array_distinct(_inner_runs("key", most_words))).alias("key"))
-    return met.join(longer, [uid, "key"], "left_anti").select(uid, "key")
-
-
-def _inner_runs(key: str, most: int) -> Column:
-    w = F.split(key, " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.array_join(F.slice(w, i, n), " "))))
-    return F.filter(runs, lambda r: r != F.col(key))
-
-
 def compare_sources(left: DataFrame, right: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
     """(key, status, differs): left_only, right_only or both, and the fields that differ; the first row of a key wins."""
     first = lambda df: df.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("n = 1").drop("n")
@@ -161,19 +144,33 @@ def links(pages: DataFrame, uid: str, html: str) -> DataFrame:
 def resolve_name(asked: DataFrame, known: DataFrame, name: str = "asked", other: str = "product") -> DataFrame:
     """(asked, resolved, tier, candidates): exact, equal but for blanks and case, the only prefix, the only container.
 
-    The first tier with a match decides; several matches of a prefix or container leave it unresolved."""
+    The first tier with a match decides; several matches of a prefix or container leave it unresolved. Every tier
+    is a name inside another, so only such pairs are made; a blank name matches nothing."""
     norm = lambda c: F.lower(F.regexp_replace(c, "\\s+", ""))
-    a, b = norm(F.col(name)), norm(F.col(other))
-    tier = F.when(F.col(name) == F.col(other), 0).when(a == b, 1).when(F.startswith(b, a), 2).when(F.contains(b, a), 3)
-    met = asked.select(name).distinct().crossJoin(known.select(other).distinct()).withColumn("tier", tier).where("tier is not null")
-    best = met.groupBy(name, "tier").agg(F.sort_array(F.collect_set(other)).alias("candidates"))
+    a = asked.select(name).distinct().withColumn("part", norm(name))
+    b = known.select(other).distinct().withColumn("whole", norm(other))
+    met = contained(a, "part", b, "whole").select("part", "whole").join(a, "part").join(b, "whole")
+    tier = F.when(F.col(name) == F.col(other), 0).when(F.col("part") == F.col("whole"), 1).when(F.startswith("whole", "part"), 2).otherwise(3)
+    best = met.groupBy(name, tier.alias("tier")).agg(F.sort_array(F.collect_set(other)).alias("candidates"))
     best = best.groupBy(name).agg(F.min_by(F.struct("tier", "candidates"), "tier").alias("b"))
     found = F.when(F.size("b.candidates") == 1, F.col("b.candidates")[0])
     return asked.select(name).distinct().join(best, name, "left").select(name, found.alias("resolved"), F.col("b.tier").alias("tier"), F.coalesce(F.size("b.candidates"), F.lit(0)).alias("candidates"))
 
 
+def _bare(name: Column, noise: str) -> Column:
+    return F.regexp_replace(F.lower(name), f"{noise}|\\s+", "")
+
+
 def same_product(a: Column, b: Column, noise: str) -> Column:
     """True if, without noise words and blanks, one name contains the other."""
-    strip = lambda c: F.regexp_replace(F.lower(c), f"{noise}|\\s+", "")
-    x, y = strip(a), strip(b)
+    x, y = _bare(a, noise), _bare(b, noise)
     return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
+
+
+def same_products(names: DataFrame, name: str, noise: str) -> DataFrame:
+    """(a, b): the pairs a < b of distinct names that ``same_product`` holds for, found by containment."""
+    rows = names.select(name).distinct().withColumn("bare", _bare(F.col(name), noise))
+    met = contained(rows, "bare", rows, "bare").select("part", "whole")
+    left, right = rows.select(F.col(name).alias("x"), F.col("bare").alias("part")), rows.select(F.col(name).alias("y"), F.col("bare").alias("whole"))
+    pairs = met.join(left, "part").join(right, "whole").where("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indemna.functions import codes, money, text
-from indemna.operators import structure
+from indemna.operators import dictionary, structure
 from indemna.plans.views import Tables, query
 
 PERSONAL = (("([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@", "$1***@"), ("([0-9]{4})([ -]?)[0-9]{4}[ -]?[0-9]{4}[ -]?([0-9]{4})", "$1$2****$2$3"))
@@ -122,9 +122,7 @@ def product_resolve(t: Tables) -> DataFrame:
       AND (contains(x(a.p_name), x(b.p_name)) OR contains(x(b.p_name), x(a.p_name)))""".replace("x(a.p_name)", "regexp_replace(a.p_name, 'small|big|red|blue|[ ]+', '', 'g')").replace("x(b.p_name)", "regexp_replace(b.p_name, 'small|big|red|blue|[ ]+', '', 'g')"),
 )
 def same_product(t: Tables) -> DataFrame:
-    names = t.part.select("p_name").distinct()
-    pairs = names.select(F.col("p_name").alias("a")).join(names.select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
-    return pairs.where(structure.same_product(F.col("a"), F.col("b"), "small|big|red|blue"))
+    return structure.same_products(t.part, "p_name", "small|big|red|blue")
 
 
 @query(
@@ -236,7 +234,39 @@ def term_keys(t: Tables) -> DataFrame:
 )
 def dictionary_match(t: Tables) -> DataFrame:
     said = t.claims().select("claim_id", F.concat(F.lit("the "), "narrative", F.lit(" near a "), F.lower("product"), F.lit(" ring")).alias("said"))
-    return structure.dictionary_match(said, "claim_id", "said", part_keys(t))
+    return dictionary.dictionary_match(said, "claim_id", "said", part_keys(t))
+
+
+_LETTERS, _SYLLABLES = "abcdefghijklmnopqrstuvwxyz", "가나다라마바사아자차카타파하거너더러머버서어저처커터"
+_RED_RING = "red ring".translate(str.maketrans(_LETTERS, _SYLLABLES))
+_KOREAN = {
+    "v_korean": f"SELECT claim_id, hospital_days % 6 AS form, translate(narrative, '{_LETTERS}', '{_SYLLABLES}') AS f FROM v_claims",
+    "v_korean_keys": f"""SELECT DISTINCT unnest([f, split_part(f, ' ', 2), substr(split_part(f, ' ', 2), 1, 2)]) AS key FROM (SELECT translate(p_name, '{_LETTERS}', '{_SYLLABLES}') AS f FROM part)""",
+    "v_korean_said": f"""SELECT claim_id, CASE WHEN contains(said, '충치') THEN said || ' {_RED_RING}' ELSE said END AS said FROM (SELECT claim_id, CASE form WHEN 0 THEN '급성' || w WHEN 1 THEN '검사' || w || ' 후' WHEN 2 THEN '문화 ' || w || ', ' || f
+      WHEN 3 THEN '충치 ' || w WHEN 4 THEN w || ' 과 ' || f ELSE '문화 ' || t END AS said FROM (SELECT *, split_part(f, ' ', 2) AS t, substr(split_part(f, ' ', 2), 1, 2) AS w FROM v_korean))""",
+    "v_korean_met": """SELECT said, key, CASE WHEN length(key) > 2 THEN contains(bare, key) ELSE regexp_matches(bare, '(^|[^가-힣]|급성|만성)' || key) END AS strong
+      FROM (SELECT DISTINCT said, regexp_replace(said, '문화 [가-힣]+', '#', 'g') AS bare FROM v_korean_said) JOIN v_korean_keys ON contains(said, key)""",
+}
+
+
+@query(
+    "dictionary_entities",
+    """SELECT s.claim_id, m.key, m.strong FROM v_korean_said s JOIN v_korean_met m ON m.said = s.said
+    WHERE NOT EXISTS (SELECT 1 FROM v_korean_met l WHERE l.said = m.said AND l.strong AND l.key <> m.key AND contains(l.key, m.key))""",
+    _KOREAN,
+)
+def dictionary_entities(t: Tables) -> DataFrame:
+    """Terms in narratives of claims, written in syllables, some of them glued to other words or inside homonyms."""
+    korean = lambda c: F.translate(c, _LETTERS, _SYLLABLES)
+    last = lambda f: F.split_part(f, F.lit(" "), F.lit(2))
+    keys = t.part.select(korean("p_name").alias("f")).distinct()
+    keys = keys.select(F.explode(F.array("f", last(F.col("f")), F.substring(last(F.col("f")), 1, 2))).alias("key")).distinct()
+    rows = t.claims().select("claim_id", (F.col("hospital_days") % 6).alias("form"), korean("narrative").alias("f"))
+    rows = rows.withColumn("t", last(F.col("f"))).withColumn("w", F.substring("t", 1, 2))
+    form, said = F.col("form"), lambda *parts: F.concat(*[F.col(p) if len(p) == 1 else F.lit(p) for p in parts])
+    text_ = F.when(form == 0, said("급성", "w")).when(form == 1, said("검사", "w", " 후")).when(form == 2, said("문화 ", "w", ", ", "f"))
+    text_ = text_.when(form == 3, said("충치 ", "w")).when(form == 4, said("w", " 과 ", "f")).otherwise(said("문화 ", "t"))
+    return dictionary.entity_match(rows.select("claim_id", text_.alias("said")), "claim_id", "said", keys, {"충치": _RED_RING}, ("문화 [가-힣]+",))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from indemna.functions import codes, money, text
 from indemna.operators import adjudication as adj
-from indemna.operators import retrieval, structure, versions
+from indemna.operators import dictionary, retrieval, structure, versions
 
 
 def one(spark, value, f, kind="string"):
@@ -153,4 +153,44 @@ def test_fusion_keeps_first_seen_order(spark):
 def test_longer_keys_win(spark):
     keys = spark.createDataFrame([("ring",), ("red ring",), ("bolt",)], "key string")
     texts = spark.createDataFrame([(1, "A red ring."), (2, "ring, red"), (3, None), (4, "")], "id int, t string")
-    assert {tuple(r) for r in structure.dictionary_match(texts, "id", "t", keys).collect()} == {(1, "red ring"), (2, "ring")}
+    assert {tuple(r) for r in dictionary.dictionary_match(texts, "id", "t", keys).collect()} == {(1, "red ring"), (2, "ring")}
+
+
+def test_keys_of_any_words(spark):
+    keys = spark.createDataFrame([("a b c d e f",), ("c d",), ("유착 방지",), (None,)], "key string")
+    texts = spark.createDataFrame([(1, "x A b c-d e f"), (2, "a b, C d"), (3, "유착 방지 도포")], "id int, t string")
+    assert {tuple(r) for r in dictionary.dictionary_match(texts, "id", "t", keys).collect()} == {(1, "a b c d e f"), (2, "c d"), (3, "유착 방지")}
+
+
+def test_terms_of_a_dictionary(spark):
+    keys = spark.createDataFrame([("비만",), ("치아우식",), ("자연유산",), ("유산",), ("복사의 골절",), ("골절",), ("장유착",), ("a(b",), ("",), (None,)], "key string")
+    said = {
+        1: "검사비만 청구", 2: "고도비만 수술", 3: "비만", 4: "충치 치료", 5: "세계자연유산 관광", 6: "자연 유산과 자연유산", 7: "유산소 운동", 8: "유산 소파술",
+        9: "발목 골절", 10: "장유착방지제 도포", 11: "세계유산 관광 후 유산", 12: "xa(b", 13: "", 14: None, 15: "검사비만, 비만",
+    }
+    texts = spark.createDataFrame([*said.items(), (3, "비만")], "id int, t string")
+    got = sorted(tuple(r) for r in dictionary.entity_match(texts, "id", "t", keys).collect())
+    assert got == sorted(
+        [(1, "비만", False), (2, "비만", True), (3, "비만", True), (3, "비만", True), (4, "치아우식", True), (5, "자연유산", False), (5, "유산", False), (6, "자연유산", True), (7, "유산", False), (8, "유산", True)]
+        + [(9, "복사의 골절", True), (10, "장유착", False), (11, "유산", True), (12, "a(b", True), (15, "비만", True)]
+    )
+
+
+def test_codes_of_a_dictionary(spark):
+    keys = spark.createDataFrame([("급성 편도염", "full", ["J03"]), ("출혈", "tail", ["O20", "R58"]), ("비만", "full", ["E66"])], "key string, kind string, categories array<string>")
+    texts = spark.createDataFrame([(1, "급성 편도염, 검사비만"), (2, "임신 중 출혈"), (3, "출혈"), (4, "없음")], "id int, t string")
+    got = {r.id: (r.codes, r.weak) for r in dictionary.dictionary_codes(texts, "id", "t", keys).collect()}
+    assert got == {1: (["J03"], ["E66"]), 2: (["O20"], ["R58"]), 3: (["R58"], ["O20"])}
+
+
+def test_strings_inside_texts(spark):
+    texts = ["abcdefghij", "xabcdefghijy", "b", "😀c", "", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = sorted((r.part, r.whole) for r in dictionary.contained(rows, "t", rows, "t").collect())
+    assert got == sorted((a, b) for a in texts for b in texts if a and b and a in b)
+
+
+def test_gold_of_short_and_long_keywords(spark):
+    asked = spark.createDataFrame([(1, "ab cd"), (2, "b cd ef gh ij kl m"), (3, "x"), (4, "q w e"), (5, ""), (6, None)], "query_id int, k string")
+    rows = spark.createDataFrame([(1, "ab cd ef gh ij kl mn"), (2, "ab cde x"), (3, "aq w ef"), (4, None), (5, "")], "uid int, t string")
+    assert sorted(tuple(r) for r in retrieval.resolve_gold(asked, rows, "k", "t").collect()) == [(1, 1), (1, 2), (2, 1), (3, 2), (4, 3)]
