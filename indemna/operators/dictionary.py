@@ -38,11 +38,12 @@ def contained(parts: DataFrame, part: str, wholes: DataFrame, whole: str, most:
     of the texts, not with texts times strings."""
     keys = parts.select(F.col(part).alias("part")).where("part <> ''").distinct().withColumn("head", F.substring("part", 1, most))
     sizes = F.broadcast(keys.agg(F.array_sort(F.collect_set(F.length("head"))).alias("sizes")))  # ``most`` numbers at most
-    texts = wholes.select(F.col(whole).alias("whole")).where("whole <> ''").distinct()
+    # Without any string no text is shuffled.
+    texts = wholes.select(F.col(whole).alias("whole")).where("whole <> ''").crossJoin(sizes).where("size(sizes) > 0").distinct()
     texts = texts.withColumns({"h1": F.xxhash64("whole"), "h2": F.xxhash64(F.lit(1), "whole")})
-    chars = texts.crossJoin(sizes).select("h1", "h2", "sizes", F.regexp_extract_all("whole", F.lit("(?s)."), F.lit(0)).alias("chars"))
+    chars = texts.select("h1", "h2", "sizes", F.regexp_extract_all("whole", F.lit("(?s)."), F.lit(0)).alias("chars"))
     met = chars.select("h1", "h2", F.explode(_runs(F.col("chars"), F.col("sizes"), "")).alias("head")).join(keys, "head").select("h1", "h2", "part").distinct()
-    return met.join(texts, ["h1", "h2"]).where(F.contains("whole", "part")).select("part", "whole", "h1", "h2")
+    return met.join(texts.drop("sizes"), ["h1", "h2"]).where(F.contains("whole", "part")).select("part", "whole", "h1", "h2")
 
 
 def _runs(items: Column, sizes: Column, by: str) -> Column:

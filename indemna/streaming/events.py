@@ -7,6 +7,7 @@ progress. The stateful ones keep their state in RocksDB.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql.window import Window
 
 WATERMARK = "10 minutes"
 IDLE = "30 minutes"
+#: How late a claim may come; totals of a year outlive it by as much.
+KEPT_DAYS = 730
 
 
 def timed(events: DataFrame, ts: str = "ts") -> DataFrame:
@@ -51,32 +54,49 @@ def counters(events: DataFrame, name: str, ts: str, width: str = "1 hour") -> Da
     return rows.groupBy(F.window(ts, width).alias("w"), name).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), name, "n")
 
 
+def in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+    """All rows of a key in one micro-batch, which arrive in several chunks, sorted together."""
+    return pd.concat(list(rows), ignore_index=True).sort_values(list(by), kind="stable")
+
+
 class YearlyLimits(StatefulProcessor):
-    """What a contract had been paid in a year before each claim; null before its first."""
+    """What a contract had been paid in a year before each claim; null before its first. A claim that is older than
+    one folded in an earlier batch is ``late``: its totals hold the newer ones too. A year's totals go once the
+    watermark has passed its end."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("totals", "paid bigint, visits bigint")
+        self.handle = handle
+        self.state = handle.getValueState("totals", "paid bigint, visits bigint, ts string, claim_id string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        paid, visits = self.state.get() if self.state.exists() else (None, None)
-        for pdf in rows:
-            out = pdf.sort_values(["ts", "claim_id"])
-            before = []
-            for amount, visit in zip(out["amount"], out["visit"], strict=True):
-                before.append((paid, visits))
-                paid, visits = (paid or 0) + int(amount), (visits or 0) + int(visit)
-            out = out[["claim_id"]].assign(contract=key[0], year=key[1], paid_before=pd.array([b[0] for b in before], dtype="Int64"), visits_before=pd.array([b[1] for b in before], dtype="Int64"))
-            yield out[["contract", "year", "claim_id", "paid_before", "visits_before"]]
-        self.state.update((paid, visits))
+        paid, visits, *last = self.state.get() if self.state.exists() else (None, None, None, None)
+        out = in_order(rows, "ts", "claim_id")
+        before = []
+        for ts, claim, amount, visit in zip(out["ts"], out["claim_id"], out["amount"], out["visit"], strict=True):
+            late = last[0] is not None and [ts, claim] < last
+            before.append((paid, visits, late))
+            paid, visits = (paid or 0) + int(amount), (visits or 0) + int(visit)
+            last = last if late else [ts, claim]
+        told = pd.DataFrame(before, columns=["paid_before", "visits_before", "late"], index=out.index).astype({"paid_before": "Int64", "visits_before": "Int64", "late": "bool"})
+        yield out[["claim_id"]].assign(contract=key[0], year=key[1]).join(told)[["contract", "year", "claim_id", "paid_before", "visits_before", "late"]]
+        self.state.update((paid, visits, *last))
+        self.handle.registerTimer(int(datetime(key[1] + 1, 1, 1, tzinfo=UTC).timestamp() * 1000))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
 def stream_limits(claims: DataFrame) -> DataFrame:
-    """``contract_history`` on a stream of (contract, year, claim_id, ts, amount, visit), in order inside a batch."""
+    """``contract_history`` on a stream of (contract, year, claim_id, ts, amount, visit), in order inside a batch, with
+    ``late`` for claims that came after newer ones. ``ts`` is a string that sorts by time and reads as a timestamp;
+    claims more than ``KEPT_DAYS`` older than the newest are dropped and counted by the query's progress."""
     use_rocksdb(claims.sparkSession)
-    return claims.groupBy("contract", "year").transformWithStateInPandas(YearlyLimits(), "contract bigint, year int, claim_id string, paid_before bigint, visits_before bigint", "Append", "None")
+    timed_ = claims.withColumn("at", F.to_timestamp("ts")).withWatermark("at", f"{KEPT_DAYS} days")
+    return timed_.groupBy("contract", "year").transformWithStateInPandas(YearlyLimits(), "contract bigint, year int, claim_id string, paid_before bigint, visits_before bigint, late boolean", "Append", "EventTime")
 
 
 class Revisions(StatefulProcessor):
@@ -87,14 +107,13 @@ class Revisions(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         value, kind, revision = self.state.get() if self.state.exists() else (None, None, 0)
-        for pdf in rows:
-            out = []
-            for r in pdf.sort_values("event_id").itertuples():
-                value = value if pd.isna(r.value) else float(r.value)
-                kind = kind if r.kind is None else r.kind
-                revision += int(r.readjudicated)
-                out.append((r.event_id, value, kind, revision))
-            yield pd.DataFrame(out, columns=["event_id", "value", "kind", "revision"])
+        out = []
+        for r in in_order(rows, "event_id").itertuples():
+            value = value if pd.isna(r.value) else float(r.value)
+            kind = kind if pd.isna(r.kind) else r.kind
+            revision += int(r.readjudicated)
+            out.append((r.event_id, value, kind, revision))
+        yield pd.DataFrame(out, columns=["event_id", "value", "kind", "revision"])
         self.state.update((value, kind, revision))
 
     def close(self) -> None:

@@ -48,6 +48,33 @@ def test_yearly_limits(spark, tmp_path):
     stream = spark.readStream.schema(claims.schema).parquet(path)
     got = _all(spark, streams.stream_limits(stream), "limits_out", tmp_path)
     assert {(r.claim_id, r.paid_before, r.visits_before) for r in got.collect()} == {(r.claim_id, r.paid_before, r.visits_before) for r in batch.collect()}
+    assert not got.where("late").count()
+
+
+def test_yearly_limits_over_chunks_and_batches(spark, tmp_path):
+    """Rows of a key in more than one Arrow chunk are folded in order; what comes after newer rows is told as late."""
+    path = str(tmp_path / "claims")
+    kind = "contract long, year int, claim_id string, ts string, amount long, visit int"
+    write = lambda rows: spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+    write([(1, 2024, f"c{i:03}", f"2024-03-{28 - i:02}", 1, 0) for i in range(20)])
+    chunk = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(chunk)
+    try:
+        spark.conf.set(chunk, "3")
+
+        def told():
+            """One run over what is new; all rows that the runs have given out."""
+            out = streams.stream_limits(spark.readStream.schema(kind).parquet(path)).writeStream.format("parquet").outputMode("append")
+            out = out.option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+            assert out.awaitTermination(120)
+            return {r.claim_id: (r.paid_before, r.late) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+        first = {f"c{i:03}": (19 - i or None, False) for i in range(20)}
+        assert told() == first
+        write([(1, 2024, "old", "2024-01-01", 5, 0), (1, 2024, "new", "2024-04-01", 7, 0), (2, 2024, "own", "2024-01-01", 7, 0)])
+        assert told() == first | {"old": (20, True), "new": (25, False), "own": (None, False)}
+    finally:
+        spark.conf.set(chunk, before)
 
 
 def test_revisions(spark, tmp_path):
