@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from indemna.llm.audit import document_failures, filter_interactions
 from indemna.llm.chat import rotate_perspectives
+from indemna.llm.clusters import cluster_vectors
 from indemna.llm.common import held_out
 from indemna.llm.langid import identify_language, language_profiles
 from indemna.llm.lines import dedup_lines
@@ -16,6 +18,7 @@ from indemna.llm.minhash import minhash_components
 from indemna.llm.mixing import mix
 from indemna.llm.pii import find_pii
 from indemna.llm.quality import classify_quality
+from indemna.llm.subwords import encode_pieces
 from indemna.llm.vectors import near_vectors
 from indemna.llm.winnow import decontaminate
 
@@ -93,6 +96,31 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(table(spark, sf_dir, "documents").select("doc_id", "text"), targets=good)
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of all their orders, for each language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = document_failures(docs, keep=("lang",))
+    marks = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    marks = marks.agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    lost = {"good_lost": F.col("good"), "toxic_lost": F.col("toxic")}
+    return filter_interactions(rows.join(marks, "doc_id", "left"), F.col("lang"), {f: F.col(f) for f in "ABCDE"}, lost).drop("filter")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 40 clusters around integer centroids."""
+    rows = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid", "n_measured")
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as ids of a vocabulary of pieces, and back."""
+    import public_tokenizers
+
+    rows = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vectors": op1_vectors,
     "op2_language": op2_language,
@@ -104,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_winnowing": op9_winnowing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_audit": op11_audit,
+    "op12_centroids": op12_centroids,
+    "op13_pieces": op13_pieces,
 }
 
 OP4_SQL = """
@@ -194,4 +225,59 @@ SELECT conv_id, perspective, segment,
 FROM o GROUP BY conv_id, perspective, segment
 """
 
-SQL: dict[str, str] = {"op4_lines": OP4_SQL, "op5_mixing": OP5_SQL, "op6_perspectives": OP6_SQL}
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+), marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d LEFT JOIN marks USING (doc_id)
+), n AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), r AS (SELECT *, coalesce(list_min(list_transform(string_split(fails, ''), lambda x: CASE WHEN x = '' THEN NULL ELSE strpos(filter_order, x) END)), 6) AS went FROM n, o),
+s AS (
+  SELECT part, filter_order, step, filter_order[step] AS f, coalesce(sum(n) FILTER (went > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (went = step), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (went < step AND contains(fails, filter_order[step])), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = filter_order[step]), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (went = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (went = step), 0)::BIGINT AS toxic_lost
+  FROM r, (SELECT unnest([1, 2, 3, 4, 5]) AS step) GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM s
+"""
+
+
+def _clusters_sql(rounds: int = 5) -> str:
+    """Each round as three tables: the nearest centroids, sums of components, and what they move the centroids to."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(v.v) AS v, min((list_sum(list_transform(list_zip(v.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT, c.cluster)) AS best
+  FROM v, c{r} c GROUP BY row
+)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT best[2] AS cluster, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY ALL),
+m{r} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.cluster = c.cluster)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS cluster, v FROM (SELECT vec_id, v FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('2:' || vec_id), v LIMIT 40)
+), {",".join(steps)}
+SELECT vec_id, best[2]::INT AS cluster, best[1]::BIGINT AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia, (sum(best[1]) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.cluster = best[2]
+"""
+
+
+OP12_SQL = _clusters_sql()
+
+SQL: dict[str, str] = {"op4_lines": OP4_SQL, "op5_mixing": OP5_SQL, "op6_perspectives": OP6_SQL, "op11_audit": OP11_SQL, "op12_centroids": OP12_SQL}

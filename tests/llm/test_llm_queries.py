@@ -15,7 +15,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "labels"):
         con.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     got, want = QUERIES[name](spark, FOLDER).toPandas(), con.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
