@@ -32,14 +32,6 @@ def sections(docs: DataFrame, uid: str, text: str, marker: str) -> DataFrame:
     return named.groupBy(uid).agg(F.map_from_entries(F.sort_array(F.collect_list("e"))).alias("sections"))
 
 
-def fusion_evidence(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Adds ``fused``: whether two pieces of a broken line belong together without a blank, by what the corpus
-    (token) has: the fused word, and not only the two apart."""
-    words = corpus.select(F.col("token").alias("probe")).distinct().withColumn("there", F.lit(True))
-    rows = pairs.withColumn("probe", F.concat("left", "right"))
-    return rows.join(words, "probe", "left").select("left", "right", F.coalesce("there", F.lit(False)).alias("fused"))
-
-
 def split_lines(text: Column, size: int = 800, overlap: int = 100) -> Column:
     """Whole lines gathered into chunks of about ``size`` characters; each chunk begins with the last lines of the one
     before, ``overlap`` characters at least. One pass over the array of lines."""

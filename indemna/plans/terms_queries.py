@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from indemna.functions import benefits, receipts
 from indemna.operators import provisions, terms
+from indemna.plans.text_queries import EVIDENCE
 from indemna.plans.views import Tables, query
 
 _MARKS = terms.CIRCLED[:10]
@@ -65,6 +66,29 @@ def terms_table_rows(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.array_join("cells", "|").alias("cells"))
 
 
+_HALVES = {
+    "v_halves": r"""SELECT doc_id, i, regexp_replace(line[:length(line) // 2], '^\s+|\s+$', '', 'g') AS a, regexp_replace(line[length(line) // 2 + 1:], '^\s+|\s+$', '', 'g') AS b
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS i FROM documents)""",
+    "v_cuts": r"""SELECT DISTINCT regexp_extract(a, '(\S+)$', 1) AS "left", regexp_extract(b, '^(\S+)', 1) AS "right" FROM v_halves WHERE a <> '' AND b <> '' """,
+}
+
+
+@query(
+    "terms_table_cells",
+    r"""SELECT doc_id, i::VARCHAR AS number, a || CASE WHEN a = '' OR b = '' OR fused THEN '' ELSE ' ' END || b AS content
+      FROM v_halves LEFT JOIN v_told ON "left" = regexp_extract(a, '(\S+)$', 1) AND "right" = regexp_extract(b, '^(\S+)', 1)""".replace("OR fused", "OR coalesce(fused, false)"),
+    EVIDENCE | _HALVES,
+)
+def terms_table_cells(t: Tables) -> DataFrame:
+    """Every line of the documents, cut in the middle by a narrow cell of a drawn table, put together by what all documents have."""
+    half = lambda x: F.floor(F.length(x) / 2).cast("int")
+    row = lambda x, i: _text("┃ ", i, " ┃", F.substring(x, F.lit(1), half(x)), "┃\n┃ ┃", F.substring(x, half(x) + 1, F.length(x)), "┃")
+    drawn = F.array_join(F.transform(F.split("text", "\n"), row), "\n┣━━╋━━┫\n")
+    tables = t.documents.select("doc_id", F.concat(F.lit("┏━━┳━━┓\n"), drawn, F.lit("\n┗━━┻━━┛")).alias("text"))
+    rows = terms.table_rows(tables, "doc_id", "text", corpus=t.documents)
+    return rows.select("doc_id", F.col("cells")[0].alias("number"), F.col("cells")[1].alias("content"))
+
+
 @query("terms_table_exclusions", "SELECT doc_id, '(1)상해' AS coverage, 1 AS paragraph, number, text FROM (SELECT doc_id, unnest([1, 2]) AS number, unnest([md5(text) || ' 경우', doc_id || ' 번의 사유']) AS text FROM documents)")
 def terms_table_exclusions(t: Tables) -> DataFrame:
     """The numbered exclusions in the last cell of a coverage row."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indemna.functions import codes, money, text
-from indemna.operators import dictionary, structure
+from indemna.operators import dictionary, fusion, structure
 from indemna.plans.views import Tables, query
 
 PERSONAL = (("([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@", "$1***@"), ("([0-9]{4})([ -]?)[0-9]{4}[ -]?[0-9]{4}[ -]?([0-9]{4})", "$1$2****$2$3"))
@@ -162,15 +162,35 @@ def document_sections(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.size("sections").cast("long").alias("n"), F.md5(F.array_join(entries, ";").cast("binary")).alias("digest"))
 
 
+#: The corpus' substrings: of its words, and of the ends and beginnings at both sides of a blank.
+EVIDENCE = {
+    "v_words": """SELECT DISTINCT w FROM (SELECT unnest(string_split(line, ' ')) AS w FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE length(w) > 1""",
+    "v_inside": """SELECT DISTINCT substr(w, i, n) AS s FROM (SELECT w, i, unnest(range(2, length(w) - i + 2)) AS n FROM (SELECT w, unnest(range(1, length(w))) AS i FROM v_words))""",
+    "v_blanks": """SELECT DISTINCT x.a AS a, x.b AS b FROM (SELECT unnest(list_zip(w, w[2:])) AS z, z[1] AS a0 FROM (SELECT string_split(line, ' ') AS w FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))), LATERAL (SELECT z[1] AS a, z[2] AS b) x
+      WHERE x.a <> '' AND x.b <> ''""",
+    "v_apart": """SELECT DISTINCT a[-i:] AS l, b[:j] AS r FROM (SELECT a, b, i, unnest(range(1, length(b) + 1)) AS j FROM (SELECT a, b, unnest(range(1, length(a) + 1)) AS i FROM v_blanks))""",
+    "v_asks": """SELECT DISTINCT "left", "right", turn, l, r FROM (
+      SELECT "left", "right", 0 AS turn, "left" AS l, "right" AS r FROM v_cuts UNION ALL SELECT "left", "right", 1, "left", "right" FROM v_cuts UNION ALL
+      SELECT "left", "right", 2 * (7 - w) + k, "left"[-w:], "right"[:w] FROM v_cuts, (SELECT unnest([6, 5, 4, 3, 2]) AS w), (SELECT unnest([0, 1]) AS k) WHERE length("left"[-w:]) + length("right"[:w]) >= 4)""",
+    "v_told": """SELECT "left", "right", min(turn) % 2 = 0 AS fused FROM v_asks q LEFT JOIN v_inside i ON q.turn % 2 = 0 AND i.s = q.l || q.r LEFT JOIN v_apart p ON q.turn % 2 = 1 AND p.l = q.l AND p.r = q.r
+      WHERE i.s IS NOT NULL OR p.l IS NOT NULL GROUP BY ALL""",
+}
+
+
 @query(
     "fusion_evidence",
-    """SELECT "left", "right", EXISTS (SELECT 1 FROM v_tokens k WHERE k.token = p."left" || p."right") AS fused FROM (SELECT DISTINCT lower(split_part(text, ' ', 1)) AS "left", lower(split_part(text, ' ', 2)) AS "right" FROM documents) p""",
-    {"v_tokens": "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS token FROM documents"},
+    """SELECT c."left", c."right", coalesce(fused, false) AS fused FROM v_cuts c LEFT JOIN v_told t ON t."left" = c."left" AND t."right" = c."right" """,
+    EVIDENCE
+    | {
+        "v_cuts": r"""SELECT DISTINCT regexp_extract(line, '(\S+)$', 1) AS "left", regexp_extract(after, '^(\S+)', 1) AS "right" FROM (
+      SELECT trim(l[i]) AS line, trim(l[i + 1]) AS after FROM (SELECT l, unnest(range(1, len(l))) AS i FROM (SELECT string_split(text, chr(10)) AS l FROM documents))) WHERE line <> '' AND after <> ''""",
+    },
 )
 def fusion_evidence(t: Tables) -> DataFrame:
-    pairs = t.documents.select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("left"), F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("right")).distinct()
-    tokens = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("token"))
-    return structure.fusion_evidence(pairs, tokens)
+    """The last word of every line of the documents and the first of the next: one word, by what all documents have?"""
+    lines = t.documents.select(F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("l"))
+    pairs = lines.select(F.explode(F.arrays_zip(F.col("l").alias("a"), F.slice("l", 2, F.size("l")).alias("b"))).alias("p")).where("p.a <> '' and p.b <> ''")
+    return fusion.fusion_evidence(pairs.select(F.regexp_extract("p.a", "(\\S+)$", 1).alias("left"), F.regexp_extract("p.b", "^(\\S+)", 1).alias("right")), t.documents)
 
 
 @query("chunk_rows", "SELECT node_uid, node_kind, md5(content) AS content_md5 FROM (SELECT article_uid AS node_uid, 'article' AS node_kind, title || chr(10) || text AS content FROM v_articles UNION ALL SELECT item_uid, 'item', content FROM v_items)")
