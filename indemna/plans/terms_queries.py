@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from indemna.functions import benefits, receipts
-from indemna.operators import provisions, terms
+from indemna.operators import pages, provisions, terms
 from indemna.plans.text_queries import EVIDENCE
 from indemna.plans.views import Tables, query
 
@@ -105,6 +105,67 @@ def terms_stitched(t: Tables) -> DataFrame:
     return terms.stitched(rows, "doc_id", "n").select("doc_id", "label", "content")
 
 
+#: Printed lines: headings whole, wrapped, and inside tables, brackets that close them sooner or later; before the first
+#: section a table of contents names the whole ones.
+_PRINTED = {
+    "v_printed": r"""SELECT doc_id, i AS pos, CASE WHEN i % 13 = 0 THEN NULL ELSE i // 5 + 1 END AS page, i % 11 = 3 AS in_table, m[1] AS d, CASE WHEN m[1] IN ('0', '1', '2', '3') THEN '제 ' || (i + 1) || '조(' || m || ')'
+        WHEN m[1] IN ('4', '5') THEN '제 ' || (i + 1) || '조(' || m WHEN m[1] = '6' THEN '제 ' || (i + 1) || '조의2[' || m || ' [가' WHEN m[1] IN ('7', '8', '9') THEN m || ') 끝' WHEN m[1] IN ('a', 'b') THEN m || '] 끝'
+        WHEN m[1] = 'c' THEN m || ' (나' ELSE m END AS line FROM v_lines""",
+    "v_marked": """SELECT doc_id, pos, page, CASE WHEN in_table THEN '│' || line ELSE line END AS line, CASE WHEN NOT in_table AND d IN ('4', '5') THEN '(' WHEN NOT in_table AND d = '6' THEN '[' END AS opens, CASE WHEN d = '6' THEN 2 ELSE 1 END AS depth,
+        len(line) - len(replace(line, '(', '')) - len(line) + len(replace(line, ')', '')) AS rounds, len(line) - len(replace(line, '[', '')) - len(line) + len(replace(line, ']', '')) AS squares FROM v_printed""",
+    "v_fold": """SELECT doc_id, pos, page, line, pos AS first, opens AS kind, depth FROM v_marked WHERE pos = 0 UNION ALL
+      SELECT m.doc_id, m.pos, m.page, m.line, CASE WHEN f.kind IS NULL THEN m.pos ELSE f.first END, CASE WHEN f.kind IS NULL THEN m.opens WHEN f.depth + CASE WHEN f.kind = '(' THEN m.rounds ELSE m.squares END <= 0 THEN NULL ELSE f.kind END,
+        CASE WHEN f.kind IS NULL THEN m.depth ELSE f.depth + CASE WHEN f.kind = '(' THEN m.rounds ELSE m.squares END END FROM v_fold f JOIN v_marked m ON m.doc_id = f.doc_id AND m.pos = f.pos + 1""",
+    "v_whole": "SELECT doc_id, first AS pos, string_agg(line, ' ' ORDER BY pos) AS line, arg_min(coalesce(page, -1), pos) AS page, arg_max(kind IS NULL, pos) AS shut FROM v_fold GROUP BY ALL",
+    "v_titled": r"""SELECT *, regexp_extract(line, '^제 ([0-9]+조(?:의2)?)[(\[]', 1) AS number, regexp_extract(line, CASE WHEN contains(split_part(line, '조', 2)[:4], '[') THEN '^[^\[]*\[(.*)\]' ELSE '^[^(]*\((.*)\)' END, 1) AS title FROM v_whole
+      WHERE shut AND regexp_matches(line, '^제 [0-9]+조(의2)?[(\[]') AND regexp_matches(line, CASE WHEN contains(split_part(line, '조', 2)[:4], '[') THEN '\[.*\]' ELSE '\(.*\)' END)""",
+}
+
+
+def printed(t: Tables) -> DataFrame:
+    """(doc_id, pos, page, in_table, line)."""
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "x")).withColumn("m", F.md5(F.col("x").cast("binary")))
+    d = F.substring("m", 1, 1)
+    n = F.col("pos") + 1
+    line = F.when(d.isin(*"0123"), _text("제 ", n, "조(", F.col("m"), ")")).when(d.isin(*"45"), _text("제 ", n, "조(", F.col("m"))).when(d == "6", _text("제 ", n, "조의2[", F.col("m"), " [가"))
+    line = line.when(d.isin(*"789"), _text(F.col("m"), ") 끝")).when(d.isin(*"ab"), _text(F.col("m"), "] 끝")).when(d == "c", _text(F.col("m"), " (나")).otherwise(F.col("m"))
+    page = F.when(F.col("pos") % 13 != 0, F.floor(F.col("pos") / 5) + 1)
+    return rows.select("doc_id", "pos", page.alias("page"), (F.col("pos") % 11 == 3).alias("in_table"), line.alias("line"))
+
+
+@query("terms_rejoined", "SELECT doc_id, pos, md5(line) AS line_md5, nullif(page, -1) AS page FROM v_whole", VIEWS | _PRINTED)
+def terms_rejoined(t: Tables) -> DataFrame:
+    """Printed lines with wrapped titles of articles in one."""
+    rows = pages.rejoined_lines(printed(t), "doc_id", "pos", "line", "page", "in_table")
+    return rows.select("doc_id", "pos", F.md5(F.col("line").cast("binary")).alias("line_md5"), "page")
+
+
+@query(
+    "terms_page_map",
+    """SELECT doc_id, replace(number, '조', '') AS number, title, place AS pos, page FROM v_cursor WHERE place IS NOT NULL AND page <> -1""",
+    VIEWS
+    | _PRINTED
+    | {
+        "v_contents": "SELECT doc_id, pos - 1000000 AS pos, 900 + pos % 7 AS page, number, title FROM v_titled WHERE NOT contains(line, '│') AND pos % 3 = 1 AND regexp_matches(line, '[)]$') AND length(title) = 32",
+        "v_wanted": """SELECT a.*, c.pos AS early, c.page AS early_page, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.pos) AS k FROM v_titled a
+          LEFT JOIN v_contents c ON c.doc_id = a.doc_id AND c.number = a.number AND c.title = a.title WHERE NOT contains(a.line, '│')""",
+        "v_cursor": """SELECT doc_id, k, number, title, coalesce(early, pos) AS place, CASE WHEN early IS NULL THEN page ELSE early_page END AS page, coalesce(early, pos) AS last FROM v_wanted WHERE k = 1 UNION ALL
+          SELECT w.doc_id, w.k, w.number, w.title, CASE WHEN w.early > c.last THEN w.early WHEN w.pos > c.last THEN w.pos END, CASE WHEN w.early > c.last THEN w.early_page WHEN w.pos > c.last THEN w.page END,
+            CASE WHEN w.early > c.last THEN w.early WHEN w.pos > c.last THEN w.pos ELSE c.last END FROM v_cursor c JOIN v_wanted w ON w.doc_id = c.doc_id AND w.k = c.k + 1""",
+    },
+)
+def terms_page_map(t: Tables) -> DataFrame:
+    """The page of every article, by a cursor over the printed lines; the table of contents in front names some articles first."""
+    rows = pages.rejoined_lines(printed(t), "doc_id", "pos", "line", "page", "in_table")
+    whole = rows.groupBy("doc_id").agg(F.concat(F.lit("□ 약관\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")).alias("text"))
+    found = terms.articles(whole, "doc_id").select("doc_id", F.col("block").alias("k"), "number", "title")
+    head = terms.article_head(F.col("line"))
+    contents = rows.where((F.col("pos") % 3 == 1) & F.endswith("line", F.lit(")")) & (F.length(head["title"]) == 32) & ~F.contains("line", F.lit("│")))
+    contents = contents.select("doc_id", (F.col("pos") - 1000000).alias("pos"), "line", (F.lit(900) + F.col("pos") % 7).cast("long").alias("page"))
+    found = pages.article_pages(found, contents.unionByName(rows), "doc_id", "k", "pos", "page")
+    return found.select("doc_id", "number", "title", "pos", "page")
+
+
 @query("terms_references", "SELECT page_id, unnest([(page_id % 50 + 20)::VARCHAR, (page_id % 50 + 20) || '의2', '3']) AS number, unnest([false, false, true]) AS in_proviso FROM pages")
 def terms_references(t: Tables) -> DataFrame:
     """Articles that a text names; those of a law, and what is listed after it, are none."""

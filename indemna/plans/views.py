@@ -199,15 +199,17 @@ def with_views(body: str, views: dict[str, str] | None = None) -> str:
     """The SQL with the views that it names, and those that these name, in front."""
     known = VIEWS | (views or {})
     used: list[str] = []
+    seen: set[str] = set()
 
     def need(text: str) -> None:
         for name, sql in known.items():
-            if name in text and name not in used:
+            if name in text and name not in seen:
+                seen.add(name)
                 need(sql)
                 used.append(name)
 
     need(body)
-    return "WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in used) + "\n" + body if used else body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({known[n]})" for n in used) + "\n" + body if used else body
 
 
 def query(name: str, sql: str | None = None, views: dict[str, str] | None = None) -> Callable:
