@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 from pyspark.sql.window import Window
 
 from indemna.operators.dictionary import contained
+from indemna.operators.nearest import nearest
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,13 +34,16 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", uid: str = "uid") ->
 
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int, on: list[str] | None = None, digits: int = 9) -> DataFrame:
     """(query_id, uid, score, rank): exact cosine search. ``queries`` has query_id, qv and the columns ``on``, such as
-    version or permitted product, which are compared before the limit; ``chunks`` has uid, v and the same columns.
+    version or product, which are compared before the limit; ``chunks`` has uid, v and the same columns. See ``nearest``."""
+    return nearest(queries, chunks, k, on or [], digits=digits).select("query_id", "uid", "score", "rank")
 
-    Each task keeps the best ``k`` of a query before anything is shuffled."""
-    q = queries.withColumn("qv", l2_normalize(F.col("qv")))
-    c = chunks.withColumn("v", l2_normalize(F.col("v")))
-    pairs = q.join(c, on) if on else q.crossJoin(c)
-    return top_k(pairs.select("query_id", "uid", F.round(dot(F.col("qv"), F.col("v")), digits).alias("score")), k)
+
+def for_principals(best: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
+    """(principal, query_id, uid, product, score, rank): the ``k`` best of what each principal may see (principal, product), from the
+    ``k`` best of each product (query_id, product, uid, score), of which these are always some. No search is done twice, however many principals ask."""
+    rank = F.row_number().over(Window.partitionBy("principal", "query_id").orderBy(F.desc("score"), "uid"))
+    rows = best.select("query_id", "product", "uid", "score").join(allowed.select("principal", "product").distinct(), "product")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def terms(docs: DataFrame, uid: str, text: str, pattern: str = "[a-z]{2,}") -> DataFrame:
@@ -65,6 +70,62 @@ def prefix_frequency(df: DataFrame, prefixes: DataFrame, least: int = 2) -> Data
     return cut.where(F.length("prefix") <= F.col("n_chars")).join(prefixes, "prefix", "left_semi").groupBy("prefix").agg(F.sum("df").alias("n"))
 
 
+def prefix_forms(stems: DataFrame, vocabulary: DataFrame, least: int = 2) -> DataFrame:
+    """(stem, term, df): the terms of ``vocabulary`` (term, df) that begin with each of ``stems`` (stem); stems shorter than
+    ``least`` stand for themselves only. Every term is listed under its beginnings once, and stems meet these by equality."""
+    size = F.length("term")
+    starts = F.transform(F.sequence(F.lit(least), size), lambda n: F.substring("term", F.lit(1), n))
+    listed = vocabulary.select("term", "df", F.explode(F.when(size >= least, starts).otherwise(F.array("term"))).alias("stem"))
+    return stems.select("stem").distinct().join(listed, "stem").select("stem", "term", "df")
+
+
+def meet_terms(asked: DataFrame, postings: DataFrame, df: DataFrame) -> DataFrame:
+    """``postings`` (uid, term, ...) joined with ``asked`` (term, ...). The postings of terms that more than a thousandth of all
+    have, fewer than 1,000 terms, are dealt to parts by uid and meet a copy of what is asked in each."""
+    total = F.broadcast(df.agg(F.sum("df").alias("total")))
+    common = F.broadcast(df.crossJoin(total).where("df * 1000 > total").select("term", F.lit(64).alias("parts")))
+    dealt = postings.join(common, "term", "left").withColumn("part", F.pmod(F.xxhash64("uid"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copied = asked.join(common, "term", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copied, ["term", "part"]).drop("part")
+
+
+def lexical_forms(queries: DataFrame, df: DataFrame | None = None, n: DataFrame | None = None, share: float = 0.05, strategies: Sequence[str] = ("lexical", "lexical-df", "lexical-pfx")) -> DataFrame:
+    """(strategy, query_id, term, times): what each strategy looks up for each query (query_id, term).
+
+    lexical: all of its terms. lexical-df: those that some and at most ``share`` of the documents (one at least) have. lexical-pfx:
+    all terms that begin with one of its terms, where these are in at most that share together; a term that several
+    begin counts so many times. A query of which nothing is left uses all of its terms, or all that begin with them. ``df`` has
+    document frequencies, ``n`` the number of documents in one row; lexical alone needs neither.
+    """
+    asked = queries.select("query_id", "term").distinct()
+    forms = []
+    if "lexical" in strategies:
+        forms.append(asked.select(F.lit("lexical").alias("strategy"), "query_id", "term", F.lit(1).cast("long").alias("times")))
+
+    def distinct_or_all(asked: DataFrame, kept: DataFrame, by: str) -> DataFrame:
+        rare = asked.join(kept.select(by), by, "left_semi")
+        return rare.unionByName(asked.join(rare.select("query_id").distinct(), "query_id", "left_anti"))
+
+    if "lexical-df" in strategies:
+        kept = distinct_or_all(asked, distinctive(df, n, share), "term")
+        forms.append(kept.select(F.lit("lexical-df").alias("strategy"), "query_id", "term", F.lit(1).cast("long").alias("times")))
+    if "lexical-pfx" in strategies:
+        stems = asked.withColumnRenamed("term", "stem")
+        told = prefix_forms(stems, df)
+        counts = told.groupBy(F.col("stem").alias("term")).agg(F.sum("df").alias("df"))
+        kept = distinct_or_all(stems, distinctive(counts, n, share).withColumnRenamed("term", "stem"), "stem")
+        forms.append(kept.join(told, "stem").groupBy(F.lit("lexical-pfx").alias("strategy"), "query_id", "term").agg(F.count("*").alias("times")))
+    return reduce(DataFrame.unionByName, forms)
+
+
+def lexical_hits(forms: DataFrame, postings: DataFrame, df: DataFrame, k: int, within: Sequence[str] = ()) -> DataFrame:
+    """(strategy, query_id, within, uid, score, rank): the ``k`` best of every strategy at once, by how often what it looks up
+    occurs; the ``k`` best for each value of the columns ``within`` of ``postings`` (uid, term, tf, within). The postings are read once."""
+    met = meet_terms(forms, postings, df).groupBy("strategy", "query_id", *within, "uid").agg(F.sum(F.col("tf") * F.col("times")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("strategy", "query_id", *within).orderBy(F.desc("score"), "uid"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def lexical_search(queries: DataFrame, postings: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, uid, score, rank): any of a query's terms, scored by how often they occur.
 
@@ -111,7 +172,7 @@ def embedder(make_predict: Callable, batch_size: int = 64) -> Callable[[Column],
 def pair_scorer(score_pairs: Callable[[list[str], list[str]], Sequence[float]]) -> Callable[[Column, Column], Column]:
     """A column function from (query, text) to a score for ``rerank``; ``score_pairs`` gets an Arrow batch at a time."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def score(query: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series(score_pairs(query.tolist(), text.tolist()), dtype="float64")
 
@@ -149,17 +210,31 @@ def resolve_gold(questions: DataFrame, rows: DataFrame, keyword: str, text: str,
     return long.unionByName(short)
 
 
-def recall(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """(strategy, queries, hit_rate, recall, candidates): over the questions that have gold, of the first ``k`` hits."""
-    n = gold.groupBy("query_id").agg(F.count("*").alias("n"))
-    asked = hits.select("strategy").distinct().crossJoin(n)
-    cut = hits.where(F.col("rank") <= k)
-    good = cut.join(gold, ["query_id", "uid"], "left_semi").groupBy("strategy", "query_id").agg(F.count("*").alias("good"))
-    many = hits.groupBy("strategy", "query_id").agg(F.count("*").alias("many"))
-    rows = asked.join(good, ["strategy", "query_id"], "left").join(many, ["strategy", "query_id"], "left").fillna(0, ["good", "many"])
-    return rows.groupBy("strategy").agg(
+def recall_by_question(hits: DataFrame, gold: DataFrame, strategies: Sequence[str]) -> DataFrame:
+    """(strategy, query_id, found, gold, candidates) of every strategy for every question that has gold."""
+    n = gold.groupBy("query_id").agg(F.count("*").alias("gold"))
+    asked = n.withColumn("strategy", F.explode(F.lit(list(strategies))))
+    told = hits.join(gold.select("query_id", "uid", F.lit(1).alias("good")), ["query_id", "uid"], "left").groupBy("strategy", "query_id").agg(F.count("good").alias("found"), F.count("*").alias("candidates"))
+    return asked.join(told, ["strategy", "query_id"], "left").fillna(0, ["found", "candidates"]).select("strategy", "query_id", "found", "gold", "candidates")
+
+
+def recall(hits: DataFrame, gold: DataFrame, strategies: Sequence[str]) -> DataFrame:
+    """(strategy, queries, hit_rate, recall, candidates): over the questions that have gold."""
+    return recall_by_question(hits, gold, strategies).groupBy("strategy").agg(
         F.count("*").alias("queries"),
-        F.round(F.avg((F.col("good") > 0).cast("int")), 6).alias("hit_rate"),
-        F.round(F.avg(F.col("good") / F.col("n")), 6).alias("recall"),
-        F.round(F.avg("many"), 6).alias("candidates"),
+        F.round(F.avg((F.col("found") > 0).cast("int")), 6).alias("hit_rate"),
+        F.round(F.avg(F.col("found") / F.col("gold")), 6).alias("recall"),
+        F.round(F.avg("candidates"), 6).alias("candidates"),
     )
+
+
+def recall_matrix(hits: DataFrame, gold: DataFrame, strategies: Sequence[str]) -> DataFrame:
+    """(query_id, gold, one column a strategy): found/gold of each question."""
+    rows = recall_by_question(hits, gold, strategies).withColumn("cell", F.concat_ws("/", "found", "gold"))
+    return rows.groupBy("query_id", "gold").pivot("strategy", list(strategies)).agg(F.first("cell"))
+
+
+def missed_by(rows: DataFrame, strategy: str) -> DataFrame:
+    """(query_id, strategy, found, gold): what the others found of the questions of which ``strategy`` found nothing."""
+    none = rows.where((F.col("strategy") == strategy) & (F.col("found") == 0)).select("query_id")
+    return rows.where(F.col("strategy") != strategy).join(none, "query_id").select("query_id", "strategy", "found", "gold")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from indemna.operators import access, retrieval
+from indemna.operators import access, gates, retrieval
+from indemna.operators.nearest import nearest
 from indemna.plans.views import Tables, query
 
 K = 10
@@ -24,6 +31,11 @@ VIEWS = {
       (SELECT query_id, uid, sum(tf)::BIGINT AS score FROM v_used JOIN v_post USING (term) GROUP BY ALL)) WHERE rank <= {K}""",
     "v_lexall": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid)::INT AS rank FROM
       (SELECT query_id, uid, sum(tf)::BIGINT AS score FROM v_qterm JOIN v_post USING (term) GROUP BY ALL)) WHERE rank <= {K}""",
+    "v_forms": "SELECT stem, term, df FROM (SELECT DISTINCT term AS stem FROM v_qterm) JOIN v_df ON starts_with(term, stem)",
+    "v_qstem": "SELECT query_id, term AS stem, (SELECT sum(df) FROM v_forms f WHERE f.stem = v_qterm.term) <= greatest(1, floor((SELECT count(*) FROM documents) * 0.05)) AS few FROM v_qterm",
+    "v_pfx": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid)::INT AS rank FROM
+      (SELECT query_id, uid, sum(tf)::BIGINT AS score FROM v_qstem JOIN v_forms USING (stem) JOIN v_post USING (term)
+        WHERE few OR query_id NOT IN (SELECT query_id FROM v_qstem WHERE few) GROUP BY ALL)) WHERE rank <= {K}""",
     "v_gold": "SELECT item_id AS query_id, doc_id AS uid FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "v_fused": f"""SELECT * EXCLUDE (seen), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, uid)::INT AS rank FROM (
       SELECT query_id, uid, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min((list, rank)) AS seen FROM (SELECT query_id, uid, rank, 0 AS list FROM v_lex UNION ALL SELECT query_id, uid, rank, 1 FROM v_lexall) GROUP BY ALL)
@@ -42,13 +54,6 @@ def similar(t: Tables, k: int) -> DataFrame:
     return retrieval.top_k(found.where("query_id <> uid").drop("rank"), k)
 
 
-def scored(t: Tables) -> DataFrame:
-    """The same searches, all scores."""
-    asked = chunks(t).where("uid % 20 = 0").select(F.col("uid").alias("query_id"), retrieval.l2_normalize(F.col("v")).alias("qv"))
-    rows = asked.crossJoin(chunks(t).withColumn("v", retrieval.l2_normalize(F.col("v")))).where("query_id <> uid")
-    return rows.select("query_id", "uid", "product", F.round(retrieval.dot(F.col("qv"), F.col("v")), 9).alias("score"))
-
-
 def postings(t: Tables) -> DataFrame:
     return retrieval.terms(t.documents, "doc_id", "text")
 
@@ -79,9 +84,12 @@ def hybrid_expand(t: Tables) -> DataFrame:
 
 @query("scope_gate", f"SELECT query_id, principal, uid, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, principal ORDER BY score DESC, uid)::INT AS rank FROM v_asked) WHERE rank <= {K}", VIEWS)
 def scope_gate(t: Tables) -> DataFrame:
-    """The best hits that each principal may see: the gate comes before the limit."""
-    rows = access.visible_to(scored(t), t.principals(), t.scopes(), "product").withColumn("asked", F.struct("query_id", "principal"))
-    return retrieval.top_k(rows, K, by="asked").select("query_id", "principal", "uid", "rank")
+    """The best hits that each principal may see: the gate comes before the limit, and before anything is scored."""
+    allowed = access.permitted(t.principals(), t.scopes(), chunks(t).select("product"))
+    seen = chunks(t).join(allowed.select("product").distinct(), "product", "left_semi")
+    asked = chunks(t).where("uid % 20 = 0").select(F.col("uid").alias("query_id"), F.col("v").alias("qv"))
+    best = nearest(asked, seen, K + 1, within=["product"]).where("query_id <> uid")
+    return retrieval.for_principals(best, allowed, K).select("query_id", "principal", "uid", "rank")
 
 
 @query(
@@ -100,49 +108,113 @@ def scope_intersect(t: Tables) -> DataFrame:
     return access.permitted(t.principals(), t.scopes(), t.documents.select(F.col("source").alias("product")))
 
 
-LEAKS = VIEWS | {
-    "v_outside": """SELECT principal, path, h.product, unrestricted OR EXISTS (SELECT 1 FROM v_scopes s WHERE s.principal = p.principal AND s.product = h.product) AS allowed FROM v_principals p,
-      (SELECT 'vector' AS path, product FROM v_top UNION ALL SELECT 'lexical', d.source FROM v_lexall l JOIN documents d ON d.doc_id = l.uid) h""",
+LEXICAL = ("lexical", "lexical-df")
+
+
+def hashing_model():
+    """A fixed model instead of a learned one: how often words occur whose digest falls into each of 64 places."""
+
+    def predict(texts: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(texts), 64), np.float32)
+        for i, text in enumerate(texts):
+            for word, n in Counter(re.findall("[a-z]{2,}", (text or "").lower())).items():
+                out[i, hashlib.md5(word.encode()).digest()[0] % 64] += n
+        return out
+
+    return predict
+
+
+embedded = retrieval.embedder(hashing_model)
+
+
+def shared_words(queries: list[str], texts: list[str]) -> list[float]:
+    """A fixed model of pairs: the share of distinct words that both have."""
+    words = lambda x: set(re.findall("[a-z]{2,}", (x or "").lower()))
+    pairs = [(words(a), words(b)) for a, b in zip(queries, texts, strict=True)]
+    return [round(len(a & b) / len(a | b), 9) if a | b else 0.0 for a, b in pairs]
+
+
+pair_score = retrieval.pair_scorer(shared_words)
+
+#: Documents and questions as vectors of the fixed model, the products asked for, and what is in force.
+MODEL = VIEWS | {
+    "v_docs": "SELECT doc_id AS uid, source AS product, text FROM documents",
+    "v_slots": """SELECT 'd' AS side, uid, ('0x' || substr(md5(term), 1, 2))::INT % 64 AS j, tf FROM v_post UNION ALL
+      SELECT 'q', item_id, ('0x' || substr(md5(term), 1, 2))::INT % 64, 1 FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM benchmark)""",
+    "v_emb": """SELECT side, uid, list(n ORDER BY j) AS v FROM (SELECT side, uid, j, coalesce(sum(tf), 0)::DOUBLE AS n FROM
+      (SELECT side, uid, j, 0 AS tf FROM (SELECT 'd' AS side, doc_id AS uid FROM documents UNION ALL SELECT 'q', item_id FROM benchmark), (SELECT unnest(range(64)) AS j) UNION ALL SELECT side, uid, j, tf FROM v_slots) GROUP BY ALL) GROUP BY ALL""",
+    "v_text_sim": """SELECT q.uid AS query_id, d.uid, product, coalesce(round(list_dot_product(q.v, d.v) / nullif(sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v)), 0), 9), 0) AS score
+      FROM v_emb q, v_emb d JOIN v_docs USING (uid) WHERE q.side = 'q' AND d.side = 'd'""",
+    "v_text_top": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid)::INT AS rank FROM v_text_sim",
+    "v_qprod": "SELECT DISTINCT query_id, product FROM v_gold JOIN v_docs USING (uid)",
+    "v_excl": "SELECT doc_id AS uid, product FROM v_articles WHERE is_exclusion AND version = '20000101'",
+    "v_allowed": "SELECT principal, product FROM v_principals p, (SELECT DISTINCT product FROM v_docs) WHERE p.unrestricted OR EXISTS (SELECT 1 FROM v_scopes s WHERE s.principal = p.principal AND s.product = v_docs.product)".replace("v_docs.product)", "product)").replace("(SELECT DISTINCT product FROM v_docs) WHERE", "(SELECT DISTINCT product FROM v_docs) d WHERE").replace("AND s.product = product)", "AND s.product = d.product)"),
+}
+LEAKS = MODEL | {
+    "v_lex_all": "SELECT query_id, uid, sum(tf)::BIGINT AS score FROM v_qterm JOIN v_post USING (term) GROUP BY ALL",
+    "v_vec_g": f"SELECT principal, query_id, uid, product FROM v_text_sim JOIN v_allowed USING (product) QUALIFY row_number() OVER (PARTITION BY principal, query_id ORDER BY score DESC, uid) <= {K}",
+    "v_vec_o": f"SELECT principal, query_id, uid, product FROM v_text_top, v_principals WHERE rank <= {K}",
+    "v_hits": f"""SELECT 'vector' AS path, 'o' AS state, principal, query_id, uid, product FROM v_vec_o UNION ALL SELECT 'vector', 'g', * FROM v_vec_g
+      UNION ALL SELECT 'lexical', 'o', principal, query_id, uid, product FROM v_lexall JOIN v_docs USING (uid), v_principals
+      UNION ALL SELECT 'lexical', 'g', * FROM (SELECT principal, query_id, uid, product FROM v_lex_all JOIN v_docs USING (uid) JOIN v_allowed USING (product) QUALIFY row_number() OVER (PARTITION BY principal, query_id ORDER BY score DESC, uid) <= {K})
+      UNION ALL SELECT 'graph', 'o', principal, query_id, uid, product FROM v_qprod JOIN v_excl USING (product), v_principals
+      UNION ALL SELECT 'graph', 'g', principal, query_id, uid, product FROM v_qprod JOIN v_excl USING (product) JOIN v_allowed USING (product)
+      UNION ALL SELECT 'hybrid', 'oo', * FROM (SELECT * FROM v_vec_o UNION SELECT principal, query_id, e.uid, product FROM v_vec_o JOIN v_excl e USING (product))
+      UNION ALL SELECT 'hybrid', 'go', * FROM (SELECT * FROM v_vec_g UNION SELECT principal, query_id, e.uid, product FROM v_vec_g JOIN v_excl e USING (product))
+      UNION ALL SELECT 'hybrid', 'gg', * FROM (SELECT * FROM v_vec_g UNION SELECT principal, query_id, e.uid, product FROM v_vec_g JOIN v_excl e USING (product) JOIN v_allowed USING (principal, product))
+      UNION ALL SELECT 'agent', 'o', principal, NULL, uid, product FROM v_named JOIN v_excl USING (product) UNION ALL SELECT 'agent', 'g', principal, NULL, NULL, product FROM v_named""",
+    "v_named": "SELECT principal, product FROM v_principals, (SELECT DISTINCT product FROM v_scopes) WHERE (principal, product) NOT IN (SELECT (principal, product) FROM v_scopes) AND NOT unrestricted",
+    "v_leaks": "SELECT *, (principal, product) NOT IN (SELECT (principal, product) FROM v_allowed) AS leak FROM v_hits",
 }
 
 
-def reached(t: Tables) -> DataFrame:
-    """(principal, path, product, allowed): every row that a path without a gate gives to a principal."""
-    vector = similar(t, K).join(chunks(t).select("uid", "product"), "uid").select(F.lit("vector").alias("path"), "product")
-    found = retrieval.lexical_search(question_terms(t), postings(t), K)
-    lexical = found.join(t.documents.select(F.col("doc_id").alias("uid"), F.col("source").alias("product")), "uid").select(F.lit("lexical").alias("path"), "product")
-    rows = vector.unionByName(lexical).groupBy("path", "product").agg(F.count("*").alias("rows"))
-    allowed = access.permitted(t.principals(), t.scopes(), rows.select("product")).withColumn("allowed", F.lit(True))
-    pairs = rows.crossJoin(t.principals().select("principal"))
-    return pairs.join(allowed, ["principal", "product"], "left").fillna(False, ["allowed"])
+def documents(t: Tables) -> DataFrame:
+    """(uid, product, text, v): the documents and their vectors."""
+    return t.documents.select(F.col("doc_id").alias("uid"), F.col("source").alias("product"), "text", embedded("text").alias("v"))
 
 
-@query("leak_counts", "SELECT principal, path, count(*) AS before, count(*) FILTER (NOT allowed) AS leaked, 0::BIGINT AS after, coalesce(string_agg(DISTINCT product, ',' ORDER BY product) FILTER (NOT allowed), '') AS products FROM v_outside GROUP BY ALL", LEAKS)
-def leak_counts(t: Tables) -> DataFrame:
-    """Rows outside the scope by principal and path, without the gate and with it."""
-    out = ~F.col("allowed")
-    rows = reached(t).groupBy("principal", "path").agg(
-        F.sum("rows").alias("before"),
-        F.coalesce(F.sum(F.when(out, F.col("rows"))), F.lit(0)).cast("long").alias("leaked"),
-        F.sum(F.when(F.col("allowed") & out, F.col("rows")).otherwise(0)).alias("after"),
-        F.array_join(F.sort_array(F.collect_set(F.when(out, F.col("product")))), ",").alias("products"),
-    )
-    return rows
+def questions(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), embedded("text").alias("qv"))
+
+
+def asked_products(t: Tables) -> DataFrame:
+    """The products of each question: those of the documents that hold its passage."""
+    docs = t.documents.select(F.col("doc_id").alias("uid"), F.col("source").alias("product"))
+    return gold_resolve(t).where("uid is not null").join(docs, "uid").select("query_id", "product").distinct()
+
+
+def reached(t: Tables) -> DataFrame:
+    """What each path shows to each principal in each state of its gates, and what of it is outside the scope."""
+    docs = documents(t)
+    p = postings(t).join(docs.select("uid", "product"), "uid")
+    excluded = t.articles().where("is_exclusion and version = '20000101'").select(F.col("doc_id").alias("uid"), "product")
+    allowed = access.permitted(t.principals(), t.scopes(), docs.select("product"))
+    search = gates.Search(docs, p, questions(t), question_terms(t), asked_products(t), excluded, t.principals(), allowed, K)
+    named = t.principals().where("not unrestricted").select("principal").join(F.broadcast(t.scopes().select("product").distinct())).join(t.scopes(), ["principal", "product"], "left_anti")
+    return gates.outside(gates.reached(search, t.principals(), named), t.principals(), t.scopes())
 
 
 @query(
-    "gate_scenarios",
-    """SELECT scenario, sum(n) FILTER (path = 'vector' AND NOT gated)::BIGINT AS vector, sum(n) FILTER (path = 'lexical' AND NOT gated)::BIGINT AS lexical FROM (
-      SELECT s.scenario, o.path, list_contains(s.paths, o.path) AS gated, count(*) FILTER (NOT allowed) AS n FROM v_outside o,
-        (VALUES ('none', []::VARCHAR[]), ('vector', ['vector']), ('lexical', ['lexical']), ('all', ['vector', 'lexical'])) s(scenario, paths) GROUP BY ALL) GROUP BY 1""",
+    "leak_counts",
+    """SELECT principal, path, count(uid) FILTER (leak AND state IN ('o', 'oo')) AS before, count(uid) FILTER (leak AND state IN ('g', 'gg')) AS after, count(uid) FILTER (state IN ('g', 'gg')) AS shown,
+      count(*) FILTER (uid IS NULL) AS denied, coalesce(string_agg(DISTINCT product, ',' ORDER BY product) FILTER (leak AND state IN ('o', 'oo')), '') AS products FROM v_leaks GROUP BY ALL""",
     LEAKS,
 )
+def leak_counts(t: Tables) -> DataFrame:
+    """Rows outside the scope by principal and path, without gates and with them: five paths, each run in both states."""
+    return gates.leaks(reached(t))
+
+
+def _scenario_sql() -> str:
+    rows = ", ".join(f"('{name}', '{p}', '{gates.state_of(p, gated)}')" for name, gated in gates.SCENARIOS.items() for p in gates.PATHS)
+    cells = ", ".join(f"count(uid) FILTER (s.path = '{p}' AND leak) AS {p}" for p in gates.PATHS)
+    return f"SELECT scenario, {cells}, count(uid) FILTER (leak) AS total FROM (VALUES {rows}) s(scenario, path, state) LEFT JOIN v_leaks l ON l.path = s.path AND l.state = s.state GROUP BY scenario"
+
+
+@query("gate_scenarios", _scenario_sql(), LEAKS)
 def gate_scenarios(t: Tables) -> DataFrame:
-    """Leaks by where the gate stands: rows of the paths that it doesn't cover."""
-    stands = t.spark.createDataFrame([("none", []), ("vector", ["vector"]), ("lexical", ["lexical"]), ("all", ["vector", "lexical"])], "scenario string, paths array<string>")
-    leaks = reached(t).groupBy("path").agg(F.coalesce(F.sum(F.when(~F.col("allowed"), F.col("rows"))), F.lit(0)).cast("long").alias("n"))
-    rows = stands.crossJoin(leaks).withColumn("n", F.when(~F.array_contains("paths", F.col("path")), F.col("n")))
-    return rows.groupBy("scenario").pivot("path", ["vector", "lexical"]).agg(F.sum("n"))
+    """Leaks by where the gates stand: five scenarios, five paths."""
+    return gates.scenario_leaks(reached(t))
 
 
 @query("l2_normalize", "SELECT uid, round(list_sum(list_transform(v, lambda x: (x / sqrt(list_dot_product(v, v))) ** 2)), 6) AS length, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM v_vec", VIEWS)
@@ -181,13 +253,26 @@ def prefix_df(t: Tables) -> DataFrame:
 
 @query("lexical_topk", "SELECT query_id, uid, score, rank FROM v_lex", VIEWS)
 def lexical_topk(t: Tables) -> DataFrame:
-    return retrieval.lexical_search(question_terms(t), postings(t), K, rare(t))
+    return lexical(t, ("lexical-df",)).select("query_id", "uid", "score", "rank")
+
+
+def lexical(t: Tables, strategies: tuple[str, ...]) -> DataFrame:
+    """(strategy, query_id, uid, score, rank)"""
+    p = postings(t)
+    df, n = retrieval.document_frequency(p), t.documents.agg(F.count("*").alias("n"))
+    return retrieval.lexical_hits(retrieval.lexical_forms(question_terms(t), df, n, strategies=strategies), p, df, K)
+
+
+@query("lexical_prefix", "SELECT query_id, uid, score, rank FROM v_pfx", VIEWS)
+def lexical_prefix(t: Tables) -> DataFrame:
+    """Questions by all words that begin with one of theirs."""
+    return lexical(t, ("lexical-pfx",)).select("query_id", "uid", "score", "rank")
 
 
 @query("rrf", "SELECT query_id, uid, score, rank FROM v_fused", VIEWS)
 def rrf(t: Tables) -> DataFrame:
-    asked, p = question_terms(t), postings(t)
-    return retrieval.fuse([retrieval.lexical_search(asked, p, K, rare(t)), retrieval.lexical_search(asked, p, K)], K)
+    found = lexical(t, LEXICAL)
+    return retrieval.fuse([found.where("strategy = 'lexical-df'"), found.where("strategy = 'lexical'")], K)
 
 
 @query(
@@ -212,24 +297,72 @@ def gold_resolve(t: Tables) -> DataFrame:
     return asked.select("query_id").join(gold, "query_id", "left")
 
 
+#: Candidates that are scored anew.
+POOL = 100
+STRATEGIES = ("vector", "lexical", "lexical-df", "lexical-pfx", "fused", "graph", "vec+graph", "vec+lex", "vec100+rr", "graph+rr")
+SWEEP = MODEL | {
+    "v_seed": f"SELECT query_id, uid, product, rank FROM v_text_top WHERE rank <= {K}",
+    "v_graph": "SELECT query_id, uid, row_number() OVER (PARTITION BY query_id ORDER BY uid)::INT AS rank FROM (SELECT DISTINCT query_id, d.uid FROM v_qprod JOIN v_docs d USING (product))",
+    "v_mixed": f"""SELECT query_id, uid, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, uid)::INT AS rank FROM (
+      SELECT query_id, uid, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min((list, rank)) AS seen FROM (SELECT query_id, uid, rank, 0 AS list FROM v_seed UNION ALL SELECT query_id, uid, rank, 1 FROM v_pfx) GROUP BY ALL) QUALIFY rank <= {K}""",
+    "v_bag": "SELECT 'q' AS side, item_id AS uid, list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM benchmark UNION ALL SELECT 'd', doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}')) FROM documents",
+    "v_pool": f"SELECT 'vec100+rr' AS strategy, query_id, uid FROM v_text_top WHERE rank <= {POOL} UNION ALL SELECT 'graph+rr', query_id, uid FROM v_graph",
+    "v_again": f"""SELECT strategy, query_id, uid, row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC, uid)::INT AS rank FROM (
+      SELECT strategy, query_id, p.uid, coalesce(round(len(list_intersect(q.w, d.w)) / nullif(len(list_distinct(list_concat(q.w, d.w))), 0), 9), 0) AS score FROM v_pool p
+      JOIN v_bag q ON q.side = 'q' AND q.uid = query_id JOIN v_bag d ON d.side = 'd' AND d.uid = p.uid) QUALIFY rank <= {K}""",
+    "v_tried": """SELECT 'vector' AS strategy, query_id, uid FROM v_seed UNION ALL SELECT 'lexical', query_id, uid FROM v_lexall UNION ALL SELECT 'lexical-df', query_id, uid FROM v_lex UNION ALL SELECT 'lexical-pfx', query_id, uid FROM v_pfx
+      UNION ALL SELECT 'fused', query_id, uid FROM v_fused UNION ALL SELECT 'graph', query_id, uid FROM v_graph
+      UNION ALL SELECT 'vec+graph', * FROM (SELECT query_id, uid FROM v_seed UNION SELECT query_id, d.uid FROM v_seed s JOIN v_docs d USING (product))
+      UNION ALL SELECT 'vec+lex', query_id, uid FROM v_mixed UNION ALL SELECT strategy, query_id, uid FROM v_again""",
+    "v_scored": f"""SELECT strategy, g.query_id, g.n, count(h.uid) AS many, count(x.uid) AS good FROM (SELECT unnest({list(STRATEGIES)!r}) AS strategy) s CROSS JOIN (SELECT query_id, count(*) AS n FROM v_gold GROUP BY 1) g
+      LEFT JOIN v_tried h USING (strategy, query_id) LEFT JOIN v_gold x ON x.query_id = h.query_id AND x.uid = h.uid GROUP BY ALL""",
+}
+
+
+def swept(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(strategy, query_id, uid, rank) of all strategies, and the gold. Graph and vec+graph rank nothing."""
+    docs, asked, gold = documents(t), questions(t), gold_resolve(t).where("uid is not null")
+    columns = lambda df, name: df.select(F.lit(name).alias("strategy"), "query_id", "uid", F.col("rank").cast("int").alias("rank"))
+    pool = retrieval.vector_search(asked, docs, POOL)
+    seeds = pool.where(F.col("rank") <= K)
+    words = lexical(t, (*LEXICAL, "lexical-pfx"))
+    of = lambda name: words.where(F.col("strategy") == name)
+    place = docs.select("uid", "product")
+    graph = asked_products(t).join(place, "product").select("query_id", "uid", F.lit(1).alias("rank"))
+    both = retrieval.expand(seeds, place, "product").withColumn("rank", F.lit(1))
+    again = columns(pool, "vec100+rr").unionByName(columns(graph, "graph+rr")).join(asked.select("query_id", "question"), "query_id").join(docs.select("uid", "text"), "uid")
+    again = again.withColumn("score", pair_score("question", "text")).withColumn("asked", F.struct("strategy", "query_id"))
+    again = retrieval.top_k(again.drop("rank"), K, by="asked").select("strategy", "query_id", "uid", F.col("rank").cast("int").alias("rank"))
+    hits = [columns(seeds, "vector"), words.select("strategy", "query_id", "uid", F.col("rank").cast("int").alias("rank")), columns(retrieval.fuse([of("lexical-df"), of("lexical")], K), "fused")]
+    hits += [columns(graph, "graph"), columns(both, "vec+graph"), columns(retrieval.fuse([seeds, of("lexical-pfx")], K), "vec+lex"), again]
+    return reduce(DataFrame.unionByName, hits), gold
+
+
 @query(
     "recall_at_k",
-    """SELECT strategy, count(*) AS queries, round(avg((good > 0)::INT), 6) AS hit_rate, round(avg(good / n), 6) AS recall, round(avg(many), 6) AS candidates FROM (
-      SELECT s.strategy, g.query_id, g.n, count(h.uid) AS many, count(h.uid) FILTER (EXISTS (SELECT 1 FROM v_gold x WHERE x.query_id = h.query_id AND x.uid = h.uid)) AS good
-      FROM (VALUES ('lexical'), ('lexical-df'), ('fused')) s(strategy) CROSS JOIN (SELECT query_id, count(*) AS n FROM v_gold GROUP BY 1) g
-      LEFT JOIN (SELECT 'lexical' AS strategy, query_id, uid FROM v_lexall UNION ALL SELECT 'lexical-df', query_id, uid FROM v_lex UNION ALL SELECT 'fused', query_id, uid FROM v_fused) h
-        ON h.strategy = s.strategy AND h.query_id = g.query_id GROUP BY ALL) GROUP BY 1""".replace(
-        "count(h.uid) FILTER (EXISTS (SELECT 1 FROM v_gold x WHERE x.query_id = h.query_id AND x.uid = h.uid)) AS good", "count(x.uid) AS good"
-    ).replace("ON h.strategy = s.strategy AND h.query_id = g.query_id", "ON h.strategy = s.strategy AND h.query_id = g.query_id LEFT JOIN v_gold x ON x.query_id = h.query_id AND x.uid = h.uid"),
-    VIEWS,
+    "SELECT strategy, count(*) AS queries, round(avg((good > 0)::INT), 6) AS hit_rate, round(avg(good / n), 6) AS recall, round(avg(many), 6) AS candidates FROM v_scored GROUP BY strategy",
+    SWEEP,
 )
 def recall_at_k(t: Tables) -> DataFrame:
-    asked, p = question_terms(t), postings(t)
-    every, few = retrieval.lexical_search(asked, p, K), retrieval.lexical_search(asked, p, K, rare(t))
-    named = lambda df, name: df.select(F.lit(name).alias("strategy"), "query_id", "uid", "rank")
-    hits = named(every, "lexical").unionByName(named(few, "lexical-df")).unionByName(named(retrieval.fuse([few, every], K), "fused"))
-    gold = gold_resolve(t).where("uid is not null")
-    return retrieval.recall(hits, gold, K)
+    """All strategies over all questions: hits, recall and candidates."""
+    return retrieval.recall(*swept(t), STRATEGIES)
+
+
+@query(
+    "recall_matrix",
+    "SELECT query_id, any_value(n) AS gold, " + ", ".join(f"any_value(good || '/' || n) FILTER (strategy = '{s}') AS \"{s}\"" for s in STRATEGIES) + " FROM v_scored GROUP BY query_id",
+    SWEEP,
+)
+def recall_matrix(t: Tables) -> DataFrame:
+    """What each strategy found of each question's gold."""
+    return retrieval.recall_matrix(*swept(t), STRATEGIES)
+
+
+@query("recall_missed", "SELECT query_id, strategy, good AS found, n AS gold FROM v_scored JOIN (SELECT query_id FROM v_scored WHERE strategy = 'vector' AND good = 0) USING (query_id) WHERE strategy <> 'vector'", SWEEP)
+def recall_missed(t: Tables) -> DataFrame:
+    """The questions of which vectors found nothing, and what the other strategies found."""
+    hits, gold = swept(t)
+    return retrieval.missed_by(retrieval.recall_by_question(hits, gold, STRATEGIES), "vector")
 
 
 @query("term_union", "SELECT DISTINCT term FROM (SELECT term FROM v_post UNION ALL SELECT term FROM v_qterm)", VIEWS)
