@@ -104,14 +104,14 @@ def reason_cells(clauses: DataFrame, on: list[str]) -> DataFrame:
     return cells.select(*on, "clause_uid", F.col("r.letter").alias("letter"), F.explode(F.sequence("r.lo", "r.hi")).alias("number"))
 
 
-def code_range_join(claims: DataFrame, clauses: DataFrame, codes: str, on: list[str]) -> DataFrame:
-    """(claims' columns, clause_uid, matched): the clauses of the claim's ``on`` whose ranges hold one of its codes.
+def code_range_join(claims: DataFrame, clauses: DataFrame, codes: str, on: list[str], key: str = "claim_id") -> DataFrame:
+    """(key, clause_uid, matched): the clauses of the claim's ``on`` whose ranges hold one of its codes.
 
-    Ranges are cut into single (letter, number) rows, so the theta join is an equi join. The pinned subdivision is
+    Ranges are cut into single (letter, number) rows, so the theta join is an equi join of keys and codes alone. The pinned subdivision is
     checked on what has met.
     """
     cells = range_cells(clauses, on)
-    asked = claims.withColumn("matched", F.explode(codes))
+    asked = claims.select(key, *on, F.explode(F.array_distinct(codes)).alias("matched"))
     asked = asked.withColumn("letter", F.substring("matched", 1, 1)).withColumn("number", F.substring("matched", 2, 2).try_cast("int"))
     met = asked.join(cells, [*on, "letter", "number"]).where(in_range(F.col("matched"), F.col("r")))
-    return met.drop("letter", "number", "r").distinct()
+    return met.select(key, "clause_uid", "matched").distinct()

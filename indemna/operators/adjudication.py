@@ -32,13 +32,33 @@ def rule_completeness(rules: DataFrame) -> DataFrame:
     return rules.withColumn("for_inpatient", inpatient).withColumn("for_outpatient", F.col("outpatient_rate").isNotNull() & limit & own)
 
 
+def why_no_rule(claims: DataFrame, rules: DataFrame, carved: DataFrame | None = None) -> DataFrame:
+    """Adds ``no_rule``: why no rule may be used for a claim although its product has some; null where one may.
+
+    In this order: treated abroad under a product without rules for abroad; diagnoses of injury and of disease together where a rule takes its limit
+    from the policy, which states one for each; a treatment that the product deals with elsewhere or not at all (``carved``: claim_id, item, word,
+    place, excluded), all of them named by item. ``claims`` has product, abroad, kinds (array).
+    """
+    about = rules.groupBy("product").agg(F.max("abroad_only").alias("any_abroad"), F.max("limit_from_policy").alias("any_policy"))
+    rows = claims.join(about, "product", "left")
+    if carved is None:
+        rows = rows.withColumn("carved", F.lit(None).cast("string"))
+    else:
+        place = F.when(F.col("excluded"), F.concat(F.lit("not covered by "), "place")).otherwise(F.concat(F.lit("dealt with in "), "place"))
+        named = carved.groupBy("claim_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("item", place.alias("p")))), lambda x: F.concat(x["item"], F.lit(": "), x["p"])), "; ").alias("carved"))
+        rows = rows.join(named, "claim_id", "left")
+    why = F.when(F.col("abroad") & ~F.col("any_abroad"), "treated abroad").when(F.col("any_policy") & (F.size("kinds") > 1), "injury and disease together").otherwise(F.col("carved"))
+    return rows.withColumn("no_rule", why).drop("any_abroad", "any_policy", "carved")
+
+
 def rule_lookup(claims: DataFrame, rules: DataFrame, hint: str = "hint", kind: str = "kind") -> DataFrame:
     """Adds the columns of the rule that applies, null where none does.
 
     A claim from abroad takes rules for abroad only, and none where the product has no such rule; other
     claims take the others. Of those that are left: the one that ``hint`` names, else the only one, else the only
-    one whose coverage is the claim's ``kind``. What can be asked is a small table of its own (product, abroad,
-    hint, kind), made once from the rules, so claims are joined by equality and not compared with every rule.
+    one whose coverage is the claim's ``kind``. A hint that names no coverage says nothing. What can be asked is a small table of its own (product, abroad,
+    hint, kind), made once from the rules, so claims are joined by equality and not compared with every rule. Where ``claims``
+    have ``no_rule`` (see ``why_no_rule``), a reason there keeps every rule away, also the one that is named.
     """
     names = rules.select("coverage").distinct()
     asked = rules.select("product").distinct().crossJoin(claims.sparkSession.createDataFrame([(True,), (False,)], "abroad boolean"))
@@ -49,8 +69,11 @@ def rule_lookup(claims: DataFrame, rules: DataFrame, hint: str = "hint", kind: s
     same = F.col("coverage") == F.col(kind)
     only = F.when(F.count("*") == 1, F.max("coverage")).when(F.count_if(same) == 1, F.max(F.when(same, F.col("coverage"))))
     chosen = usable.groupBy(*by).agg(F.coalesce(exact, only).alias("coverage"))
-    left, right = claims.alias("c"), chosen.alias("r")
+    known = claims.join(names.select(F.col("coverage").alias("named")), F.col(hint) == F.col("named"), "left").drop(hint).withColumnRenamed("named", hint)
+    left, right = known.alias("c"), chosen.alias("r")
     match = (F.col("c.product") == F.col("r.product")) & (F.coalesce("c.abroad", F.lit(False)) == F.col("r.abroad")) & F.col(f"c.{hint}").eqNullSafe(F.col(f"r.{hint}")) & F.col(f"c.{kind}").eqNullSafe(F.col(f"r.{kind}"))
+    if "no_rule" in claims.columns:
+        match = match & F.col("c.no_rule").isNull()
     found = left.join(right, match, "left").select("c.*", "r.coverage")
     return found.join(rules, ["product", "coverage"], "left")
 
@@ -102,7 +125,8 @@ def amounts(claims: DataFrame) -> DataFrame:
     refunding = F.col("inpatient") & F.col("self_pay_cap").isNotNull()
     own = F.col("claimed_amount") - F.col("after_visits")
     refund = F.greatest(F.lit(0).cast("long"), F.least(own, F.col("self_paid_this_year") + own - F.col("self_pay_cap")))
-    rows = rows.withColumn("after_refund", F.col("after_visits") + F.when(refunding & known, refund).otherwise(0))
+    own_known = F.col("self_paid_this_year").isNotNull()
+    rows = rows.withColumn("after_refund", F.col("after_visits") + F.when(refunding & own_known, refund).otherwise(0))
     from_policy = F.col("limit_from_policy") & F.col("annual_limit").isNull()
     insured = F.col("sum_insured") > 0
     limit = F.when(from_policy, F.when(insured, F.col("sum_insured"))).otherwise(F.col("annual_limit"))
@@ -121,79 +145,82 @@ def amounts(claims: DataFrame) -> DataFrame:
         {
             "payable": F.when(computed, F.col("limited")).otherwise(0).cast("long"),
             "missing": F.when(computed, F.concat(first, later)).otherwise(none),
-            "missing_down": F.when(computed, _named((refunding & ~known, SELF_PAID))).otherwise(none),
+            "missing_down": F.when(computed, _named((refunding & ~own_known, SELF_PAID))).otherwise(none),
         }
     )
 
 
 #: Ways in which a clause is met, by rank.
 WAYS = ("code", "weak", "reason", "word")
-#: Letters of the beginning of a word by which words and texts meet.
-_START = 4
-
-
-def _starts(text: Column) -> Column:
-    """All runs of ``_START`` characters of a text, once each."""
-    n = F.length(text)
-    at = F.when(n >= _START, F.sequence(F.lit(1), F.greatest(n - (_START - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(_START))))
+#: Least letters of a word of a clause that is looked for.
+_LEAST = 4
 
 
-def clause_words(clauses: DataFrame, on: list[str], distinctive: DataFrame | None = None, least: int = _START) -> DataFrame:
+def clause_words(clauses: DataFrame, on: list[str], distinctive: DataFrame | None = None, least: int = _LEAST) -> DataFrame:
     """(on, clause_uid, word): the words of each clause outside its provisos, of ``least`` letters or more; of these only
     the ``distinctive`` (term) ones, if given."""
     outside = F.regexp_replace(F.lower("content"), "[(][^()]*(unless|but only|except)[^()]*[)]", " ")
-    words = clauses.select(*on, "clause_uid", F.explode(F.array_distinct(F.regexp_extract_all(outside, F.lit("[a-z]{%d,}" % max(least, _START)), F.lit(0)))).alias("word"))
+    words = clauses.select(*on, "clause_uid", F.explode(F.array_distinct(F.regexp_extract_all(outside, F.lit("[a-z]{%d,}" % least), F.lit(0)))).alias("word"))
     return words if distinctive is None else words.join(distinctive.select(F.col("term").alias("word")).distinct(), "word", "left_semi")
 
 
+def _said(claims: DataFrame, words: DataFrame, on: list[str], text: str) -> DataFrame:
+    """(claim_id, clause_uid, word): the words (on, clause_uid, word) of a claim's ``on`` that its text holds.
+
+    What the clauses of one ``on``, an edition of a product, say is one array; a claim meets it once and keeps what it holds, so its text is neither copied nor shuffled
+    for each word.
+    """
+    listed = words.groupBy(*on).agg(F.collect_list(F.struct("clause_uid", "word")).alias("words"))
+    rows = claims.select("claim_id", *on, F.lower(text).alias("said")).where("said is not null").join(listed, on)
+    return rows.select("claim_id", F.explode(F.filter("words", lambda w: F.contains(F.col("said"), w["word"]))).alias("w")).select("claim_id", "w.clause_uid", "w.word")
+
+
 def screen(claims: DataFrame, clauses: DataFrame, distinctive: DataFrame | None = None) -> DataFrame:
     """(claim_id, clause_uid, certain, via): every clause of the claim's product and version that it meets.
 
     Of each clause the first that holds: a documented code in its ranges (certain), a code that was only read
     (weak), a code that states the clause's reason (reason), a word of it that the narrative holds
     (word). ``claims`` has claim_id, product, version, codes, weak_codes, narrative; ``distinctive`` limits the words.
-
-    Claims are read once: each becomes a row for each of its codes and for each start of a word in its narrative, and
-    meets the clauses' rows for codes, reasons and words by equality; what has met is then checked.
+    Codes meet the clauses' ranges and reasons by equality of their first three characters; what has met is then checked.
     """
     on = ["product", "version"]
     code_key = lambda letter, number: F.concat(letter, F.lpad(number.cast("string"), 2, "0"))
-    none = F.lit(None)
-    ranges = range_cells(clauses, on).select(*on, "clause_uid", code_key(F.col("letter"), F.col("number")).alias("key"), "r", none.cast("string").alias("word"), F.lit(0).alias("way"))
-    range_type = ranges.schema["r"].dataType
-    reasons = reason_cells(clauses, on).select(*on, "clause_uid", code_key(F.col("letter"), F.col("number")).alias("key"), none.cast(range_type).alias("r"), none.cast("string").alias("word"), F.lit(2).alias("way"))
-    words = clause_words(clauses, on, distinctive).select(*on, "clause_uid", F.substring("word", 1, _START).alias("key"), none.cast(range_type).alias("r"), "word", F.lit(3).alias("way"))
-    kind = "array<struct<key:string,code:string,way:int>>"
-    by_code = lambda codes, way: F.transform(codes, lambda c: F.struct(F.substring(c, 1, 3).alias("key"), c.alias("code"), F.lit(way).alias("way")))
-    text = F.lower("narrative")
-    by_word = F.transform(F.coalesce(_starts(text), F.array().cast("array<string>")), lambda k: F.struct(k.alias("key"), none.cast("string").alias("code"), F.lit(3).alias("way")))
-    asked = claims.select("claim_id", *on, text.alias("said"), F.explode(F.concat(by_code("codes", 0).cast(kind), by_code("weak_codes", 1).cast(kind), by_word.cast(kind))).alias("a")).select("claim_id", *on, "said", "a.key", "a.code", F.col("a.way").alias("asked"))
-    met = asked.join(ranges.unionAll(reasons).unionAll(words), [*on, "key"])
-    coded = F.col("asked") < 3
-    way = F.when(coded & (F.col("way") == 0) & in_range(F.col("code"), F.col("r")), F.col("asked")).when(coded & (F.col("way") == 2), 2)
-    way = way.when(~coded & (F.col("way") == 3) & F.contains("said", F.col("word")), 3)
-    best = met.select("claim_id", "clause_uid", way.alias("way")).where("way is not null").groupBy("claim_id", "clause_uid").agg(F.min("way").alias("way"))
+    ranges = range_cells(clauses, on).select(*on, "clause_uid", code_key(F.col("letter"), F.col("number")).alias("key"), "r")
+    reasons = reason_cells(clauses, on).select(*on, "clause_uid", code_key(F.col("letter"), F.col("number")).alias("key"), F.lit(None).cast(ranges.schema["r"].dataType).alias("r"))
+    by_code = lambda codes, way: F.transform(codes, lambda c: F.struct(c.alias("code"), F.lit(way).alias("asked")))
+    asked = claims.select("claim_id", *on, F.explode(F.concat(by_code("codes", 0), by_code("weak_codes", 1))).alias("a")).select("claim_id", *on, "a.*", F.substring("a.code", 1, 3).alias("key"))
+    met = asked.join(ranges.unionAll(reasons), [*on, "key"])
+    way = F.when(F.col("r").isNull(), 2).when(in_range(F.col("code"), F.col("r")), F.col("asked"))
+    coded = met.select("claim_id", "clause_uid", way.alias("way")).where("way is not null")
+    worded = _said(claims, clause_words(clauses, on, distinctive), on, "narrative").select("claim_id", "clause_uid", F.lit(3).alias("way"))
+    best = coded.unionAll(worded).groupBy("claim_id", "clause_uid").agg(F.min("way").alias("way"))
     return best.select("claim_id", "clause_uid", (F.col("way") == 0).alias("certain"), F.element_at(F.array(*map(F.lit, WAYS)), F.col("way") + 1).alias("via"))
 
 
 def word_overlap(claims: DataFrame, clauses: DataFrame, on: list[str], text: str = "narrative", distinctive: DataFrame | None = None) -> DataFrame:
     """(claim_id, clause_uid, word): for every clause of a claim's ``on`` the longest word outside its provisos that
-    occurs in the claim's text, the first in alphabetical order of equal ones; none, no row. Words and texts meet by
-    the start of the word, so no claim is compared with a clause that shares none with it."""
-    words = clause_words(clauses, on, distinctive).withColumn("start", F.substring("word", 1, _START))
-    asked = claims.select("claim_id", *on, F.lower(text).alias("text")).withColumn("start", F.explode(_starts(F.col("text"))))
-    met = asked.join(words, [*on, "start"]).where(F.contains("text", F.col("word")))
+    occurs in the claim's text, the first in alphabetical order of equal ones; none, no row."""
     best = F.min(F.struct((-F.length("word")).alias("n"), "word"))["word"]
-    return met.groupBy("claim_id", "clause_uid").agg(best.alias("word"))
+    return _said(claims, clause_words(clauses, on, distinctive), on, text).groupBy("claim_id", "clause_uid").agg(best.alias("word"))
 
 
 def guardrails(drafts: DataFrame) -> DataFrame:
     """Demotes ``decision`` and sets ``amount`` to 0 where a verdict may not stand; names what fired.
 
     ``drafts`` has decision, amount, grounded, computed, uncertain, is_upper, is_lower, pii. Each rule sees the
-    decision that the ones before have left; a demoted verdict is never raised again.
+    decision that the ones before have left; a demoted verdict is never raised again. Drafts with a ``reason`` (and ``missing``,
+    ``missing_down``) get the guardrail's in its place.
     """
+    reasons = {}
+    if "reason" in drafts.columns:
+        named = lambda c: F.concat_ws(", ", c)
+        reasons = {
+            "grounding_gate": F.lit("no clause to point at"),
+            "amount_not_computed": F.concat(F.lit("amount not computed: "), "reason"),
+            "uncertain_exclusion": F.lit("an exclusion may apply"),
+            "amount_upper_bound": F.concat(F.lit("an upper bound without "), named("missing")),
+            "amount_lower_bound": F.concat(F.lit("a lower bound without "), named("missing_down")),
+        }
     rows = drafts.withColumn("fired", F.when(F.col("pii"), F.array(F.lit("pii_masked"))).otherwise(F.array()).cast("array<string>"))
     pays = F.col("decision").isin("PAID", "PARTIAL")
     for name, when, to in (
@@ -209,33 +236,76 @@ def guardrails(drafts: DataFrame) -> DataFrame:
                 "fired": F.when(F.col("now"), F.array_append("fired", F.lit(name))).otherwise(F.col("fired")),
                 "amount": F.when(F.col("now"), 0).otherwise(F.col("amount")).cast("long"),
                 "decision": F.when(F.col("now"), to).otherwise(F.col("decision")),
+                **({"reason": F.when(F.col("now"), reasons[name]).otherwise(F.col("reason"))} if reasons else {}),
             }
         ).drop("now")
     return rows
 
 
-def draft(claims: DataFrame, versions: DataFrame, coverages: DataFrame, clauses: DataFrame, rules: DataFrame) -> DataFrame:
-    """Claims with version, what screening found, rule, amount and the decision before the guardrails."""
+#: What a verdict shows: so many coverage articles and uncertain clauses, and so many in all.
+SHOWN, MOST = 2, 6
+
+
+def _first(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= n)
+
+
+def evidence_rows(hits: DataFrame, coverages: DataFrame, exceptions: DataFrame, shown: int = SHOWN, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """What verdicts point at, as two tables of (uid, role) arrays in order: by claim_id what was hit, by (product, version) what covers.
+
+    Of a claim with certain ``hits`` (claim_id, clause_uid, certain): these, then the ``exceptions`` (clause_uid, exception_uid) of their
+    provisos. Of others: the first ``shown`` uncertain ones, then their exceptions. Of an edition: its first ``shown`` ``coverages``. Each by uid;
+    none keeps more than ``most``, so however many clauses meet, what is gathered for a claim is small.
+    """
+    some = hits.groupBy("claim_id").agg(F.max("certain").alias("any_certain"))
+    used = hits.join(some, "claim_id").where(F.col("certain") == F.col("any_certain"))
+    used = _first(used, ["claim_id"], ["clause_uid"], most).where(F.col("certain") | (F.col("place") <= shown))
+    own = used.select("claim_id", F.col("place").alias("nth"), F.lit(0).alias("turn"), F.col("clause_uid").alias("uid"), F.when(F.col("certain"), "exclusion").otherwise("uncertain").alias("role"))
+    open_ = used.join(exceptions, "clause_uid").groupBy("claim_id", F.col("exception_uid").alias("uid")).agg(F.min("place").alias("nth")).withColumns({"turn": F.lit(1), "role": F.lit("exception")})
+    both = _first(own.unionByName(open_), ["claim_id"], ["turn", "nth", "uid"], most)
+    gathered = lambda rows, by: rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("place", "role", "uid"))).alias("e")).select(*by, F.transform("e", lambda x: F.struct(x["role"].alias("role"), x["uid"].alias("uid"))).alias("evidence"))
+    covers = _first(coverages.select("product", "version", F.col("article_uid").alias("uid"), F.lit("coverage").alias("role")), ["product", "version"], ["uid"], shown)
+    return gathered(both, ["claim_id"]), gathered(covers, ["product", "version"])
+
+
+def draft(claims: DataFrame, versions: DataFrame, coverages: DataFrame, clauses: DataFrame, rules: DataFrame, exceptions: DataFrame | None = None, carved: DataFrame | None = None) -> DataFrame:
+    """Claims with version, what screening found of how many clauses, rule or why none, amount, evidence, and the decision with its reason before the
+    guardrails. ``exceptions`` (clause_uid, exception_uid) are what the provisos of clauses point at, ``carved`` treatments that products deal with elsewhere
+    (see ``why_no_rule``)."""
+    if exceptions is None:
+        exceptions = clauses.select("clause_uid", F.col("clause_uid").alias("exception_uid")).where("false")
     rows = valid_for(claims, versions, "product", "enrolled_on")
-    covered = coverages.groupBy("product", "version").agg(F.count("*").alias("n_coverages"))
-    rows = rows.join(covered, ["product", "version"], "left")
-    hits = screen(rows, clauses).groupBy("claim_id").agg(F.count_if("certain").alias("n_certain"), F.count_if(~F.col("certain")).alias("n_uncertain"), F.min(F.when(~F.col("certain"), F.col("clause_uid"))).alias("first_uncertain"))
-    rows = rows.join(hits, "claim_id", "left").fillna(0, ["n_certain", "n_uncertain", "n_coverages"])
+    hits = screen(rows, clauses)
+    found, covers = evidence_rows(hits, coverages, exceptions)
+    covered = coverages.groupBy("product", "version").agg(F.count("*").alias("n_coverages")).join(covers.withColumnRenamed("evidence", "covers"), ["product", "version"])
+    considered = clauses.groupBy("product", "version").agg(F.count("*").alias("considered"))
+    rows = rows.join(covered, ["product", "version"], "left").join(considered, ["product", "version"], "left")
+    counts = hits.groupBy("claim_id").agg(F.count_if("certain").alias("n_certain"), F.count_if(~F.col("certain")).alias("n_uncertain"), F.min(F.when(~F.col("certain"), F.col("clause_uid"))).alias("first_uncertain"))
+    rows = rows.join(counts.join(found, "claim_id"), "claim_id", "left").fillna(0, ["n_certain", "n_uncertain", "n_coverages", "considered"])
     rows = rows.withColumn("hint", F.split("first_uncertain", "#")[1])
-    rows = amounts(rule_lookup(rows, rules))
-    decision = (
-        F.when(F.col("version").isNull() | (F.col("n_coverages") == 0), "NEEDS_DOCS")
-        .when(F.col("n_certain") > 0, "DENIED")
-        .when(F.col("payable") < F.col("claimed_amount"), "PARTIAL")
-        .otherwise("PAID")
+    rows = amounts(rule_lookup(why_no_rule(rows, rules, carved), rules))
+    # The cases in their order; what an earlier one ends is neither screened nor computed.
+    no_version, no_cover = F.col("version").isNull(), F.col("n_coverages") == 0
+    denied = ~no_version & ~no_cover & (F.col("n_certain") > 0)
+    judged = ~no_version & ~no_cover & ~denied
+    decision = F.when(no_version | no_cover, "NEEDS_DOCS").when(denied, "DENIED").when(F.col("payable") < F.col("claimed_amount"), "PARTIAL").otherwise("PAID")
+    basis = F.when(F.col("computed"), F.concat_ws("/", "product", "coverage")).otherwise(F.coalesce("no_rule", F.lit("no complete rule")))
+    none = F.array().cast("array<struct<role:string,uid:string>>")
+    hit = F.coalesce("evidence", none)
+    shown = F.slice(F.when(denied, hit).when(judged, F.concat(F.coalesce("covers", none), hit)).otherwise(none), 1, MOST)
+    rows = rows.withColumns(
+        {
+            "decision": decision,
+            "evidence": shown,
+            "reason": F.when(no_version, "no edition applies").when(no_cover, "no coverage article").when(denied, F.concat(F.lit("excluded by "), hit[0]["uid"])).otherwise(basis),
+        }
     )
-    rows = rows.withColumn("decision", decision)
-    judged = F.col("decision").isin("PAID", "PARTIAL")
     return rows.withColumns(
         {
             "amount": F.when(judged, F.col("payable")).otherwise(0).cast("long"),
-            "grounded": F.col("decision") != "NEEDS_DOCS",
-            "computed": F.col("computed") | (F.col("decision") == "DENIED"),
+            "grounded": F.exists("evidence", lambda e: F.coalesce(e["uid"], F.lit("")) != ""),
+            "computed": F.col("computed") | denied,
             "uncertain": judged & (F.col("n_uncertain") > 0),
             "is_upper": judged & (F.size("missing") > 0),
             "is_lower": judged & (F.size("missing_down") > 0),
@@ -244,17 +314,21 @@ def draft(claims: DataFrame, versions: DataFrame, coverages: DataFrame, clauses:
     )
 
 
-def adjudicate(claims: DataFrame, versions: DataFrame, coverages: DataFrame, clauses: DataFrame, rules: DataFrame) -> DataFrame:
-    """(claim_id, product, version, decision, amount, fired): one verdict for each claim, through all guardrails once."""
-    rows = guardrails(draft(claims, versions, coverages, clauses, rules))
-    return rows.select("claim_id", "product", "version", "decision", "amount", "fired")
+def adjudicate(claims: DataFrame, versions: DataFrame, coverages: DataFrame, clauses: DataFrame, rules: DataFrame, exceptions: DataFrame | None = None, carved: DataFrame | None = None) -> DataFrame:
+    """(claim_id, product, version, decision, amount, fired, reason, evidence, considered): one verdict for each claim, through all guardrails once."""
+    rows = guardrails(draft(claims, versions, coverages, clauses, rules, exceptions, carved))
+    return rows.select("claim_id", "product", "version", "decision", "amount", "fired", "reason", "evidence", "considered")
 
 
-def evidence(hits: DataFrame, limit: int) -> DataFrame:
-    """(claim_id, evidence): of each role the first ``limit`` clauses of a claim, certain ones first in all."""
-    order = Window.partitionBy("claim_id", "role").orderBy("clause_uid")
-    rows = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    return rows.groupBy("claim_id").agg(F.sort_array(F.collect_list(F.concat("role", F.lit(":"), "clause_uid"))).alias("evidence"))
+def answer_material(verdicts: DataFrame, limit: int = 3) -> DataFrame:
+    """(claim_id, decision, clauses, coverages, exceptions, missing): what an answer to a question about a verdict may be made of.
+
+    Up to ``limit`` uids of each role of its evidence, in its order: clauses that exclude or might, coverage articles, and the exceptions that may open the cover again. missing:
+    why nothing is paid, the reason and the guardrails that fired; null for a verdict that pays.
+    """
+    of = lambda *roles: F.transform(F.slice(F.filter("evidence", lambda e: e["role"].isin(*roles)), 1, limit), lambda e: e["uid"])
+    why = F.concat_ws("; ", "reason", F.when(F.size("fired") > 0, F.concat(F.lit("guardrails: "), F.concat_ws(", ", "fired"))))
+    return verdicts.select("claim_id", "decision", of("exclusion", "uncertain").alias("clauses"), of("coverage").alias("coverages"), of("exception").alias("exceptions"), F.when(~F.col("decision").isin("PAID", "PARTIAL"), why).alias("missing"))
 
 
 def verdict_agreement(left: DataFrame, right: DataFrame, fields: list[str], key: str = "claim_id") -> DataFrame:

@@ -21,7 +21,7 @@ VIEWS = STARTS | {
       FROM (SELECT *, unnest(regexp_extract_all(list_reduce(list_prepend(content, same), lambda a, x: replace(a, x, ' ')), '\\b{_ONE}\\b')) AS m FROM v_found)""",
     "v_found": f"""SELECT *, list_filter(regexp_extract_all(content, '{_ONE}\\s*{_TILDE}\\s*{_ONE}'), lambda m: m[1] = regexp_extract(m, '{_TILDE}\\s*([A-Z])', 1)) AS same FROM v_clauses""",
     "v_asof": """SELECT c.*, (SELECT arg_max(s.version, (s.start, s.version)) FROM v_starts s WHERE s.product = c.product AND s.start <= c.enrolled_on) AS version,
-      CASE WHEN letter IN ('S', 'T') THEN 'injury' WHEN letter IN ('V', 'W', 'X', 'Y') THEN NULL ELSE 'disease' END AS kind FROM v_claims c""",
+      CASE WHEN letter IN ('S', 'T') OR other_code IS NOT NULL THEN 'injury' WHEN letter IN ('V', 'W', 'X', 'Y') THEN NULL ELSE 'disease' END AS kind FROM v_claims c""",
     "v_codehits": """SELECT a.claim_id, r.clause_uid, a.documented FROM v_asof a JOIN v_ranges r ON a.product = r.product AND a.version = r.version AND a.letter = r.letter
       AND a.code_number BETWEEN r.lo AND r.hi AND (r.subdivision IS NULL OR starts_with(substr(a.code, 5), r.subdivision))""",
     "v_words": """SELECT a.claim_id, c.clause_uid, list_sort(list_transform(list_filter(list_distinct(regexp_extract_all(regexp_replace(lower(c.content), '[(][^()]*(unless|but only|except)[^()]*[)]', ' ', 'g'), '[a-z]{4,}')),
@@ -56,34 +56,51 @@ _AMOUNT_STEPS = """
       CASE WHEN reduction_days IS NOT NULL AND reduction_rate IS NOT NULL AND days_since < reduction_days THEN floor(s4::DOUBLE * reduction_rate)::BIGINT ELSE s4 END AS s5,
       NOT inpatient AND annual_visits IS NOT NULL AS counted, CASE WHEN counted AND known AND visits_this_year >= annual_visits THEN 0 ELSE s5 END AS s6,
       inpatient AND self_pay_cap IS NOT NULL AS refunding, claimed_amount - s6 AS own_now,
-      s6 + CASE WHEN refunding AND known THEN greatest(0, least(own_now, self_paid_this_year + own_now - self_pay_cap)) ELSE 0 END AS s7,
+      s6 + CASE WHEN refunding AND self_paid_this_year IS NOT NULL THEN greatest(0, least(own_now, self_paid_this_year + own_now - self_pay_cap)) ELSE 0 END AS s7,
       limit_from_policy AND annual_limit IS NULL AS from_policy, CASE WHEN from_policy THEN CASE WHEN sum_insured > 0 THEN sum_insured END ELSE annual_limit END AS cap,
       CASE WHEN cap IS NULL THEN s7 ELSE least(s7, greatest(0, cap - coalesce(paid_this_year, 0))) END AS s8,
       CASE WHEN applies THEN off_missing ELSE [] END AS m0,
       list_filter([CASE WHEN capped AND institution IS NULL AND NOT list_contains(m0, 'institution') THEN 'institution' END, CASE WHEN capped AND institution = 'nursing home' AND over_cap THEN 'general hospital or not' END,
         CASE WHEN counted AND NOT known THEN 'visits this year' END, CASE WHEN from_policy AND NOT coalesce(sum_insured > 0, false) THEN 'sum insured' END, CASE WHEN NOT known THEN 'paid this year' END], lambda x: x IS NOT NULL) AS m1,
       (CASE WHEN computed THEN s8 ELSE 0 END)::BIGINT AS payable, CASE WHEN computed THEN list_concat(m0, m1) ELSE [] END AS missing,
-      CASE WHEN computed AND refunding AND NOT known THEN 'self-paid this year' ELSE '' END AS missing_down"""
+      CASE WHEN computed AND refunding AND self_paid_this_year IS NULL THEN 'self-paid this year' ELSE '' END AS missing_down"""
 VIEWS |= {
     "v_amounts": f"SELECT *, {_AMOUNT_STEPS} FROM v_ruled",
+    # What products say of treatments, written out by hand for each text that claims use.
+    "v_carves": """SELECT * FROM (VALUES ('AUTOMOBILE', 0, '근골격계 이학요법ㆍ체외충격파치료: dealt with in (3)3대비급여-근골격계이학요법치료ㆍ체외충격파치료'), ('AUTOMOBILE', 2, '자기공명영상진단: dealt with in (3)3대비급여-자기공명영상진단'),
+      ('AUTOMOBILE', 5, '주사료: dealt with in (3)3대비급여-주사료'), ('AUTOMOBILE', 6, '근골격계 이학요법ㆍ체외충격파치료: dealt with in (3)3대비급여-근골격계이학요법치료ㆍ체외충격파치료; 급여: not covered by 제3조'), ('AUTOMOBILE', 9, '급여: not covered by 제3조'),
+      ('BUILDING', 0, '근골격계 이학요법ㆍ체외충격파치료: not covered by 제4조'), ('BUILDING', 2, '자기공명영상진단: dealt with in (3)비급여 자기공명영상진단'), ('BUILDING', 5, '주사료: not covered by 제4조'),
+      ('BUILDING', 6, '근골격계 이학요법ㆍ체외충격파치료: not covered by 제4조; 급여: not covered by 제3조'), ('BUILDING', 9, '급여: not covered by 제3조'), ('FURNITURE', 3, '비급여: not covered by 제4조의2')) t(product, treatment, carved)""",
+    "v_used": "SELECT claim_id, clause_uid, certain, row_number() OVER (PARTITION BY claim_id ORDER BY clause_uid) AS place FROM (SELECT *, bool_or(certain) OVER (PARTITION BY claim_id) AS any_certain FROM v_hits) WHERE certain = any_certain",
+    "v_shown": "SELECT * FROM v_used WHERE place <= CASE WHEN certain THEN 6 ELSE 2 END",
+    "v_proof": """SELECT claim_id, list(role || ':' || uid ORDER BY turn, nth, uid)[:6] AS proof FROM (SELECT claim_id, place AS nth, 0 AS turn, clause_uid AS uid, CASE WHEN certain THEN 'exclusion' ELSE 'uncertain' END AS role FROM v_shown
+      UNION ALL SELECT claim_id, min(place), 1, exception_uid, 'exception' FROM v_shown JOIN v_exceptions USING (clause_uid) GROUP BY claim_id, exception_uid) GROUP BY 1""",
+    "v_opening": "SELECT product, version, count(*) AS n_coverages, list('coverage:' || article_uid ORDER BY article_uid)[:2] AS covers FROM v_coverages GROUP BY ALL",
+    "v_drafts": """SELECT a.*, v.n_coverages, v.covers, coalesce(k.considered, 0) AS considered, e.proof, coalesce(s.n_certain, 0) AS n_certain, coalesce(s.n_uncertain, 0) AS n_uncertain, NULL::VARCHAR AS hint,
+        CASE WHEN a.abroad AND a.product IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') THEN 'treated abroad' WHEN a.product = 'HOUSEHOLD' AND other_code IS NOT NULL AND letter BETWEEN 'A' AND 'Q' THEN 'injury and disease together' ELSE w.carved END AS no_rule
+      FROM v_asof a LEFT JOIN v_opening v ON a.product = v.product AND a.version = v.version LEFT JOIN (SELECT product, version, count(*) AS considered FROM v_clauses GROUP BY ALL) k ON a.product = k.product AND a.version = k.version
+      LEFT JOIN v_screened s ON a.claim_id = s.claim_id LEFT JOIN v_proof e ON a.claim_id = e.claim_id LEFT JOIN v_carves w ON a.product = w.product AND a.treatment = w.treatment""",
     "v_judged": f"""SELECT *, {_AMOUNT_STEPS},
-      CASE WHEN version IS NULL OR n_coverages IS NULL THEN 'NEEDS_DOCS' WHEN n_certain > 0 THEN 'DENIED' WHEN payable < claimed_amount THEN 'PARTIAL' ELSE 'PAID' END AS drafted
-      FROM (SELECT c.*, p.coverage, r.* EXCLUDE (product, coverage) FROM v_drafts c LEFT JOIN v_pick p ON c.product = p.product AND c.abroad = p.abroad AND c.hint IS NOT DISTINCT FROM p.hint AND c.kind IS NOT DISTINCT FROM p.kind
+      CASE WHEN version IS NULL OR n_coverages IS NULL THEN 'NEEDS_DOCS' WHEN n_certain > 0 THEN 'DENIED' WHEN payable < claimed_amount THEN 'PARTIAL' ELSE 'PAID' END AS drafted,
+      (CASE WHEN drafted = 'NEEDS_DOCS' THEN [] WHEN drafted = 'DENIED' THEN proof ELSE list_concat(covers, coalesce(proof, [])) END)[:6] AS evidence,
+      CASE WHEN version IS NULL THEN 'no edition applies' WHEN n_coverages IS NULL THEN 'no coverage article' WHEN n_certain > 0 THEN 'excluded by ' || substr(proof[1], 11) WHEN computed THEN product || '/' || coverage ELSE coalesce(no_rule, 'no complete rule') END AS basis
+      FROM (SELECT c.*, p.coverage, r.* EXCLUDE (product, coverage) FROM v_drafts c LEFT JOIN v_pick p ON c.product = p.product AND c.abroad = p.abroad AND c.hint IS NOT DISTINCT FROM p.hint AND c.kind IS NOT DISTINCT FROM p.kind AND c.no_rule IS NULL
         LEFT JOIN v_rules r ON r.product = p.product AND r.coverage = p.coverage)""",
-    "v_drafts": """SELECT a.*, v.n_coverages, coalesce(s.n_certain, 0) AS n_certain, coalesce(s.n_uncertain, 0) AS n_uncertain, split_part(s.first_uncertain, '#', 2) AS hint0, CASE WHEN s.first_uncertain IS NOT NULL THEN hint0 END AS hint
-      FROM v_asof a LEFT JOIN (SELECT product, version, count(*) AS n_coverages FROM v_coverages GROUP BY ALL) v ON a.product = v.product AND a.version = v.version LEFT JOIN v_screened s ON a.claim_id = s.claim_id""",
-    "v_verdicts": """SELECT claim_id, product, version, contract, incident_on, claimed_amount, CASE WHEN fired <> '' THEN 'HUMAN_REVIEW' ELSE drafted END AS decision,
-        (CASE WHEN drafted IN ('PAID', 'PARTIAL') AND fired = '' THEN payable ELSE 0 END)::BIGINT AS amount, fired FROM (
-      SELECT *, CASE WHEN drafted NOT IN ('PAID', 'PARTIAL') THEN '' WHEN NOT computed THEN 'amount_not_computed' WHEN n_uncertain > 0 THEN 'uncertain_exclusion'
-        WHEN len(missing) > 0 THEN 'amount_upper_bound' WHEN missing_down <> '' THEN 'amount_lower_bound' ELSE '' END AS fired FROM v_judged)""",
+    "v_verdicts": """SELECT claim_id, product, version, contract, incident_on, claimed_amount, considered, array_to_string(evidence, ',') AS evidence, CASE g WHEN '' THEN drafted WHEN 'grounding_gate' THEN 'NEEDS_DOCS' ELSE 'HUMAN_REVIEW' END AS decision,
+        (CASE WHEN drafted IN ('PAID', 'PARTIAL') AND g = '' THEN payable ELSE 0 END)::BIGINT AS amount, CASE WHEN contains(narrative, '900101-1234567') THEN CASE WHEN g = '' THEN 'pii_masked' ELSE 'pii_masked,' || g END ELSE g END AS fired,
+        CASE g WHEN '' THEN basis WHEN 'grounding_gate' THEN 'no clause to point at' WHEN 'amount_not_computed' THEN 'amount not computed: ' || basis WHEN 'uncertain_exclusion' THEN 'an exclusion may apply'
+          WHEN 'amount_upper_bound' THEN 'an upper bound without ' || array_to_string(missing, ', ') ELSE 'a lower bound without ' || missing_down END AS reason FROM (
+      SELECT *, CASE WHEN drafted = 'NEEDS_DOCS' THEN '' WHEN len(list_filter(evidence, lambda e: split_part(e, ':', 2) <> '')) = 0 THEN 'grounding_gate' WHEN drafted = 'DENIED' THEN '' WHEN NOT computed THEN 'amount_not_computed' WHEN n_uncertain > 0 THEN 'uncertain_exclusion'
+        WHEN len(missing) > 0 THEN 'amount_upper_bound' WHEN missing_down <> '' THEN 'amount_lower_bound' ELSE '' END AS g FROM v_judged)""",
 }
 
 
 def claims(t: Tables) -> DataFrame:
     """Claims with their code as an array: documented ones, and ones that were only read."""
-    none = F.array().cast("array<string>")
-    rows = t.claims().withColumn("codes", F.when(F.col("documented"), F.array("code")).otherwise(none)).withColumn("weak_codes", F.when(~F.col("documented"), F.array("code")).otherwise(none))
-    return rows.withColumn("kind", codes.coverage_kind(F.array("code")))
+    none, own = F.array().cast("array<string>"), F.array_compact(F.array("code", "other_code"))
+    rows = t.claims().withColumn("codes", F.when(F.col("documented"), own).otherwise(none)).withColumn("weak_codes", F.when(~F.col("documented"), own).otherwise(none))
+    kinds = F.array_distinct(F.array_compact(F.transform(own, lambda c: F.when(F.substring(c, 1, 1).isin("S", "T"), "injury").when(F.substring(c, 1, 1).between("A", "Q"), "disease"))))
+    return rows.withColumn("kind", codes.coverage_kind(own)).withColumn("kinds", kinds)
 
 
 def dated(t: Tables) -> DataFrame:
@@ -95,7 +112,8 @@ def ruled(t: Tables) -> DataFrame:
 
 
 def verdicts(t: Tables) -> DataFrame:
-    return adj.adjudicate(claims(t), t.versions(), t.coverages(), t.clauses(), t.rules())
+    rows = claims(t)
+    return adj.adjudicate(rows, t.versions(), t.coverages(), t.clauses(), t.rules(), t.exceptions(), t.carved(rows))
 
 
 @query(
@@ -124,16 +142,10 @@ def coverage_kind(t: Tables) -> DataFrame:
     return claims(t).select("claim_id", "kind")
 
 
-@query(
-    "carve_outs",
-    """SELECT claim_id, array_to_string(list_sort(list(item)), ',') AS items FROM v_claims JOIN (VALUES ('AUTOMOBILE', 'ring'), ('AUTOMOBILE', 'gear'), ('BUILDING', 'bolt'), ('HOUSEHOLD', 'anvil')) c(product, item)
-    ON v_claims.product = c.product AND contains(narrative, item) GROUP BY 1""",
-)
+@query("carve_outs", "SELECT claim_id, array_to_string(list_transform(string_split(carved, '; '), lambda x: split_part(x, ': ', 1)), ',') AS items FROM v_claims JOIN v_carves USING (product, treatment)", VIEWS)
 def carve_outs(t: Tables) -> DataFrame:
-    """Items of treatment in the narrative that the claim's product leaves out."""
-    out = t.spark.createDataFrame([("AUTOMOBILE", "ring"), ("AUTOMOBILE", "gear"), ("BUILDING", "bolt"), ("HOUSEHOLD", "anvil")], "product string, item string")
-    named = claims(t).select("claim_id", "product", F.explode(F.array_distinct(F.split("narrative", " "))).alias("item"))
-    return named.join(out, ["product", "item"]).groupBy("claim_id").agg(F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
+    """Treatments of claims that their product deals with elsewhere or not at all."""
+    return t.carved(claims(t)).groupBy("claim_id").agg(F.array_join(F.array_sort(F.collect_set("item")), ",").alias("items"))
 
 
 @query("code_lookup", """SELECT claim_id, coalesce(a.name, b.name) AS name, a.name IS NOT NULL OR b.name IS NOT NULL AS known FROM (SELECT claim_id, code || '.' || hospital_days AS full_code, code FROM v_claims) c
@@ -243,9 +255,15 @@ def guardrails(t: Tables) -> DataFrame:
     return adj.guardrails(drafts).select("claim_id", "decision", "amount", F.array_join("fired", ",").alias("fired"))
 
 
-@query("adjudicate", "SELECT claim_id, product, version, decision, amount, fired FROM v_verdicts", VIEWS)
+def told(rows: DataFrame) -> DataFrame:
+    """Verdicts with what fired and the evidence as texts."""
+    proof = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["role"], e["uid"])), ",")
+    return rows.withColumn("fired", F.array_join("fired", ",")).withColumn("evidence", proof)
+
+
+@query("adjudicate", "SELECT claim_id, product, version, decision, amount, fired, reason, evidence, considered FROM v_verdicts", VIEWS)
 def adjudicate(t: Tables) -> DataFrame:
-    return verdicts(t).withColumn("fired", F.array_join("fired", ","))
+    return told(verdicts(t))
 
 
 @query("verdict_counts", "SELECT version, decision, fired, count(*) AS n, sum(amount)::BIGINT AS amount FROM v_verdicts GROUP BY ALL", VIEWS)
@@ -255,15 +273,23 @@ def verdict_counts(t: Tables) -> DataFrame:
     return rows.groupBy("version", "decision", "fired").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
 
 
+@query("evidence_topn", "SELECT claim_id, evidence FROM v_verdicts WHERE evidence <> ''", VIEWS)
+def evidence_topn(t: Tables) -> DataFrame:
+    """What each verdict points at: certain clauses and their exceptions, or coverage, uncertain clauses and their exceptions, six in all."""
+    return told(verdicts(t)).where("evidence <> ''").select("claim_id", "evidence")
+
+
 @query(
-    "evidence_topn",
-    """SELECT claim_id, string_agg(role || ':' || clause_uid, ',' ORDER BY role || ':' || clause_uid) AS evidence FROM (
-      SELECT *, row_number() OVER (PARTITION BY claim_id, role ORDER BY clause_uid) AS place FROM (SELECT claim_id, clause_uid, CASE WHEN certain THEN 'exclusion' ELSE 'uncertain' END AS role FROM v_hits)) WHERE place <= 2 GROUP BY 1""",
+    "answer_material",
+    """SELECT claim_id, decision, array_to_string(list_filter(e, lambda x: x LIKE 'exclusion:%' OR x LIKE 'uncertain:%')[:3], ',') AS clauses, array_to_string(list_filter(e, lambda x: x LIKE 'coverage:%')[:3], ',') AS coverages,
+      array_to_string(list_filter(e, lambda x: x LIKE 'exception:%')[:3], ',') AS exceptions, CASE WHEN decision NOT IN ('PAID', 'PARTIAL') THEN reason || CASE WHEN fired <> '' THEN '; guardrails: ' || replace(fired, ',', ', ') ELSE '' END END AS missing
+    FROM (SELECT *, string_split(evidence, ',') AS e FROM v_verdicts)""".replace("[:3], ',')", "[:3], ',').replace('exclusion:', '').replace('uncertain:', '').replace('coverage:', '').replace('exception:', '')"),
     VIEWS,
 )
-def evidence_topn(t: Tables) -> DataFrame:
-    hits = adj.screen(dated(t), t.clauses()).withColumn("role", F.when(F.col("certain"), "exclusion").otherwise("uncertain"))
-    return adj.evidence(hits, 2).withColumn("evidence", F.array_join("evidence", ","))
+def answer_material(t: Tables) -> DataFrame:
+    """Of each verdict, what an answer may cite by role, and what was missing."""
+    rows = adj.answer_material(verdicts(t))
+    return rows.select("claim_id", "decision", *[F.array_join(c, ",").alias(c) for c in ("clauses", "coverages", "exceptions")], "missing")
 
 
 @query(

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indemna.functions import keys
+from indemna.functions import benefits, keys
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,9 @@ CLAUSES = (
     "Damage to a green ring or a plastic gear (unless a small bolt is at fault).",
     "Transport accidents W40∼W42 with I50.1 as a consequence.",
 )
+#: Products as the terms name them, and what claims say of treatments.
+NAMED = (("AUTOMOBILE", "실손의료보험 특별약관1(중증 비급여 실손의료비)"), ("BUILDING", "실손의료보험 특별약관2(비중증 비급여 실손의료비)"), ("FURNITURE", "기본형 실손의료보험(급여 실손의료비)"))
+TREATMENTS = ("도수치료 3회", "물리치료", "어깨 MRI 촬영", "비급여 진료", "", "비타민 주사", "급여 진료비와 도수치료", "수술", "안정", "급여 진료", "투약")
 RULE_SCHEMA = """product string, coverage string, inpatient_rate double, outpatient_rate double, annual_limit bigint, deductible bigint, deductible_rate decimal(9,6),
     visit_limit bigint, deductible_tertiary bigint, uses_copay boolean, deductible_inpatient boolean, reduction_days int, reduction_rate double, annual_visits int,
     self_pay_cap bigint, room_rate double, room_daily_cap bigint, clinic_cap bigint, limit_from_policy boolean, abroad_only boolean"""
@@ -110,10 +113,23 @@ class Tables:
         return self.spark.createDataFrame(rows, "clause_uid string, product string, version string, content string")
 
     def coverages(self) -> DataFrame:
-        """Coverage articles; one product has none in the first version."""
-        rows = [(f"{v[0]}|{p}|90", p, v[0]) for v in VERSIONS for p in PRODUCTS if (v[0], p) != ("19961001", "MACHINERY")]
+        """Coverage articles; one product has none in the second version, one an article that can't be pointed at."""
+        rows = [(f"{v[0]}|{p}|{n}", p, v[0]) for v in VERSIONS for p in PRODUCTS for n in (90, 91, 92) if (v[0], p) not in (("19961001", "MACHINERY"), ("19980401", "FURNITURE"))]
+        rows.append(("", "FURNITURE", "19980401"))
         return self.spark.createDataFrame(rows, "article_uid string, product string, version string")
 
+    def exceptions(self) -> DataFrame:
+        """What the provisos of clauses point at."""
+        rows = self.clauses().where("content like '%unless%'").withColumn("n", F.explode(F.when(F.endswith("clause_uid", F.lit("0")), F.array(F.lit(70), F.lit(71))).otherwise(F.array(F.lit(70)))))
+        return rows.select("clause_uid", F.concat_ws("|", "version", "product", F.col("n").cast("string")).alias("exception_uid"))
+
+    def carved(self, claims: DataFrame) -> DataFrame:
+        """(claim_id, item, word, place, excluded): treatments of claims that their product deals with elsewhere or not at all. What a
+        text says is found once for all claims that say it."""
+        told = benefits.treatment_items(claims.select("treatment").distinct(), "treatment")
+        named = claims.select("claim_id", "product", "treatment").join(F.broadcast(self.spark.createDataFrame(list(NAMED), "product string, name string")), "product")
+        return benefits.carved_out(named.join(told, "treatment"), product="name").select("claim_id", "item", "word", "place", "excluded")
+
     def claims(self) -> DataFrame:
         li, o, c, p = self.lineitem, self.orders, self.customer, self.part
         rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
@@ -130,7 +146,9 @@ class Tables:
             day(F.greatest("o_orderdate", "l_shipdate")).alias("incident_on"),
             F.datediff(F.greatest("o_orderdate", "l_shipdate"), "o_orderdate").alias("days_since"),
             F.floor("l_extendedprice").cast("long").alias("claimed_amount"),
-            F.col("p_name").alias("narrative"),
+            F.concat("p_name", F.when(F.col("l_suppkey") % 31 == 0, " 900101-1234567").otherwise("")).alias("narrative"),
+            F.element_at(F.array(*map(F.lit, TREATMENTS)), (F.col("l_orderkey") % len(TREATMENTS) + 1).cast("int")).alias("treatment"),
+            F.when(F.col("l_linenumber") % 4 == 0, "S99").alias("other_code"),
             (F.col("l_suppkey") % 5 != 0).alias("documented"),
             (F.col("l_quantity").cast("int") % 10).alias("hospital_days"),
             tier.alias("institution"),
@@ -144,7 +162,7 @@ class Tables:
             F.when(F.col("l_suppkey") % 4 != 0, F.floor(F.col("l_extendedprice") * 3)).cast("long").alias("sum_insured"),
             F.when(F.col("l_suppkey") % 3 != 0, (F.col("l_partkey") * 37 % 60000)).cast("long").alias("paid_this_year"),
             F.when(F.col("l_suppkey") % 3 != 0, (F.col("l_partkey") % 40)).cast("int").alias("visits_this_year"),
-            F.when(F.col("l_suppkey") % 3 != 0, (F.col("l_partkey") * 53 % 9000)).cast("long").alias("self_paid_this_year"),
+            F.when((F.col("l_suppkey") % 3 != 0) & (F.col("l_partkey") % 5 != 0), (F.col("l_partkey") * 53 % 9000)).cast("long").alias("self_paid_this_year"),
         )
 
 
@@ -168,8 +186,9 @@ _CLAUSE_ROWS = ", ".join(f"('{v[0]}|{p}|{i}#{i}', '{p}', '{v[0]}', '{CLAUSES[(i
 VIEWS = {
     "v_rules": f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_value, r)) + ')' for r in RULES)}) t({_RULE_COLUMNS})",
     "v_clauses": f"SELECT * FROM (VALUES {_CLAUSE_ROWS}) t(clause_uid, product, version, content)",
-    "v_coverages": f"""SELECT version || '|' || product || '|90' AS article_uid, product, version FROM v_versions, (SELECT unnest({_list(PRODUCTS)}) AS product)
-      WHERE NOT (version = '19961001' AND product = 'MACHINERY')""",
+    "v_coverages": f"""SELECT version || '|' || product || '|' || n AS article_uid, product, version FROM v_versions, (SELECT unnest({_list(PRODUCTS)}) AS product), (SELECT unnest([90, 91, 92]) AS n)
+      WHERE NOT (version = '19961001' AND product = 'MACHINERY') AND NOT (version = '19980401' AND product = 'FURNITURE') UNION ALL SELECT '', 'FURNITURE', '19980401'""",
+    "v_exceptions": """SELECT clause_uid, version || '|' || product || '|' || n AS exception_uid FROM v_clauses, (SELECT unnest([70, 71]) AS n) WHERE contains(content, 'unless') AND (n = 70 OR clause_uid LIKE '%0')""",
     "v_versions": "SELECT * FROM (VALUES " + ", ".join(f"({_text(a)}, {_text(b)}, {_text(c)}, {_list(d)}, {_list(e)})" for a, b, c, d, e in VERSIONS) + ") t(version, effective_to, applies_from, included, excluded)",
     "v_scopes": f"SELECT * FROM (VALUES {', '.join(map(str, SCOPES))}) t(principal, product)",
     "v_principals": f"SELECT * FROM (VALUES {', '.join(map(str, PRINCIPALS))}) t(principal, unrestricted)",
@@ -182,7 +201,7 @@ VIEWS = {
     "v_claims": """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS claim_id, o_custkey AS contract, c_mktsegment AS product,
       strftime(o_orderdate, '%Y%m%d') AS enrolled_on, strftime(greatest(o_orderdate, l_shipdate), '%Y%m%d') AS incident_on,
       date_diff('day', o_orderdate::DATE, greatest(o_orderdate, l_shipdate)::DATE)::INT AS days_since,
-      floor(l_extendedprice)::BIGINT AS claimed_amount, p_name AS narrative, l_suppkey % 5 <> 0 AS documented, l_quantity::INT % 10 AS hospital_days,
+      floor(l_extendedprice)::BIGINT AS claimed_amount, p_name || CASE WHEN l_suppkey % 31 = 0 THEN ' 900101-1234567' ELSE '' END AS narrative, l_orderkey % 11 AS treatment, CASE WHEN l_linenumber % 4 = 0 THEN 'S99' END AS other_code, l_suppkey % 5 <> 0 AS documented, l_quantity::INT % 10 AS hospital_days,
       CASE o_orderpriority WHEN '1-URGENT' THEN 'tertiary hospital' WHEN '2-HIGH' THEN 'general hospital' WHEN '3-MEDIUM' THEN 'nursing home' WHEN '5-LOW' THEN 'clinic' END AS institution,
       CASE WHEN l_tax > 0 THEN l_tax::DECIMAL(9, 6) END AS copay_rate,
       CASE WHEN p_type = 'STANDARD' THEN 'I' ELSE translate(p_type[1], 'EPLM', 'FWTN') END AS letter, p_size AS code_number, letter || lpad(p_size::VARCHAR, 2, '0') AS code,
@@ -190,7 +209,7 @@ VIEWS = {
       CASE WHEN l_suppkey % 4 <> 0 THEN floor(l_extendedprice * 3)::BIGINT END AS sum_insured,
       CASE WHEN l_suppkey % 3 <> 0 THEN (l_partkey * 37 % 60000)::BIGINT END AS paid_this_year,
       CASE WHEN l_suppkey % 3 <> 0 THEN (l_partkey % 40)::INT END AS visits_this_year,
-      CASE WHEN l_suppkey % 3 <> 0 THEN (l_partkey * 53 % 9000)::BIGINT END AS self_paid_this_year
+      CASE WHEN l_suppkey % 3 <> 0 AND l_partkey % 5 <> 0 THEN (l_partkey * 53 % 9000)::BIGINT END AS self_paid_this_year
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey""",
 }
 
@@ -209,7 +228,8 @@ def with_views(body: str, views: dict[str, str] | None = None) -> str:
                 used.append(name)
 
     need(body)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({known[n]})" for n in used) + "\n" + body if used else body
+    word = "WITH RECURSIVE " if any(n in known[n] for n in used) else "WITH "
+    return word + ",\n".join(f"{n} AS ({known[n]})" for n in used) + "\n" + body if used else body
 
 
 def query(name: str, sql: str | None = None, views: dict[str, str] | None = None) -> Callable:
