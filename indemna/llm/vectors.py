@@ -196,7 +196,7 @@ def _unit(rows: DataFrame) -> DataFrame:
 
 
 def _links(units: DataFrame, centroids: np.ndarray, threshold: float, overlap: int, probes: int, shard_rows: int, degree: int, beam: int, pool: int, medoids: int, seed: int) -> DataFrame:
-    """(a, b, edge): the number b of vectors found linked with a, and edges (a, b) of components."""
+    """(a, b): edges that connect what the searches find linked."""
     spark = units.sparkSession
     overlap, probes = min(overlap, len(centroids)), min(probes, len(centroids))
     shared = spark.sparkContext.broadcast(centroids)
@@ -235,11 +235,10 @@ def _links(units: DataFrame, centroids: np.ndarray, threshold: float, overlap: i
     graph = built.join(union, "rep").withColumn("chunk", F.explode(F.sequence(F.lit(0), into - 1)))
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b, edge = [], [], []
+        a, b = [], []
         if left.num_rows and right.num_rows:
-            rep, copies, x = left.column("rep").to_numpy(), left.column("copies").to_numpy(), _rows(left.column("v"))
+            rep, x = left.column("rep").to_numpy(), _rows(left.column("v"))
             order = np.argsort(rep)
-            home = _ints(left.column("cells"), probes)[:, :overlap]
             near = left.column("near").combine_chunks()
             flat = near.flatten().to_numpy()
             at = np.minimum(np.searchsorted(rep[order], flat), len(rep) - 1)
@@ -249,34 +248,64 @@ def _links(units: DataFrame, centroids: np.ndarray, threshold: float, overlap: i
             inside = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             adjacent[np.repeat(np.arange(len(rep)), lengths), inside] = local
             entries = np.unique((x @ _centroids(x, medoids, seed).T).argmax(axis=0))
-            qrep, q, qcells = right.column("rep").to_numpy(), _rows(right.column("v")), _ints(right.column("cells"), probes)
+            qrep, q = right.column("rep").to_numpy(), _rows(right.column("v"))
             spot = np.minimum(np.searchsorted(rep[order], qrep), len(rep) - 1)
             own = np.where(rep[order][spot] == qrep, order[spot], -1)
             for i in range(0, len(q), 256):
                 qi, xi = range_search(x, adjacent, entries, q[i : i + 256], own[i : i + 256], threshold, max(beam, len(entries) + 1))
-                qi = qi + i
-                keep = qrep[qi] != rep[xi]
-                qi, xi = qi[keep], xi[keep]
-                # A row in several of the query's cells counts in the first of its own that the query probes.
-                met = (home[xi][:, :, None] == qcells[qi][:, None, :]).any(axis=2)
-                first = home[xi, met.argmax(axis=1)] == key[0].as_py()
-                n = np.bincount(qi[first], weights=copies[xi[first]], minlength=len(q))
-                some = np.flatnonzero(n)
-                u, v = _forest(qrep[qi], rep[xi])
-                a += [qrep[some], u]
-                b += [n[some].astype(np.int64), v]
-                edge += [np.zeros(len(some), bool), np.ones(len(u), bool)]
-        cat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-        return pa.table({"a": cat(a, pa.int64()), "b": cat(b, pa.int64()), "edge": cat(edge, pa.bool_())})
+                u, v = _forest(qrep[qi + i], rep[xi])
+                a.append(u)
+                b.append(v)
+        cat = lambda parts: pa.array(np.concatenate(parts) if parts else [], pa.int64())
+        return pa.table({"a": cat(a), "b": cat(b)})
 
     by = ["cell", "block", "chunk"]
-    graph = settle(graph.select(*by, "rep", "copies", "v", "cells", "near"))
-    rows = graph.groupBy(*by).cogroup(asked.select(*by, "rep", "v", "cells").groupBy(*by))
-    return settle(rows.applyInArrow(search, "a long, b long, edge boolean"))
+    graph = settle(graph.select(*by, "rep", "v", "near"))
+    rows = graph.groupBy(*by).cogroup(asked.select(*by, "rep", "v").groupBy(*by))
+    return settle(rows.applyInArrow(search, "a long, b long"))
 
 
-def _audit(units: DataFrame, found: DataFrame, threshold: float, rows: int, seed: int) -> float:
-    """Share of the true links of ``rows`` vectors, chosen by hash, that were found; all rows are compared with these."""
+def _counts(units: DataFrame, parts: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """(rep, n): how many vectors of its component each vertex is linked with, from every cosine inside the components.
+
+    Which side of a link the search came from, and in which cell, so makes no difference. Components of more than ``block_rows`` vertices
+    are compared in pairs of blocks, others many in one task; no pair leaves a task, only counts do.
+    """
+    total = units.count()
+    sizes = settle(parts.groupBy("component").agg(F.count("*").alias("n")))
+    members = units.select("rep", "copies", "v").join(parts.withColumnRenamed("node", "rep"), "rep")
+    members = join_in_parts(members, sizes.select("component", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), ["component"], ["rep"], sizes, total)
+    members = members.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    several = max(1, total // block_rows)
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(several))).otherwise(F.col("component"))
+    members = members.select(group.alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "component", "own", "rep", "copies", "v")
+
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        component, own, rep, copies = (rows.column(c).to_numpy() for c in ("component", "own", "rep", "copies"))
+        order = np.argsort(component, kind="stable")
+        v = rows.column("v").take(pa.array(order))
+        own, rep, copies = own[order], rep[order], copies[order]
+        starts = np.unique(component[order], return_index=True)[1].tolist()
+        n = np.zeros(len(rep), np.int64)
+        for a, b in zip(starts, [*starts[1:], len(rep)], strict=True):
+            x, blocks = _rows(v.slice(a, b - a)), own[a:b]
+            one, two = np.flatnonzero(blocks == blocks[0]), np.flatnonzero(blocks != blocks[0])
+            if len(two):
+                near = x[one] @ x[two].T >= threshold
+                n[a + one], n[a + two] = near @ copies[a + two], near.T @ copies[a + one]
+            else:
+                near = x @ x.T >= threshold
+                np.fill_diagonal(near, False)
+                n[a:b] = near @ copies[a:b]
+        return pa.table({"rep": rep, "n": n})
+
+    counted = members.groupBy("g", "i", "j").applyInArrow(count, "rep long, n long")
+    return settle(counted.groupBy("rep").agg(F.sum("n").alias("n")))
+
+
+def _audit(units: DataFrame, counted: DataFrame, threshold: float, rows: int, seed: int) -> float | None:
+    """Share of the true links of ``rows`` vectors, chosen by hash, that were counted; null if they have none. All rows are compared with these. What
+    is counted are true links, so equal numbers are equal sets."""
     chosen = units.orderBy(F.xxhash64("least", *_KEY, F.lit(seed)), "rep").limit(rows).toPandas()
     shared = units.sparkSession.sparkContext.broadcast((chosen["rep"].to_numpy(), np.array([np.frombuffer(v) for v in chosen["v"]])))
 
@@ -291,12 +320,11 @@ def _audit(units: DataFrame, found: DataFrame, threshold: float, rows: int, seed
         yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(n)], names=["rep", "n"])
 
     true = units.select("rep", "copies", "v").mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
-    have = found.where("not edge").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("have"))
-    told = true.join(have, "rep", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("have", F.lit(0)))).alias("have")).first()
-    return 1.0 if not told["n"] else told["have"] / told["n"]
+    told = true.join(counted.withColumnRenamed("n", "have"), "rep", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("have", F.lit(0)))).alias("have")).first()
+    return told["have"] / told["n"] if told["n"] else None
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 1200, shard_rows: int = 4000, overlap: int = 2, probes: int = 3, degree: int = 20, beam: int = 20, pool: int = 40, medoids: int = 16, sample_rows: int = 8192, max_cells: int = 1024, audit_rows: int = 256, least_recall: float = 0.95, repeats: int = 2, seed: int = 11) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 1200, shard_rows: int = 4000, overlap: int = 2, probes: int = 3, degree: int = 20, beam: int = 20, pool: int = 40, medoids: int = 16, sample_rows: int = 8192, max_cells: int = 1024, audit_rows: int = 256, block_rows: int = 2048, least_recall: float = 0.95, repeats: int = 2, seed: int = 11) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audited_recall) of every row of ``vectors`` (vec_id, embedding).
 
     Two vectors are linked if their cosine in doubles is ``threshold`` or more. Equal embeddings are one
@@ -304,8 +332,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 12
     ``overlap`` nearest cells, built as shards of ``shard_rows`` at most; each shard is a graph pruned to
     ``degree`` neighbours, and a vertex's lists of all its shards are united. Every vertex is then searched
     for in its ``probes`` nearest cells by greedy range search from each shard's ``medoids``, which computes the
-    cosine of each link it reports. All links of ``audit_rows`` vertices are found by brute force; below a share of ``least_recall``
-    the search is repeated with twice the overlap and probes, ``repeats`` times at most; the share is told, whatever it is. There are as many cells as make
+    cosine of each link it reports. Components are those of these links; n_links then counts both ends of every link inside a component, from all
+    cosines there, so the work grows with the square of the unlike vectors of a component, like the links of one that is dense. All links of ``audit_rows`` vertices are found by brute force; below a share of ``least_recall``
+    the search is repeated with twice the overlap and probes, ``repeats`` times at most; the share is told, whatever it is, and null where
+    these vertices have no link. A caller who finds a share that is too low has to call again with more ``probes`` or ``repeats``. There are as many cells as make
     ``cell_rows`` rows each, ``max_cells`` at most; cells beyond ``shard_rows`` go on in blocks, all of which
     are searched, so no rows are left out at any size.
 
@@ -318,7 +348,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 12
     keyed = _keyed(vectors)
     units = settle(_unit(keyed))
     sizes = [r["size"] for r in units.select("size").distinct().orderBy("size").collect()]
-    links, recalls = None, []
+    links, counts, recalls = None, None, []
     for size in sizes:
         own = units.where(F.col("size") == size)
         n = own.count()
@@ -326,24 +356,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 12
         centroids = _centroids(np.array([np.frombuffer(v) for v in sample["v"]]), max(1, min(max_cells, n * overlap // cell_rows)), seed)
         wide, deep = overlap, probes
         for again in range(repeats + 1):
-            found = _links(own, centroids, threshold, wide, deep, shard_rows, degree, beam, pool, medoids, seed)
-            recall = _audit(own, found, threshold, audit_rows, seed)
-            if recall >= least_recall or deep >= len(centroids) or again == repeats:
+            found = connected_components(_links(own, centroids, threshold, wide, deep, shard_rows, degree, beam, pool, medoids, seed), "a", "b")
+            counted = _counts(own, found, threshold, block_rows)
+            recall = _audit(own, counted, threshold, audit_rows, seed)
+            if recall is None or recall >= least_recall or deep >= len(centroids) or again == repeats:
                 break
             wide, deep = 2 * wide, 2 * deep
         links = found if links is None else links.unionAll(found)
-        recalls.append(recall)
+        counts = counted if counts is None else counts.unionAll(counted)
+        recalls += [] if recall is None else [recall]
     rows = keyed.select("vec_id", *[F.when(F.col("usable"), F.col(k)).alias(k) for k in _KEY])
     n_links = F.lit(0).cast("long")
     if links is None:
         rows = rows.select("vec_id", n_links.alias("n_links"), F.col("vec_id").alias("component_id"))
     else:
-        counted = links.where("not edge").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n"))
-        parts = connected_components(links.where("edge").select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "rep")
-        told = units.select("rep", "least", "copies", *_KEY).join(counted, "rep", "left").join(parts, "rep", "left").withColumn("part_of", F.coalesce("component", "rep"))
+        told = units.select("rep", "least", "copies", *_KEY).join(counts, "rep", "left").join(links.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part_of", F.coalesce("component", "rep"))
         told = settle(told.select(*_KEY, "part_of", "least", (F.coalesce("n", n_links) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n")))
         least = told.groupBy("part_of").agg(F.min("least").alias("component_id"))
         named = told.join(least, "part_of").select(*_KEY, "n_links", "component_id")
         rows = join_in_parts(rows, named, list(_KEY), ["vec_id"], told.select(*_KEY, "n"), vectors.count(), "left")
         rows = rows.select("vec_id", F.coalesce("n_links", n_links).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return rows.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))).withColumn("audited_recall", F.lit(min(recalls, default=1.0)))
+    return rows.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))).withColumn("audited_recall", F.lit(min(recalls, default=None)).cast("double"))

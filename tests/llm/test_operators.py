@@ -433,6 +433,31 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_count_at_both_ends(spark):
+    """Groups that straddle the bound, in blocks and in one piece: whatever is counted is counted at both of its ends."""
+    rng = np.random.default_rng(23)
+    rows = []
+    for g in range(12):
+        middle = rng.normal(size=16)
+        rows += [(len(rows) + i, (middle + rng.normal(size=16) * 0.3).tolist()) for i in range(60)]
+    middle = rng.normal(size=16)
+    rows += [(len(rows) + i, (middle + rng.normal(size=16) * 0.2).tolist()) for i in range(400)]
+    rows += [(len(rows), rows[-1][1]), (len(rows) + 1, rows[0][1])]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    want = near.sum(1) - 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r for r in vectors.near_vectors(df, cell_rows=150, shard_rows=300, block_rows=64).collect()}
+    part = groups(zip(*np.nonzero(near), strict=True), range(len(rows)))
+    wrong = [i for i, _ in rows if got[i].n_links != want[i]]
+    assert sum(r.n_links for r in got.values()) % 2 == 0 and len(wrong) <= 0.01 * len(rows)
+    assert all(got[i].n_links <= want[i] for i, _ in rows) and sum(got[i].component_id != part[i] for i, _ in rows) <= 0.01 * len(rows)
+    assert min(r.audited_recall for r in got.values()) >= 0.95
+    alone = vectors.near_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.audited_recall) for r in alone} == {(1, 0, None), (2, 0, None)}
+
+
 def test_vectors_of_one_id(spark):
     """Rows of one id with unlike embeddings are linked, counted and joined by themselves."""
     rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.1]), (4, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 1.0]), (5, [0.0, -0.0, 2.0]), (6, None), (6, [0.0, 0.0, 0.0])]
