@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from indemna.functions import codes
 from indemna.operators import adjudication as adj
+from indemna.operators import revision
 from indemna.operators.versions import valid_for
 from indemna.plans.graph_queries import STARTS
+from indemna.plans.views import VIEWS as BASE
 from indemna.plans.views import Tables, query
 
 _TILDE = "[∼~～-]"
@@ -314,6 +316,53 @@ def claim_revision(t: Tables) -> DataFrame:
     return adj.revise(rows, "user_id", "event_id", ["value", "kind"], F.col("event_type") == "purchase").select("event_id", "value", "kind", "revision")
 
 
+#: Three revisions of every claim: as it came; what the contract was paid this year; a narrative without the treatment, for some
+#: another amount and code from documents. In SQL the treatment stays as it came, since what was said once is held.
+REVISED = VIEWS | {
+    "v_first": BASE["v_claims"],
+    "v_claims": """SELECT * REPLACE (claim_id || '#' || revision AS claim_id, CASE WHEN revision = 2 AND stated THEN claimed_amount * 2 ELSE claimed_amount END AS claimed_amount,
+        CASE WHEN revision >= 1 AND NOT silent THEN day_paid ELSE paid_this_year END AS paid_this_year, CASE WHEN revision >= 1 AND NOT silent THEN 0 ELSE visits_this_year END AS visits_this_year,
+        CASE WHEN revision >= 1 AND NOT silent THEN day_paid // 2 ELSE self_paid_this_year END AS self_paid_this_year) FROM (
+      SELECT *, code_number % 3 = 0 AS stated, code_number % 4 = 1 AS silent, (code_number * 100)::BIGINT AS day_paid, unnest([0, 1, 2]) AS revision FROM v_first)""",
+    "v_diff": """SELECT split_part(claim_id, '#', 1) AS claim_id, split_part(claim_id, '#', 2)::INT AS revision, decision, amount, fired, string_split(fired, ',') AS f, lag(decision) OVER w AS d0, lag(amount) OVER w AS a0, lag(string_split(fired, ',')) OVER w AS f0 FROM v_verdicts
+      WINDOW w AS (PARTITION BY split_part(claim_id, '#', 1) ORDER BY split_part(claim_id, '#', 2))""",
+}
+
+
+@query(
+    "claim_revisions",
+    """SELECT claim_id, revision, decision, amount, CASE WHEN d0 IS NOT NULL THEN concat_ws(' / ', CASE WHEN d0 <> decision THEN 'decision ' || d0 || ' -> ' || decision END, CASE WHEN a0 <> amount THEN 'amount ' || a0 || ' -> ' || amount END,
+      'gone ' || nullif(array_to_string(list_sort(list_filter(f0, lambda x: x <> '' AND NOT list_contains(f, x))), ', '), ''), 'came ' || nullif(array_to_string(list_sort(list_filter(f, lambda x: x <> '' AND NOT list_contains(f0, x))), ', '), '')) END AS changes FROM v_diff""",
+    REVISED,
+)
+def claim_revisions(t: Tables) -> DataFrame:
+    """Claims judged anew after each change, and what each change did. A narrative without the treatment doesn't take it back."""
+    first = claims(t)
+    n = F.col("code_number")
+    told = lambda value, blank: F.when(n % 4 != 1, value).otherwise(blank)
+    change = F.explode(
+        F.array(
+            F.struct(F.lit(0).alias("at"), F.col("paid_this_year").alias("paid"), F.col("visits_this_year").alias("visits"), F.col("self_paid_this_year").alias("own"), F.lit(-1).cast("long").alias("stated"), F.col("treatment").alias("said")),
+            F.struct(F.lit(1).alias("at"), told((n * 100).cast("long"), F.lit(-1).cast("long")).alias("paid"), told(F.lit(0), F.lit(None).cast("int")).alias("visits"), told(F.floor(n * 50).cast("long"), F.lit(-1).cast("long")).alias("own"), F.lit(0).cast("long").alias("stated"), F.lit(" \n").alias("said")),
+            F.struct(F.lit(2).alias("at"), F.lit(-1).cast("long").alias("paid"), F.lit(None).cast("int").alias("visits"), F.lit(-1).cast("long").alias("own"), F.when(n % 3 == 0, F.col("claimed_amount") * 2).otherwise(F.lit(0)).alias("stated"), F.lit("허리 통증 통원").alias("said")),
+        )
+    )
+    rows = first.drop("paid_this_year", "visits_this_year", "self_paid_this_year", "treatment").join(first.select("claim_id", change.alias("c")).select("claim_id", "c.*"), "claim_id")
+    rows = revision.fold_changes(rows, "claim_id", "at", {"paid": "count", "visits": "count", "own": "count", "stated": "amount", "said": "text"})
+    rows = rows.withColumn("claimed_amount", revision.stated_or_read("stated", F.col("claimed_amount"))).withColumnsRenamed({"paid": "paid_this_year", "visits": "visits_this_year", "own": "self_paid_this_year", "said": "treatment", "claim_id": "of"})
+    rows = rows.withColumn("claim_id", F.concat_ws("#", "of", "revision"))
+    named = t.carved(rows)
+    mine = named.groupBy("claim_id").agg(F.collect_set("item").alias("now"))
+    held = revision.hold_items(rows.select("claim_id", "of", "revision").join(mine, "claim_id", "left"), "of", "revision", "now")
+    # What is held counts with the words and the place that it had when it was said.
+    said = named.withColumn("of", F.split("claim_id", "#")[0]).select("of", "item", "word", "place", "excluded").distinct()
+    kept = held.select("claim_id", "of", F.explode("held").alias("item")).join(said, ["of", "item"]).select("claim_id", "item", "word", "place", "excluded")
+    judged = adj.adjudicate(rows, t.versions(), t.coverages(), t.clauses(), t.rules(), t.exceptions(), named.unionByName(kept))
+    judged = judged.withColumn("of", F.split("claim_id", "#")[0]).withColumn("revision", F.split("claim_id", "#")[1].cast("int"))
+    told_ = revision.verdict_changes(judged, "of", "revision")
+    return told_.select(F.col("of").alias("claim_id"), "revision", "decision", "amount", "changes")
+
+
 @query(
     "verdict_agreement",
     """SELECT claim_id, CASE WHEN NOT (decision = 'PAID' OR claimed_amount % 7 <> 0 OR decision = 'DENIED') THEN 'decision' WHEN claimed_amount % 11 = 0 AND amount > 0 THEN 'amount' END AS differs FROM v_verdicts""",

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indemna.operators import evaluation as ev
+from indemna.operators import followup
 from indemna.plans.claim_queries import VIEWS as CLAIM_VIEWS
-from indemna.plans.views import Tables, query
+from indemna.plans.views import NAMED, Tables, query
 from indemna.streaming import events as streams
 
 #: Kinds of documents by what they look like, first match first.
@@ -144,9 +145,51 @@ def turn_class(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", ev.first_rule(F.col("text"), TURNS, "UNKNOWN").alias("kind"))
 
 
-@query("new_facts", "SELECT conv_id, turn, fresh FROM v_new", _FACTS)
+#: Turns of users say something of a claim by a digit of their digest; from the fifth turn on the claim stands otherwise.
+_SAID = {
+    "v_talk": """SELECT conv_id, turn, role, md5(coalesce(text, ''))[1] AS d, c.*, turn >= 4 AS later FROM conversations JOIN (SELECT split_part(claim_id, '-', 1)::BIGINT AS o, product, claimed_amount AS claimed, hospital_days AS days, abroad, treatment, institution FROM v_claims
+        WHERE split_part(claim_id, '-', 2) = '1' QUALIFY row_number() OVER (PARTITION BY o ORDER BY claim_id) = 1) c ON c.o = conv_id + 1""",
+    "v_news": """SELECT conv_id, turn, CASE WHEN role <> 'user' OR role IS NULL THEN '' WHEN d = '0' THEN 'paid this year' WHEN d = '1' AND later AND claimed >= 1000 THEN 'amount' WHEN d = '2' THEN 'code' WHEN d = '4' AND CASE WHEN later THEN 5 ELSE days END <> 5 THEN 'days' WHEN d = '5' THEN 'date'
+        WHEN d = '7' AND product IN ('AUTOMOBILE', 'BUILDING') AND NOT later AND treatment NOT IN (0, 6) THEN 'treatment' WHEN d = '8' AND product = 'FURNITURE' AND (later OR treatment <> 3) THEN 'noncovered'
+        WHEN d = '9' AND product IN ('AUTOMOBILE', 'BUILDING') AND (later OR treatment NOT IN (6, 9)) THEN 'covered' WHEN d = 'a' AND NOT abroad AND CASE WHEN later THEN false ELSE institution <> 'general hospital' END THEN 'institution'
+        WHEN d = 'b' AND NOT later THEN 'copay' ELSE '' END AS facts FROM v_talk""",
+}
+
+
+def talk(t: Tables):
+    """Turns with their claim as it stood, and the facts in them that it didn't know."""
+    tier = F.when(F.col("institution") == "tertiary hospital", "상급종합병원").when(F.col("institution") == "general hospital", "종합병원").when(F.col("institution") == "nursing home", "요양병원").when(F.col("institution") == "clinic", "의원")
+    rows = t.claims().where(F.split("claim_id", "-")[1] == "1").withColumn("conv_id", F.split("claim_id", "-")[0].cast("long") - 1)
+    rows = rows.groupBy("conv_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "conv_id"]), "claim_id").alias("c")).select("conv_id", "c.*")  # some numbers of lines repeat
+    rows = rows.join(F.broadcast(t.spark.createDataFrame(list(NAMED), "product string, name string")), "product", "left")
+    about = rows.select("conv_id", F.col("name").alias("product"), "claimed_amount", "room_charge", "paid_this_year", "self_paid_this_year", "narrative", "treatment", F.array("code").alias("codes"), "hospital_days", "enrolled_on", "incident_on", tier.alias("institution"), "abroad", F.lit(0.2).alias("copay_rate"))
+    later = about.withColumns({"claimed_amount": F.col("claimed_amount") * 2, "hospital_days": F.lit(5), "institution": F.lit("종합병원"), "treatment": F.lit("도수치료 3회"), "copay_rate": F.lit(0.3)})
+    stood = about.withColumn("turn", F.lit(0).cast("long")).unionByName(later.withColumn("turn", F.lit(4).cast("long")))
+    d = F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 1)
+    said = F.when(d == "0", "이미 받은 돈이 7,777,777원이에요").when(d == "1", F.concat(F.lit("실은 "), (F.col("first.claimed_amount")).cast("string"), F.lit("원을 청구했어요"))).when(d == "2", "Z99로 진단받았어요")
+    said = said.when(d == "3", F.concat("first.code", F.lit("로 진단"))).when(d == "4", "5일간 입원했어요").when(d == "5", "2031년 3월 1일에요").when(d == "6", F.concat_ws(".", F.substring("first.incident_on", 1, 4), F.substring("first.incident_on", 5, 2), F.substring("first.incident_on", 7, 2)))
+    said = said.when(d == "7", "사실 도수치료 받았어요").when(d == "8", "사실 비급여였어요").when(d == "9", "급여 진료였어요").when(d == "a", "종합병원이었어요").when(d == "b", "본인부담률 30%래요").otherwise("왜 그런가요")
+    first = about.select("conv_id", F.struct("claimed_amount", F.col("codes")[0].alias("code"), "incident_on").alias("first"))
+    turns = t.conversations.join(first, "conv_id").select("conv_id", "turn", d.alias("d"), F.when(F.col("role") == "user", said).alias("said"))
+    return followup.new_facts(followup.as_it_stood(turns, stood, "conv_id", "turn"), "said")
+
+
+@query("new_facts", "SELECT conv_id, turn, facts FROM v_news", _SAID)
 def new_facts(t: Tables) -> DataFrame:
-    return turns(t).select("conv_id", "turn", "fresh")
+    """What each turn says that the claim, as it stood at that turn, doesn't know."""
+    return talk(t).select("conv_id", "turn", F.array_join("facts", ",").alias("facts"))
+
+
+@query(
+    "followup_facts",
+    """SELECT fact, count(*) FILTER (g AND f) AS hit, count(*) FILTER (g AND NOT f) AS missed, count(*) FILTER (f AND NOT g) AS false FROM (SELECT unnest(['paid this year', 'amount', 'code', 'days', 'date', 'treatment', 'noncovered', 'covered', 'institution', 'copay']) AS fact) k,
+      LATERAL (SELECT facts = fact AS f, CASE WHEN conv_id % 5 = 0 AND fact = 'date' THEN false WHEN conv_id % 5 = 1 AND fact = 'code' THEN true ELSE facts = fact END AS g FROM v_news) x WHERE f OR g GROUP BY fact""",
+    _SAID,
+)
+def followup_facts(t: Tables) -> DataFrame:
+    """Found facts by kind against marks that lack some and have some more."""
+    gold = F.when(F.col("conv_id") % 5 == 0, F.array_remove("facts", "date")).when(F.col("conv_id") % 5 == 1, F.array_union("facts", F.array(F.lit("code")))).otherwise(F.col("facts"))
+    return followup.followup_scores(talk(t).withColumn("gold", gold))
 
 
 @query("followup_eval", "SELECT kind, count(*) AS n, count(*) FILTER (fresh > 0) AS with_news, count(*) FILTER (fresh = 0 AND turn > 0) AS clean, round(count(*) FILTER (fresh = 0) / count(*), 6) AS clean_rate FROM v_new GROUP BY 1", _FACTS)
