@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,13 +11,27 @@ from pyspark.sql.window import Window
 from indemna.sources.contracts import require_columns
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in ``spark.checkpoint.dir``, which all executors share."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder.rstrip('/')}/indemna-{name}-{uuid.uuid4().hex}"
+
+
 def editions(spark: SparkSession, path: str) -> DataFrame:
-    """(effective_on, seq, text) of whole files named ``<effective>_<seq>.txt``; others go."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
-    form = "^([0-9]{8})_([0-9]+)[.]txt$"
+    """(effective_on, seq, text) of whole files named ``<effective>_<seq>.txt``; others go. A folder with such a name, as
+    ``write_editions`` makes them, stands for the one file in it."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("name"), F.col("value").alias("text"))
+    form = "(?:/|=)([0-9]{8})_([0-9]+)[.]txt(?:/[^/]*)?$"
     return rows.where(F.rlike("name", F.lit(form))).select(F.regexp_extract("name", form, 1).alias("effective_on"), F.regexp_extract("name", form, 2).cast("long").alias("seq"), "text")
 
 
+def write_editions(rows: DataFrame, path: str) -> None:
+    """Writes each text of ``rows`` (effective_on, seq, text) as a folder ``<effective>_<seq>.txt`` with one file."""
+    rows.select(F.concat("effective_on", F.lit("_"), F.col("seq").cast("string"), F.lit(".txt")).alias("edition"), "text").repartition("edition").write.partitionBy("edition").text(path)
+
+
 def _tag(xml: Column, name: str) -> Column:
     inner = F.regexp_extract(xml, f"(?s)<{name}(?: [^>]*)?>(.*?)</{name}>", 1)
     return F.trim(F.coalesce(F.nullif(F.regexp_extract(inner, "(?s)<!\\[CDATA\\[(.*?)\\]\\]>", 1), F.lit("")), inner))
@@ -45,9 +61,10 @@ def listed(raw: DataFrame, tag: str, fields: dict[str, str], xml: str = "value")
     return rows.select(*[_tag(F.col("e"), element).alias(column) for column, element in fields.items()])
 
 
-def all_revisions(current: DataFrame, history: DataFrame, name: str) -> DataFrame:
-    """Both lists (seq, name, promulgated_on) for one name, each seq once (the second list wins), newest first."""
-    both = current.withColumn("list", F.lit(0)).unionByName(history.withColumn("list", F.lit(1))).where(F.col("name") == name)
+def all_revisions(current: DataFrame, history: DataFrame, name: str | None = None) -> DataFrame:
+    """Both lists (seq, name, promulgated_on) for one name, or for all, each seq once (the second list wins), newest first."""
+    both = current.withColumn("list", F.lit(0)).unionByName(history.withColumn("list", F.lit(1)))
+    both = both if name is None else both.where(F.col("name") == name)
     last = F.row_number().over(Window.partitionBy("seq").orderBy(F.desc("list")))
     return both.withColumn("n", last).where("n = 1").drop("n", "list").orderBy(F.desc("promulgated_on"), F.desc("seq"))
 
@@ -61,6 +78,19 @@ def chosen_attachment(rows: DataFrame, number: str, marker: str) -> DataFrame:
     return found
 
 
+def chosen_attachments(rows: DataFrame, by: str, number: str, marker: str) -> DataFrame:
+    """(by, title, link, n): the same for many lists at once; title and link are null, and n tells why, where a list hasn't exactly one."""
+    fits = (F.col("number") == number) & F.contains("title", F.lit(marker))
+    told = rows.groupBy(by).agg(F.count_if(fits).alias("n"), F.min(F.when(fits, F.struct("title", "link"))).alias("one"))
+    return told.select(by, F.when(F.col("n") == 1, F.col("one.title")).alias("title"), F.when(F.col("n") == 1, F.col("one.link")).alias("link"), "n")
+
+
+def write_code_master(rows: DataFrame, path: str) -> None:
+    """Writes ``rows`` as a CSV with headings in the charset MS949."""
+    rows.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
+    rows.write.option("encoding", "MS949").option("header", "true").csv(path)
+
+
 def code_master(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """(code, name, english, complete) from a CSV in the charset MS949; ``columns`` names its headings.
 
