@@ -214,6 +214,17 @@ def sessions(t: Tables) -> DataFrame:
     return rows.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
+@query(
+    "session_turns",
+    """SELECT user_id, event_id, epoch_us(ts)::BIGINT AS us, epoch_us(max(ts) OVER (PARTITION BY user_id, s))::BIGINT AS end_us FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+      SELECT *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 1800000000)::INT, 1) AS new FROM events)) QUALIFY row_number() OVER (PARTITION BY user_id, s ORDER BY ts DESC, event_id DESC) <= 40""",
+)
+def session_turns(t: Tables) -> DataFrame:
+    """The last forty events of each session."""
+    rows = streams.session_turns(streams.timed(t.events), "user_id", "ts", "event_id")
+    return rows.select("user_id", "event_id", F.unix_micros("ts").alias("us"), F.unix_micros("end").alias("end_us"))
+
+
 @query("windowed_counters", "SELECT epoch_us(date_trunc('hour', ts))::BIGINT AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counters(t: Tables) -> DataFrame:
     rows = streams.counters(streams.timed(t.events), "event_type", "ts")

@@ -99,6 +99,79 @@ def stream_limits(claims: DataFrame) -> DataFrame:
     return timed_.groupBy("contract", "year").transformWithStateInPandas(YearlyLimits(), "contract bigint, year int, claim_id string, paid_before bigint, visits_before bigint, late boolean", "Append", "EventTime")
 
 
+def session_turns(events: DataFrame, key: str, ts: str, turn: str, n: int = 40, idle_s: int = 1800) -> DataFrame:
+    """(key, turn, ts, end): the last ``n`` turns of every session; ``end`` is the last one's time."""
+    w = Window.partitionBy(key).orderBy(ts, turn)
+    seconds = F.unix_micros(F.col(ts)) / 1_000_000
+    rows = events.withColumn("new", F.coalesce((seconds - F.lag(seconds).over(w) >= idle_s).cast("int"), F.lit(1)))
+    rows = rows.withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    of = Window.partitionBy(key, "session")
+    rows = rows.withColumn("end", F.max(ts).over(of)).withColumn("back", F.row_number().over(of.orderBy(F.desc(ts), F.desc(turn))))
+    return rows.where(F.col("back") <= n).select(key, turn, ts, "end")
+
+
+class SessionTurns(StatefulProcessor):
+    """The last turns of each open session of a key, given out once the watermark has closed it.
+
+    State is a list of turns with the start of their session. A turn that comes late, but not behind the watermark, joins the
+    session that it lies in, or two sessions that it lies between. Of a session only the last ``n`` turns are kept; the start tells how far it reaches back.
+    """
+
+    def __init__(self, n: int, idle_ms: int) -> None:
+        self.n, self.idle = n, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.turns = handle.getListState("turns", "start bigint, ms bigint, turn bigint")
+
+    def _sessions(self) -> list[tuple[int, list[tuple[int, int]]]]:
+        held: dict[int, list[tuple[int, int]]] = {}
+        for start, ms, turn in self.turns.get() if self.turns.exists() else ():
+            held.setdefault(start, []).append((ms, turn))
+        return list(held.items())
+
+    def _keep(self, sessions: list[tuple[int, list[tuple[int, int]]]]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not sessions:
+            self.turns.clear()
+            return
+        self.turns.put([(start, ms, turn) for start, turns in sessions for ms, turn in turns])
+        for end in {turns[-1][0] for _, turns in sessions}:
+            self.handle.registerTimer(end + self.idle)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(ms), [(int(ms), int(turn))]) for part in rows for ms, turn in zip(part["ms"], part["turn"], strict=True)]
+        merged: list[tuple[int, list[tuple[int, int]]]] = []
+        for start, turns in sorted([*self._sessions(), *new]):
+            if merged and start - merged[-1][1][-1][0] < self.idle:
+                first, before = merged.pop()
+                merged.append((first, sorted([*before, *turns])[-self.n :]))
+            else:
+                merged.append((start, sorted(turns)[-self.n :]))
+        self._keep(merged)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        sessions = self._sessions()
+        self._keep([s for s in sessions if s[1][-1][0] + self.idle > now])
+        closed = [(key[0], turn, ms, turns[-1][0]) for _, turns in sessions if turns[-1][0] + self.idle <= now for ms, turn in turns]
+        yield pd.DataFrame(closed, columns=["key", "turn", "ms", "end_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_session_turns(events: DataFrame, key: str, ts: str, turn: str, n: int = 40, idle_s: int = 1800) -> DataFrame:
+    """``session_turns`` on a stream, with times cut to milliseconds: turns of a session are given out when it has closed; later ones than the
+    watermark are dropped and counted by the query's progress."""
+    use_rocksdb(events.sparkSession)
+    rows = events.select(F.col(key).cast("long").alias("key"), F.unix_millis(F.col(ts)).alias("ms"), F.col(turn).cast("long").alias("turn"), F.col(ts).alias("at")).withWatermark("at", WATERMARK)
+    out = rows.groupBy("key").transformWithStateInPandas(SessionTurns(n, idle_s * 1000), "key bigint, turn bigint, ms bigint, end_ms bigint", "Append", "EventTime")
+    return out.select(F.col("key").alias(key), F.col("turn").alias(turn), F.timestamp_millis("ms").alias(ts), F.timestamp_millis("end_ms").alias("end"))
+
+
 class Revisions(StatefulProcessor):
     """Folds partial updates of a claim; an idle session's state expires and isn't revived."""
 

@@ -89,3 +89,27 @@ def test_revisions(spark, tmp_path):
 def test_last_turns(spark):
     rows = spark.range(100).select(F.lit(1).alias("s"), F.col("id").alias("turn"))
     assert sorted(r.turn for r in streams.last_turns(rows, "s", "turn").collect()) == list(range(60, 100))
+
+
+def test_session_turns(spark, tmp_path):
+    """Three runs with late turns, one between two sessions, one before those that are kept; the batch sees all at once."""
+    path = str(tmp_path / "turns")
+    kind = "event_id long, user_id long, ts timestamp"
+    at = lambda m, s=0: f"2024-01-01 {m // 60:02}:{m % 60:02}:{s:02}"
+    rows = [
+        [(i, 1, at(0, i)) for i in range(50)] + [(100, 1, at(25)), (101, 1, at(62)), (102, 2, at(3)), (103, 2, at(64))],
+        [(110, 1, at(60)), (111, 1, at(55)), (112, 2, at(60)), (113, 2, at(60)), (114, 3, at(66))],
+        [(120, 1, at(57)), (121, 2, at(200)), (122, 2, at(20))],
+        [(130, 9, at(900))],
+    ]
+    frame = lambda part: spark.createDataFrame(part, "event_id long, user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in rows:
+        frame(part).coalesce(1).write.mode("append").parquet(path)
+        stream = streams.stream_session_turns(spark.readStream.schema(kind).parquet(path), "user_id", "ts", "event_id")
+        q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    # Turn 122 is behind the watermark (54 minutes) when it comes; nothing else is lost.
+    seen = frame([r for part in rows for r in part if r[0] not in (122, 130)])
+    want = {tuple(r) for r in streams.session_turns(seen, "user_id", "ts", "event_id").collect()}
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("user_id", "event_id", "ts", "end").collect()} == want
+    assert len([x for x in want if x[0] == 1 and x[1] < 50]) == 39
