@@ -62,6 +62,9 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        # With this on, a union keeps the partitioning of its sides and a grouping above it has no shuffle of its own; adaptive
+        # execution has been seen to leave equal keys of two sides apart then.
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
