@@ -49,7 +49,8 @@ def label_accuracy(labels: DataFrame, reference: DataFrame, key: str, *by: str)
 
 
 def confusion(labels: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    both = labels.join(reference.select(key, F.col("label").alias("true")), key)
+    """(true, label, n): pairs of the reference's label and the one given; null on the side that lacks a row."""
+    both = labels.join(reference.select(key, F.col("label").alias("true")), key, "full_outer")
     return both.groupBy("true", "label").agg(F.count("*").alias("n"))
 
 

@@ -74,6 +74,17 @@ def label_accuracy(t: Tables) -> DataFrame:
     return ev.label_accuracy(guess, t.labels.select("doc_id", F.col("quality").alias("label")), "doc_id", "lang")
 
 
+@query(
+    "label_confusion",
+    'SELECT "true", label, n FROM (SELECT quality AS "true", guess AS label, count(*) AS n FROM v_guess JOIN labels USING (doc_id) GROUP BY ALL UNION ALL SELECT NULL, guess, count(*) FROM v_guess WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY ALL UNION ALL SELECT quality, NULL, count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM v_guess) GROUP BY ALL)',
+    TYPED | {"v_guess": "SELECT doc_id, (kind IN ('plain', 'licensed'))::INT AS guess FROM v_typed WHERE doc_id % 3 <> 0"},
+)
+def label_confusion(t: Tables) -> DataFrame:
+    """Pairs of label and guess, and what only one side has."""
+    guess = typed(t).where("doc_id % 3 <> 0").select("doc_id", F.col("kind").isin("plain", "licensed").cast("int").alias("label"))
+    return ev.confusion(guess, t.labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
 @query(
     "multilabel_pr",
     """SELECT label, count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND t IS NULL) AS fp, count(*) FILTER (t AND p IS NULL) AS fn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) END AS recall FROM (
@@ -256,10 +267,30 @@ def step_latency(t: Tables) -> DataFrame:
     LEFT JOIN (SELECT 'documents' AS metric, count(*)::DOUBLE AS value FROM documents UNION ALL SELECT 'mean_words', round(avg(n_chars), 6) FROM documents UNION ALL SELECT 'good_share', round(avg(quality), 6) FROM labels) m ON m.metric = b.metric""",
 )
 def regression_gate(t: Tables) -> DataFrame:
+    return ev.regression_gate(*measured(t))
+
+
+def measured(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A baseline of the tables and what they measure now."""
     base = t.spark.createDataFrame([("documents", 100.0, True, 0.0), ("mean_words", 1.0, False, 0.5), ("good_share", 0.8, True, 0.1), ("unmeasured", 1.0, True, 0.0)], "metric string, base double, higher_is_better boolean, tolerance double")
     one = lambda df, name, value: df.agg(value.alias("value")).select(F.lit(name).alias("metric"), "value")
-    measured = one(t.documents, "documents", F.count("*").cast("double")).unionByName(one(t.documents, "mean_words", F.round(F.avg("n_chars"), 6))).unionByName(one(t.labels, "good_share", F.round(F.avg("quality"), 6)))
-    return ev.regression_gate(base, measured)
+    now = one(t.documents, "documents", F.count("*").cast("double")).unionByName(one(t.documents, "mean_words", F.round(F.avg("n_chars"), 6))).unionByName(one(t.labels, "good_share", F.round(F.avg("quality"), 6)))
+    return base, now
+
+
+@query(
+    "regression_record",
+    """SELECT metric, coalesce(value, base) AS base, value IS NOT NULL AS measured, coalesce(strict, 'NEW') AS strict FROM (SELECT * FROM (VALUES ('documents', 100.0::DOUBLE, true, 0.0::DOUBLE), ('mean_words', 1.0, false, 0.5), ('good_share', 0.8, true, 0.1), ('unmeasured', 1.0, true, 0.0)) b(metric, base, up, tolerance)
+      FULL JOIN (SELECT 'documents' AS metric, count(*)::DOUBLE AS value FROM documents UNION ALL SELECT 'mean_words', round(avg(n_chars), 6) FROM documents UNION ALL SELECT 'good_share', round(avg(quality), 6) FROM labels UNION ALL SELECT 'toxic_share', round(avg(toxic), 6) FROM labels) m USING (metric)),
+      LATERAL (SELECT CASE WHEN base IS NULL THEN NULL WHEN value IS NULL THEN 'FAIL' WHEN CASE WHEN up THEN base - value ELSE value - base END <= tolerance THEN 'PASS' ELSE 'FAIL' END AS strict) s""",
+)
+def regression_record(t: Tables) -> DataFrame:
+    """The baseline with what was measured in place, new metrics too, and the verdict of the strict gate on the old one."""
+    base, now = measured(t)
+    now = now.unionByName(t.labels.agg(F.round(F.avg("toxic"), 6).alias("value")).select(F.lit("toxic_share").alias("metric"), "value"))
+    strict = ev.regression_gate(base, now, strict=True).select("metric", F.col("status").alias("strict"))
+    rows = ev.record(base, now).join(now.select("metric", F.lit(True).alias("measured")), "metric", "left").join(strict, "metric", "left")
+    return rows.select("metric", "base", F.coalesce("measured", F.lit(False)).alias("measured"), F.coalesce("strict", F.lit("NEW")).alias("strict"))
 
 
 @query("set_difference", "SELECT doc_id, lang FROM documents EXCEPT ALL SELECT doc_id, lang FROM documents JOIN labels USING (doc_id)")
