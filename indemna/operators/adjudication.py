@@ -125,7 +125,7 @@ def amounts(claims: DataFrame) -> DataFrame:
     refunding = F.col("inpatient") & F.col("self_pay_cap").isNotNull()
     own = F.col("claimed_amount") - F.col("after_visits")
     refund = F.greatest(F.lit(0).cast("long"), F.least(own, F.col("self_paid_this_year") + own - F.col("self_pay_cap")))
-    own_known = F.col("self_paid_this_year").isNotNull()
+    own_known = known & F.col("self_paid_this_year").isNotNull()
     rows = rows.withColumn("after_refund", F.col("after_visits") + F.when(refunding & own_known, refund).otherwise(0))
     from_policy = F.col("limit_from_policy") & F.col("annual_limit").isNull()
     insured = F.col("sum_insured") > 0
