@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indemna.operators.access import permitted, refuse
-from indemna.operators.retrieval import document_frequency, for_principals, lexical_forms, lexical_hits, nearest
+from indemna.operators.retrieval import for_principals, lexical_forms, lexical_hits, nearest
 
 #: The paths that a scenario puts a gate on, and the state of each path's result that it shows: o open, g gated. A hybrid path
 #: has no gate of its own but those of its two legs.
@@ -39,17 +39,23 @@ class Search:
     def __init__(self, chunks: DataFrame, postings: DataFrame, queries: DataFrame, query_terms: DataFrame, query_products: DataFrame, exclusions: DataFrame, principals: DataFrame, allowed: DataFrame, k: int = 10):
         self.chunks, self.queries, self.query_products, self.exclusions, self.k = chunks, queries, query_products, exclusions, k
         self.who, self.allowed = principals.select("principal"), allowed.select("principal", "product").distinct()
-        self.seen = self.allowed.select("product").distinct()
-        df = document_frequency(postings)
+        self.seen = F.broadcast(self.allowed.select("product").distinct())
         forms = lexical_forms(query_terms, strategies=("lexical",))
-        self.lexical_of = lambda rows, within: lexical_hits(forms, rows, df, k, within)
+        self.lexical_of = lambda rows, within: lexical_hits(forms, rows, k, within)
         self.postings = postings
+        self.found: dict[bool, DataFrame] = {}
 
     def _shown(self, rows: DataFrame) -> DataFrame:
         """The same rows to everyone."""
         return rows.select("query_id", "uid", "product").join(F.broadcast(self.who))
 
     def vector(self, gated: bool) -> DataFrame:
+        """One search for each state, which the hybrid path shares."""
+        if gated not in self.found:
+            self.found[gated] = self._vector(gated)
+        return self.found[gated]
+
+    def _vector(self, gated: bool) -> DataFrame:
         if gated:
             best = nearest(self.queries, self.chunks.join(self.seen, "product", "left_semi"), self.k, within=["product"])
             return for_principals(best, self.allowed, self.k)
@@ -66,7 +72,7 @@ class Search:
         """All exclusions of the products that are asked for (principal, query_id, product), or of those that the principal may see."""
         if gated:
             asked = asked.join(self.allowed, ["principal", "product"], "left_semi")
-        return asked.join(self.exclusions, "product").select("principal", "query_id", "uid", "product")
+        return self.exclusions.join(F.broadcast(asked), "product").select("principal", "query_id", "uid", "product")
 
     def graph(self, gated: bool) -> DataFrame:
         return self.enumerated(self.query_products.join(F.broadcast(self.who)), gated)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from indemna.functions import benefits
-from indemna.operators import terms
+from indemna.operators import retrieval, terms
 
 
 def plan(df) -> str:
@@ -29,3 +29,30 @@ def test_equal_texts_are_read_once(spark):
     want = {r["id"]: r["items"] for r in benefits.treatment_items(rows, "said").collect()}
     got = {r["id"]: r["items"] for r in told.collect()}
     assert got == want and len(got) == 40
+
+
+def test_best_of_groups_scores_every_pair_of_a_group(spark):
+    rows = spark.createDataFrame([(1, "a", "red fox runs"), (2, "a", None), (3, "b", "red fox"), (4, "a", "blue sea"), (5, None, "red fox")], "uid long, product string, text string")
+    asked = spark.createDataFrame([("q", "a"), ("r", "a"), ("r", "b")], "query_id string, product string")
+    questions = spark.createDataFrame([("q", "red fox"), ("r", "sea fox"), ("s", "red")], "query_id string, question string")
+    found = retrieval.best_of_groups(asked, questions, "question", rows, "text", "product", 2)
+    got = sorted((r["query_id"], r["uid"], round(r["score"], 6), r["rank"]) for r in found.collect())
+    assert got == [("q", 1, 0.666667, 1), ("q", 2, 0.0, 2), ("r", 3, 0.333333, 1), ("r", 4, 0.333333, 2)]
+
+
+def test_expand_keeps_each_row_once(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (3, "b"), (4, "b"), (5, None), (6, "c")], "uid long, product string")
+    hits = spark.createDataFrame([("q", 1, 1), ("q", 4, 2), ("q", 5, 3), ("q", 9, 4), ("r", 6, 1)], "query_id string, uid long, rank int")
+    found = retrieval.expand(hits, rows, "product")
+    assert sorted((r["query_id"], r["uid"], r["rank"], r["seed"]) for r in found.collect()) == [
+        ("q", 1, 1, True), ("q", 2, None, False), ("q", 3, None, False), ("q", 4, 2, True), ("q", 5, 3, True), ("q", 9, 4, True), ("r", 6, 1, True),
+    ]
+
+
+def test_postings_are_scored_without_a_shuffle_of_their_terms(spark):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "fox")], "uid long, text string")
+    queries = spark.createDataFrame([("q", "red"), ("q", "fox")], "query_id string, term string")
+    found = retrieval.lexical_search(queries, retrieval.terms(docs, "uid", "text"), 5)
+    assert sorted((r["uid"], r["score"], r["rank"]) for r in found.collect()) == [(1, 3, 1), (2, 1, 2)]
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in physical and "hashpartitioning(uid#" in physical
