@@ -13,14 +13,19 @@ TABLE_MARK = "│"
 
 def _walk(line: Column, opener: str, closer: str) -> Column:
     """struct(net, low): how many brackets of a kind a text leaves open, and the least count on the way."""
-    marks = F.split(F.regexp_replace(line, f"[^\\{opener}\\{closer}]", ""), "")
     start = F.struct(F.lit(0).alias("net"), F.lit(0).alias("low"))
 
     def step(a: Column, c: Column) -> Column:
         net = a["net"] + F.when(c == opener, 1).when(c == closer, -1).otherwise(0)
         return F.struct(net.alias("net"), F.least(a["low"], net).alias("low"))
 
-    return F.aggregate(marks, start, step)
+    def walked(marks: Column) -> Column:
+        n = F.length(marks)
+        some = lambda net, low: F.struct(net.alias("net"), low.alias("low"))
+        # Brackets of one side only need no steps.
+        return F.when(~F.contains(marks, F.lit(closer)), some(n, F.lit(0))).when(~F.contains(marks, F.lit(opener)), some(-n, -n)).otherwise(F.aggregate(F.split(marks, ""), start, step))
+
+    return F.get(F.transform(F.array(F.regexp_replace(line, f"[^\\{opener}\\{closer}]+", "")), walked), F.lit(0))
 
 
 def rejoined_lines(lines: DataFrame, uid: str, order: str, line: str, page: str, in_table: str) -> DataFrame:
@@ -39,8 +44,11 @@ def rejoined_lines(lines: DataFrame, uid: str, order: str, line: str, page: str,
     own = F.when(kind == "(", _walk(head, "(", ")")["net"]).when(kind == "[", _walk(head, "[", "]")["net"])
     # A heading's own bracket closes where article_head finds its end.
     opens = kind.isNotNull() & article_head(F.col("line")).isNull()
-    marks = rows.select(uid, F.struct(F.col(order).alias("at"), F.when(opens, kind).alias("opens"), own.alias("depth"), _walk(F.col("line"), "(", ")").alias("round"), _walk(F.col("line"), "[", "]").alias("square")).alias("m"))
-    marks = marks.where("m.opens is not null or m.round.low < 0 or m.square.low < 0 or m.round.net > 0 or m.square.net > 0")
+    opened = F.when(opens, F.struct(kind.alias("kind"), own.alias("depth")))
+    marks = rows.where(F.rlike("line", F.lit("[()\\[\\]]"))).select(uid, F.col(order).alias("at"), opened.alias("h"), _walk(F.col("line"), "(", ")").alias("round"), _walk(F.col("line"), "[", "]").alias("square"))
+    marks = marks.select(uid, F.struct("at", F.col("h.kind").alias("opens"), "h.depth", "round", "square").alias("m"))
+    # Lines that change no depth are left out where marks are gathered: a filter would be pushed down and walk each line again.
+    counts = F.expr("m.opens is not null or m.round.low < 0 or m.square.low < 0 or m.round.net > 0 or m.square.net > 0")
     at = marks.schema["m"].dataType["at"].dataType
     none = F.array().cast(f"array<struct<start:{at.simpleString()},end:{at.simpleString()}>>")
     start = F.struct(F.lit(None).cast(at).alias("start"), F.lit(None).cast("string").alias("kind"), F.lit(0).alias("depth"), none.alias("spans"))
@@ -56,7 +64,7 @@ def rejoined_lines(lines: DataFrame, uid: str, order: str, line: str, page: str,
         rest = F.struct(a["start"].alias("start"), F.lit(None).cast(at).alias("end"))
         return F.when(a["kind"].isNotNull(), F.array_append(a["spans"], rest)).otherwise(a["spans"])
 
-    spans = marks.groupBy(uid).agg(F.array_sort(F.collect_list("m")).alias("m")).select(F.col(uid).alias("of"), F.aggregate("m", start, step, finish).alias("spans"))
+    spans = marks.groupBy(uid).agg(F.array_sort(F.collect_list(F.when(counts, F.col("m")))).alias("m")).select(F.col(uid).alias("of"), F.aggregate("m", start, step, finish).alias("spans"))
     told = rows.join(spans.where(F.size("spans") > 0), F.col(uid).eqNullSafe(F.col("of")), "left")
     inside = F.filter("spans", lambda s: (s["start"] <= F.col(order)) & (s["end"].isNull() | (F.col(order) <= s["end"])))
     told = told.withColumn("first", F.coalesce(F.get(inside, F.lit(0))["start"], F.col(order)))
@@ -72,8 +80,8 @@ def article_pages(articles: DataFrame, lines: DataFrame, uid: str, nth: str, ord
 
     Headings are met by (uid, number, title) and numbered in each document; a fold over the articles of a document carries the line.
     """
-    heads = lines.select(F.col(uid).alias("of"), F.col(order).alias("at"), F.col(page).alias("page"), article_head(F.col("line")).alias("h")).where("h is not null")
-    heads = heads.groupBy("of", "h.number", "h.title").agg(F.array_sort(F.collect_list(F.struct("at", "page"))).alias("heads"))
+    heads = lines.where(F.rlike("line", F.lit(ARTICLE))).select(F.col(uid).alias("of"), F.col(order).alias("at"), F.col(page).alias("page"), article_head(F.col("line")).alias("h"))
+    heads = heads.where("h is not null").groupBy("of", "h.number", "h.title").agg(F.array_sort(F.collect_list(F.struct("at", "page"))).alias("heads"))
     met = articles.join(heads.withColumnsRenamed({"number": "n", "title": "t"}), F.col(uid).eqNullSafe(F.col("of")) & (F.col("number") == F.col("n")) & (F.col("title") == F.col("t")))
     # Equal headings share one entry of the document, however many articles have them.
     places = met.groupBy(uid, "number", "title").agg(F.first("heads").alias("heads"), F.collect_list(nth).alias("nths"))

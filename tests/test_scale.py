@@ -94,3 +94,22 @@ def test_changes_of_one_row_stand_as_folded(spark):
     got = one.select("id", F.explode(revision.folded_changes(F.col("changes"), kinds, "said")).alias("c")).collect()
     assert {(r.id, r.c.revision): (r.c.paid, r.c.stated, r.c.said) for r in got} == want
     assert {(r.id, r.c.revision): r.c.so_far for r in got} == {("a", 0): ["x"], ("a", 1): ["x"], ("a", 2): ["x", "y"], ("a", 3): ["x", "y"], ("b", 0): []}
+
+
+def test_headings_are_matched_once_and_walked_by_bracket(spark):
+    lines = ["제 1조(가(나) 다) 라 [마)", "제2조의3 [가(나] 다", "제3조(가 (나)", "제4조() ", "제5조 (" + "가(나) " * 5000 + ") 끝 <개정 2015. 3. 3.>", "가 제6조(나)", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    found = df.select("i", terms.article_head(F.col("line")).alias("h"))
+    # The text behind the number is taken from a line once, not for each use or character.
+    assert plan(found).count("(.*)$") == 1
+    got = {r.i: r.h and tuple(r.h) for r in found.collect()}
+    assert got == {0: ("1", "가(나) 다", "라 [마)"), 1: ("2의3", "가(나", "다"), 2: None, 3: ("4", "", ""), 4: ("5", ("가(나) " * 5000).strip(), "끝 <개정 2015. 3. 3.>"), 5: None, 6: None}
+
+
+def test_lines_of_marks_are_walked_once(spark):
+    from indemna.operators import pages
+
+    df = spark.createDataFrame([(1, 0, "제1조(가", 1, False), (1, 1, "나 (다) 라", 1, False), (1, 2, ")) ((", 2, False), (1, 3, "마", 2, False)], "d int, i int, line string, page int, boxed boolean")
+    found = pages.rejoined_lines(df, "d", "i", "line", "page", "boxed")
+    assert plan(found).count("[^\\(\\)]+") <= 2
+    assert sorted((r.i, r.line, r.page) for r in found.collect()) == [(0, "제1조(가 나 (다) 라 )) ((", 1), (3, "마", 2)]
