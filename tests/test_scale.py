@@ -113,3 +113,14 @@ def test_lines_of_marks_are_walked_once(spark):
     found = pages.rejoined_lines(df, "d", "i", "line", "page", "boxed")
     assert plan(found).count("[^\\(\\)]+") <= 2
     assert sorted((r.i, r.line, r.page) for r in found.collect()) == [(0, "제1조(가 나 (다) 라 )) ((", 1), (3, "마", 2)]
+
+
+def test_beginnings_and_endings_of_words_are_not_shuffled(spark):
+    from indemna.operators import fusion
+
+    corpus = spark.createDataFrame([("wordily said twice said",), ("said twice\nsaid twice",)], "text string")
+    pairs = spark.createDataFrame([("word", "ily"), ("said", "twice"), ("aid", "twi"), ("wordil", "y"), ("q", "x")], "left string, right string")
+    found = fusion.fusion_evidence(pairs, corpus)
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(kl" not in physical and "hashpartitioning(end" in physical and "hashpartitioning(deal" in physical
+    assert {(r.left, r.right): r.fused for r in found.collect()} == {("word", "ily"): True, ("said", "twice"): False, ("aid", "twi"): False, ("wordil", "y"): True, ("q", "x"): False}
