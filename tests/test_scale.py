@@ -124,3 +124,30 @@ def test_beginnings_and_endings_of_words_are_not_shuffled(spark):
     physical = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(kl" not in physical and "hashpartitioning(end" in physical and "hashpartitioning(deal" in physical
     assert {(r.left, r.right): r.fused for r in found.collect()} == {("word", "ily"): True, ("said", "twice"): False, ("aid", "twi"): False, ("wordil", "y"): True, ("q", "x"): False}
+
+
+def test_search_shuffles_its_sides_only(spark, monkeypatch):
+    from indemna.operators import graph
+    from indemna.plans.catalog import QUERIES
+
+    monkeypatch.setattr(graph, "_ARTICLES", 2)
+    monkeypatch.setattr(graph, "_QUERIES", 3)
+    monkeypatch.setattr(graph, "_RUN", 2)
+    asked = spark.createDataFrame([(i, "v" if i % 3 else "w", "a" if i % 2 else "b") for i in range(10)] + [(1, "v", "a"), (10, "v", None), (11, "x", "a")], "query_id long, version string, product string")
+    articles = spark.createDataFrame([("v", "a", "1", 3), ("v", "a", "2", 0), ("v", "a", "3", None), ("w", "b", "4", 1), ("w", "b", "4", 1), ("v", "b", "5", 2), ("v", None, "6", 1), ("v", "a", "7", -1)], "version string, product string, article_uid string, n_items int")
+    found = graph.search_items(asked, articles)
+    want = [(q.query_id, f"{a.article_uid}#{i}") for q in asked.collect() for a in articles.collect() if a.product and (q.version, q.product) == (a.version, a.product) for i in range(1, (a.n_items or 0) + 1)]
+    assert sorted((r.query_id, r.item_uid) for r in found.collect()) == sorted(want) and len(want) > 20
+    # Five rows of queries and four columns of articles, each cell a task.
+    assert found.rdd.getNumPartitions() == 20
+    physical = QUERIES["graph_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in physical and physical.count("shufflepartitionidpassthrough") == 2
+
+
+def test_editions_go_to_the_facts(spark):
+    from indemna.operators import versions
+
+    facts, editions = spark.createDataFrame([("1", "05"), ("2", "30"), ("3", "00")], "id string, day string"), spark.createDataFrame([("01", "10"), ("10", "99")], "version string, effective_to string")
+    found = versions.valid_on(facts, editions, "day")
+    assert "BroadcastNestedLoopJoin BuildRight" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("1", "05", "01"), ("2", "30", "10")]
