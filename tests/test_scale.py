@@ -151,3 +151,21 @@ def test_editions_go_to_the_facts(spark):
     found = versions.valid_on(facts, editions, "day")
     assert "BroadcastNestedLoopJoin BuildRight" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [("1", "05", "01"), ("2", "30", "10")]
+
+
+def test_expansion_is_dealt_over_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "_PAIRS", 12)
+    monkeypatch.setattr(retrieval, "_QUERIES", 3)
+    monkeypatch.setattr(retrieval, "_RUN", 2)
+    rows = [(i, "ab"[i % 2]) for i in range(20)] + [(20, "a"), (20, "b"), (21, None)]
+    hits = [(q, (3 * q + j) % 22, j + 1) for q in range(7) for j in range(3)] + [(0, 0, 9)]
+    found = retrieval.expand(spark.createDataFrame(hits, "query_id int, uid int, rank int"), spark.createDataFrame(rows, "uid int, product string"), "product")
+    # Three rows of queries and five columns of rows: before, all pairs were made in as few tasks as their small sides took.
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("shufflepartitionidpassthrough") == 2 and ", 15)" in physical
+    want = {}
+    for q in range(7):
+        seeds = {u: min(r for x, v, r in hits if (x, v) == (q, u)) for x, u, _ in hits if x == q}
+        reached = {g for u, g in rows if u in seeds and g}
+        want |= {(q, u): seeds.get(u) for u in {u for u, g in rows if g in reached} | set(seeds)}
+    assert {(r.query_id, r.uid): r["rank"] for r in found.collect()} == want and found.count() == len(want)
