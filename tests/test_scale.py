@@ -169,3 +169,18 @@ def test_expansion_is_dealt_over_a_grid(spark, monkeypatch):
         reached = {g for u, g in rows if u in seeds and g}
         want |= {(q, u): seeds.get(u) for u in {u for u, g in rows if g in reached} | set(seeds)}
     assert {(r.query_id, r.uid): r["rank"] for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_words_at_a_stop_are_dealt_by_more_than_it(spark):
+    from indemna.operators import fusion
+
+    texts = ["He sat. Eve ran. It rained. a b c, 1 2", "x. E y. Ea", "a. E\nat. Ev", None, ""]
+    corpus = spark.createDataFrame([(x,) for x in texts], "text string")
+    probes = [(l, r) for l in ("t.", "n.", ".", "x.", "b", "a", "1", "sat.", "He sat.", "z") for r in ("E", "Ev", "Eve", "It", "c", "c,", "b", "2", "y", "Ea", "Eva")]
+    found = fusion._apart(spark.createDataFrame(probes, "l string, r string"), corpus, "text")
+    shown = plan(found)
+    # Only words at characters that are asked for are dealt; these are the two next to the blank, not a stop and a capital alone.
+    assert "Join LeftSemi" in shown and "RepartitionByExpression [end#" in shown
+    pairs = {(a, b) for x in texts if x for line in x.split("\n") for a, b in zip(line.split(" "), line.split(" ")[1:])}
+    want = {(l, r) for l, r in probes if any(a.endswith(l) and b.startswith(r) for a, b in pairs)}
+    assert {(x.l, x.r) for x in found.collect()} == want and {(".", "E"), ("t.", "Ev"), ("a", "b"), ("1", "2")} < want
