@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from indemna.operators.nearest import greatest
 
 #: Texts that are scored at once, and words that a task counts until it passes on what it has.
-_PIECE, _HELD = 256, 1 << 19
+_PIECE, _HELD = 256, 1 << 16
 
 
 def by_uid(docs: DataFrame, group: str) -> DataFrame:
@@ -38,8 +38,9 @@ def text_frequency(rows: DataFrame, pattern: str = "[a-z]{2,}") -> DataFrame:
         words, held = re.compile(pattern), Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["term", "n"])
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(set(words.findall(text)))
+            for i in range(0, batch.num_rows, _PIECE):
+                for text in batch.column("text").slice(i, _PIECE).to_pylist():
+                    held.update(set(words.findall(text)))
                 if len(held) > _HELD:
                     yield out()
                     held.clear()
